@@ -140,12 +140,14 @@ RESOURCE_TAGS = [("script", "script", "src"), ("pixel", "img", "src"), ("link",
 
 def page_resources(pages: DataFrame, html: str = "html", own_url: str = "https://relay.example") -> DataFrame:
     """One row per script, image and link URL of a page, with the blocking decision."""
-    found = []
-    for kind, tag, attr in RESOURCE_TAGS:
+
+    def found(kind: str, tag: str, attr: str) -> Column:
         pattern = rf"""(?i)<{tag}\s(?:[^>]*?\s)?{attr}\s*=\s*["']([^"']+)["']"""
         urls = F.regexp_extract_all(F.col(html), F.lit(pattern), F.lit(1))
-        found.append(F.transform(urls, lambda u, kind=kind: F.struct(F.lit(kind).alias("kind"), u.alias("resource_url"))))
-    rows = pages.select(*[c for c in pages.columns if c != html], F.inline(F.concat(*found)))
+        return F.transform(urls, lambda u: F.struct(F.lit(kind).alias("kind"), u.alias("resource_url")))
+
+    resources = F.concat(*[found(*t) for t in RESOURCE_TAGS])
+    rows = pages.select(*[c for c in pages.columns if c != html], F.inline(resources))
     blocked = F.when(F.col("kind") == "script", web.is_blocked_script(F.col("resource_url"), own_url)).otherwise(
         web.is_intercepted(F.col("resource_url"), own_url)
     )
