@@ -15,8 +15,27 @@ _BLOCK = 64  # SHA-256 block size in bytes
 JS_SPACE = r"\s\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
 
 
+_JS_SPACE_CHARS = " \t\n\x0b\x0c\r\u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
+
+
 def js_trim(col: Column) -> Column:
-    return F.regexp_replace(col, rf"^[{JS_SPACE}]+|[{JS_SPACE}]+$", "")
+    return F.btrim(col, F.lit(_JS_SPACE_CHARS))
+
+
+def non_empty(col: Column) -> Column:
+    """The text, or null when it is empty. Stays inside its branch, unlike ``nullif``."""
+    return F.when(col != "", col)
+
+
+def _expanded(address: Column) -> Column:
+    """IPv6 text with its ``::`` written out as zero groups."""
+    left, right = (non_empty(F.split_part(address, F.lit("::"), F.lit(n))) for n in (1, 2))
+
+    def groups(part: Column) -> Column:
+        return F.coalesce(F.length(part) - F.length(F.replace(part, F.lit(":"), F.lit(""))) + 1, F.lit(0))
+
+    zeros = F.substring(F.repeat(F.lit(":0"), F.lit(8) - groups(left) - groups(right)), 2, 20)
+    return F.concat_ws(":", left, non_empty(zeros), right)
 
 
 def coarsen_ip(ip: Column, expand_v6: bool = True) -> Column:
@@ -25,25 +44,32 @@ def coarsen_ip(ip: Column, expand_v6: bool = True) -> Column:
     ``expand_v6`` fills a ``::`` before taking the first three groups; switch it off
     to keep the groups as written.
     """
-    plain = F.regexp_replace(js_trim(ip), r"(?i)^::ffff:", "")
-    octets = F.split(plain, r"\.")
-    groups = F.split(plain, ":")
-    if expand_v6:
-        head = F.filter(F.split(F.split_part(plain, F.lit("::"), F.lit(1)), ":"), lambda g: g != "")
-        tail = F.filter(F.split(F.split_part(plain, F.lit("::"), F.lit(2)), ":"), lambda g: g != "")
-        zeros = F.array_repeat(F.lit("0"), F.greatest(F.lit(8) - F.size(head) - F.size(tail), F.lit(0)))
-        groups = F.when(F.contains(plain, F.lit("::")), F.concat(head, zeros, tail)).otherwise(groups)
-    return (
-        F.when(F.coalesce(ip, F.lit("")) == "", "0")
-        .when(F.contains(plain, F.lit(":")), F.concat(F.array_join(F.slice(groups, 1, 3), ":"), F.lit("::/48")))
-        .when(F.size(octets) == 4, F.concat(F.array_join(F.slice(octets, 1, 3), "."), F.lit(".0/24")))
-        .otherwise("0")
-    )
 
+    def v4(address: Column) -> Column:
+        dots = F.length(address) - F.length(F.replace(address, F.lit("."), F.lit("")))
+        return F.when(dots == 3, F.concat(F.substring_index(js_trim(address), ".", 3), F.lit(".0/24"))).otherwise("0")
+
+    def v6(address: Column) -> Column:
+        inner = F.substring(address, 8, 1000)
+        mapped = F.lower(F.substring(address, 1, 7)) == "::ffff:"
+        full = F.when(mapped, inner).otherwise(address)
+        if expand_v6:
+            full = F.when(F.contains(full, F.lit("::")), _expanded(full)).otherwise(full)
+        coarse = F.concat(F.substring_index(full, ":", 3), F.lit("::/48"))
+        return F.when(mapped & ~F.contains(inner, F.lit(":")), v4(inner)).otherwise(coarse)
+
+    # The array binds the trimmed text to a name, so that the long v6 rule stays small code.
+    by_v6 = F.transform(F.array(js_trim(ip)), v6)[0]
+    return F.when(F.coalesce(ip, F.lit("")) == "", "0").when(~F.contains(ip, F.lit(":")), v4(ip)).otherwise(by_v6)
 
-def coarsen_ua(ua: Column) -> Column:
-    """``browser/os`` family; the order of the tests matters."""
-    low = F.lower(F.coalesce(ua, F.lit("")))
+
+def coarsen_ua(ua: Column, lowered: bool = False) -> Column:
+    """``browser/os`` family; the order of the tests matters.
+
+    ``lowered`` says that the column is lower case and never null, which saves work
+    where several expressions read it.
+    """
+    low = ua if lowered else F.lower(F.coalesce(ua, F.lit("")))
 
     def has(word: str) -> Column:
         return F.contains(low, F.lit(word))
@@ -121,10 +147,12 @@ def keyed_token(message: Column, salts: SaltBook, ts: Column | None = None) -> C
     return F.substring(F.sha2(F.concat(outer, digest), 256), 1, 16)
 
 
-def visitor_token(ip: Column, ua: Column, origin: Column, salts: SaltBook, ts: Column | None = None) -> Column:
+def visitor_token(
+    ip: Column, ua: Column, origin: Column, salts: SaltBook, ts: Column | None = None, lowered: bool = False
+) -> Column:
     """The daily, unlinkable visitor token."""
-    site = F.coalesce(F.nullif(origin, F.lit("")), F.lit("-"))
-    return keyed_token(F.concat_ws("|", coarsen_ip(ip), coarsen_ua(ua), site), salts, ts)
+    site = F.coalesce(non_empty(origin), F.lit("-"))
+    return keyed_token(F.concat_ws("|", coarsen_ip(ip), coarsen_ua(ua, lowered), site), salts, ts)
 
 
 def anonymize_ip(ip: Column, salts: SaltBook, ts: Column | None = None) -> Column:

@@ -5,22 +5,31 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from kveil.functions.anonymize import non_empty
 from kveil.functions.scrub import scrub_url
 from kveil.sources.rulebase import AUDIT_HOSTS, COOKIE_PREFIXES, INTERCEPT_PATTERNS, ROUTE_PATTERNS, SCRIPT_PATTERNS
 
 
-def beacon_device(ua: Column) -> Column:
-    low = F.lower(F.coalesce(ua, F.lit("")))
+def _has_any(low: Column, words: list[str]) -> Column:
+    out = F.contains(low, F.lit(words[0]))
+    for word in words[1:]:
+        out = out | F.contains(low, F.lit(word))
+    return out
+
+
+def beacon_device(ua: Column, lowered: bool = False) -> Column:
+    low = ua if lowered else F.lower(F.coalesce(ua, F.lit("")))
     return (
-        F.when(low.rlike("ipad|tablet"), "tablet")
-        .when(low.rlike("mobi|iphone|android.*mobile"), "mobile")
-        .when(low.rlike("bot|crawl|spider|headless"), "bot")
+        F.when(_has_any(low, ["ipad", "tablet"]), "tablet")
+        .when(_has_any(low, ["mobi", "iphone"]), "mobile")
+        .when(_has_any(low, ["bot", "crawl", "spider", "headless"]), "bot")
         .otherwise("desktop")
     )
 
 
-def vendor_device(ua: Column) -> Column:
-    return F.when(F.lower(F.coalesce(ua, F.lit(""))).rlike("mobi|android|iphone"), "mobile").otherwise("desktop")
+def vendor_device(ua: Column, lowered: bool = False) -> Column:
+    low = ua if lowered else F.lower(F.coalesce(ua, F.lit("")))
+    return F.when(_has_any(low, ["mobi", "android", "iphone"]), "mobile").otherwise("desktop")
 
 
 def event_name(name: Column, default: str = "pageview") -> Column:
@@ -31,22 +40,24 @@ def country_code(country: Column) -> Column:
     return F.when(country.rlike("^[A-Za-z]{2}$"), F.upper(country)).otherwise("??")
 
 
+def local_part(url: Column) -> Column:
+    """Path, query and fragment of a URL; ``/`` when there is nothing."""
+    rest = F.when(url.startswith("/"), url).otherwise(F.regexp_replace(url, "(?i)^https?://[^/?#]*", ""))
+    return F.coalesce(non_empty(rest), F.lit("/"))
+
+
 def event_path(url: Column, order: str = "phone_first") -> Column:
-    """Scrubbed path and query without scheme and host."""
-    clean = scrub_url(F.coalesce(F.nullif(url, F.lit("")), F.lit("/")), order)
-    return F.coalesce(F.nullif(F.regexp_replace(clean, "^https?://[^/]+", ""), F.lit("")), F.lit("/"))
+    """Scrubbed path and query of an event. Give the ``local_part`` as a column of its own."""
+    return scrub_url(local_part(url), order)
 
 
 def url_host(url: Column, with_port: bool = True) -> Column:
     """Lower-case host, with a port that is not the default; null when there is none."""
-    authority = F.lower(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#]*@)?([^/?#]*)", 1))
-    if with_port:
-        host = F.when(url.rlike("(?i)^https:"), F.regexp_replace(authority, ":443$", "")).when(
-            url.rlike("(?i)^http:"), F.regexp_replace(authority, ":80$", "")
-        ).otherwise(authority)
-    else:
-        host = F.regexp_replace(authority, ":[0-9]*$", "")
-    return F.nullif(host, F.lit(""))
+    third = F.split_part(F.substring_index(F.substring_index(url, "#", 1), "?", 1), F.lit("/"), F.lit(3))
+    authority = F.lower(F.substring_index(third, "@", -1))
+    drop = r"(?i)^(?:https://[^/?#]*:443|http://[^/?#]*:80)(?:[/?#]|$)" if with_port else r"^[^/?#]*//[^/?#]*:[0-9]*(?:[/?#]|$)"
+    host = F.when(url.rlike(drop), F.regexp_replace(authority, ":[0-9]*$", "")).otherwise(authority)
+    return F.when(url.rlike("^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]"), host)
 
 
 def referrer_key(referrer: Column) -> Column:

@@ -28,44 +28,47 @@ def build_events(
     props expression inside the JVM, for payloads known to be flat.
     """
     c = F.col
-    host = web.origin_host(c("origin"), c("d"))
     props = F.coalesce(c("p"), F.lit("{}"))
     clean_props = sc.scrub_json(props, order) if nested_props else F.coalesce(sc.scrub_flat_json(props, order), F.lit("{}"))
     used = {"ip", "ua", "origin", "d", "e", "u", "r", "country", "p"}
-    return visits.select(
+    shared = _shared(visits, web.origin_host(c("origin"), c("d"))).withColumn("_u", web.local_part(c("u")))
+    return shared.select(
         *[n for n in visits.columns if n not in used],
-        an.visitor_token(c("ip"), c("ua"), host, salts, c("ts")).alias("visitor"),
-        host.alias("domain"),
-        host.alias("origin"),
+        an.visitor_token(c("ip"), c("_ua"), c("_host"), salts, c("ts"), lowered=True).alias("visitor"),
+        c("_host").alias("domain"),
+        c("_host").alias("origin"),
         web.event_name(c("e")).alias("event"),
-        web.event_path(c("u"), order).alias("path"),
+        sc.scrub_url(c("_u"), order).alias("path"),
         F.when(F.coalesce(c("r"), F.lit("")) == "", "").otherwise(sc.scrub_url(c("r"), order)).alias("referrer"),
         web.country_code(c("country")).alias("country"),
-        web.beacon_device(c("ua")).alias("device"),
+        web.beacon_device(c("_ua"), lowered=True).alias("device"),
         clean_props.alias("props"),
     )
 
 
+def _shared(df: DataFrame, host: Column) -> DataFrame:
+    """Add what several columns read: computed once per row, in a projection of its own."""
+    return df.withColumns({"_ua": F.lower(F.coalesce(F.col("ua"), F.lit(""))), "_host": host})
+
+
 def vendor_events(requests: DataFrame, salts: an.SaltBook) -> DataFrame:
     """First-party events for requests that go to a vendor's strip route."""
     c = F.col
-    host = web.origin_host(c("origin"))
     route = web.vendor_route(c("url"))
     key = F.create_map(*[F.lit(x) for pair in ROUTE_TRACKER.items() for x in pair])[route]
     used = {"ip", "ua", "origin", "country", "url", "method", "headers", "body"}
     return (
-        requests.where(F.coalesce(c("url"), F.lit("")) != "")
-        .where(route != "generic")
+        _shared(requests.where(F.coalesce(c("url"), F.lit("")) != "").where(route != "generic"), web.origin_host(c("origin")))
         .select(
             *[n for n in requests.columns if n not in used],
-            an.visitor_token(c("ip"), c("ua"), host, salts, c("ts")).alias("visitor"),
-            host.alias("domain"),
-            host.alias("origin"),
+            an.visitor_token(c("ip"), c("_ua"), c("_host"), salts, c("ts"), lowered=True).alias("visitor"),
+            c("_host").alias("domain"),
+            c("_host").alias("origin"),
             F.concat(F.lit("tracker_"), key).alias("event"),
             F.concat(F.lit("/"), key).alias("path"),
             F.lit("").alias("referrer"),
             web.country_code(c("country")).alias("country"),
-            web.vendor_device(c("ua")).alias("device"),
+            web.vendor_device(c("_ua"), lowered=True).alias("device"),
             F.lit("{}").alias("props"),
         )
     )
@@ -107,7 +110,7 @@ def ga4_params(url: Column, ip: Column, salts: an.SaltBook, ts: Column | None =
     params = sc.query_params(url)
     ids = F.array(
         *[
-            F.struct(F.lit(n).alias("key"), an.client_pseudonym(F.nullif(_param_value(params, n), F.lit("")), salts, ts).alias("value"))
+            F.struct(F.lit(n).alias("key"), an.client_pseudonym(an.non_empty(_param_value(params, n)), salts, ts).alias("value"))
             for n in ("cid", "client_id")
         ]
     )
@@ -184,10 +187,10 @@ def forward_headers(headers: Column, ua: Column, has_body: Column) -> Column:
     )
     kind = F.when(has_body, "application/json").otherwise("text/plain")
     return F.create_map(
-        F.lit("content-type"), F.coalesce(F.nullif(F.try_element_at(low, F.lit("content-type")), F.lit("")), kind),
+        F.lit("content-type"), F.coalesce(an.non_empty(F.try_element_at(low, F.lit("content-type"))), kind),
         F.lit("user-agent"), an.coarsen_ua(ua),
         F.lit("x-forwarded-for"), F.lit("0.0.0.0"),
-        F.lit("accept"), F.coalesce(F.nullif(F.try_element_at(low, F.lit("accept")), F.lit("")), F.lit("*/*")),
+        F.lit("accept"), F.coalesce(an.non_empty(F.try_element_at(low, F.lit("accept"))), F.lit("*/*")),
         F.lit("cookie"), F.lit(""),
     )
 

@@ -48,7 +48,9 @@ def bucket_sizes(events: DataFrame, qi: list[str], visitor: str = "visitor") ->
     return events.groupBy(*qi).agg(F.count("*").alias("events"), F.count_distinct(visitor).alias("visitors"))
 
 
-def release_buckets(events: DataFrame, qi: list[str] | None = None, k: int = K, visitor: str = "visitor") -> DataFrame:
+def release_buckets(
+    events: DataFrame, qi: list[str] | None = None, k: int = K, visitor: str = "visitor", ts: str = "ts"
+) -> DataFrame:
     """Bucket mode: the events of every bucket with at least ``k`` distinct visitors.
 
     Distinct counting shuffles by (bucket, visitor) and the join back spreads the
@@ -57,7 +59,7 @@ def release_buckets(events: DataFrame, qi: list[str] | None = None, k: int = K,
     _check_k(k)
     keyed = events.withColumn("_bucket", _bucket(qi or QI_DEFAULT))
     sizes = bucket_sizes(keyed, ["_bucket"], visitor).where(F.col("visitors") >= k)
-    return hot_key_join(keyed, sizes, ["_bucket"], "events").drop("_bucket")
+    return hot_key_join(keyed, sizes, ["_bucket"], "events", [ts, visitor]).drop("_bucket")
 
 
 def _check_k(k: int) -> None:

@@ -49,44 +49,68 @@ def fixed_window_limit(hits: DataFrame, limit: int, seconds: int, key: str = "ke
 
 
 def _accept(groups: Iterator[pd.DataFrame], limit: int, seconds: int, key: str) -> Iterator[pd.DataFrame]:
-    """Walk (key, second, hits) rows in order and say how many hits of each second pass."""
+    """Walk (key, second, hits) rows in order and say how many hits of each second pass.
+
+    A row with ``used`` set is the counter that an earlier walk left behind.
+    """
     current, used, last = None, 0, 0
     for pdf in groups:
-        accepted = []
-        for k, second, hits in zip(pdf[key], pdf["second"], pdf["hits"]):
+        rows = []
+        for k, second, hits, carried in zip(pdf[key], pdf["second"], pdf["hits"], pdf["used"]):
             if k != current:
                 current, used, last = k, 0, second
+            if carried >= 0:
+                used, last = carried, second
+                continue
             if second >= last + seconds:
                 used = 0
             take = min(hits, limit - used)
             if take > 0:
                 used, last = used + take, second
-            accepted.append(take)
-        out = pdf[[key, "second"]].assign(accepted=accepted)
-        yield out[out["accepted"] > 0]
+                rows.append((k, second, take, used))
+        yield pd.DataFrame(rows, columns=[key, "second", "accepted", "used"])
 
 
-def renewing_limit(hits: DataFrame, limit: int, seconds: int, key: str = "key", ts: str = "ts", tie: str = "hit_id") -> DataFrame:
-    """Every hit with ``allowed``, for a counter whose lifetime restarts at each accepted hit.
+def renewing_counters(
+    hits: DataFrame, limit: int, seconds: int, key: str = "key", ts: str = "ts", state: DataFrame | None = None
+) -> DataFrame:
+    """Accepted hits per key and second, with the counter after them.
 
-    Denied hits do not extend it. Time counts in whole seconds, the unit of the lifetime.
     The walk sees one row per key and second with hits, so its length depends on the time
-    span and not on the number of hits.
+    span and not on the number of hits. ``state`` holds ``(key, second, used)`` of an
+    earlier walk.
     """
-    timed = hits.withColumn("_second", F.unix_timestamp(F.col(ts).cast("timestamp")))
-    per_second = timed.groupBy(key, F.col("_second").alias("second")).agg(F.count("*").alias("hits"))
-    walked = (
-        per_second.repartition(key).sortWithinPartitions(key, "second")
+    second = F.unix_timestamp(F.col(ts).cast("timestamp"))
+    work = hits.groupBy(key, second.alias("second")).agg(F.count("*").alias("hits"), F.lit(-1).cast("bigint").alias("used"))
+    if state is not None:
+        work = work.unionByName(state.select(key, "second", F.lit(0).cast("bigint").alias("hits"), "used"))
+    return (
+        work.repartition(key).sortWithinPartitions(key, F.col("used").desc(), "second")
         .mapInPandas(
             lambda it: _accept(it, limit, seconds, key),
-            f"{key} {dict(hits.dtypes)[key]}, second BIGINT, accepted BIGINT",
+            f"{key} {dict(hits.dtypes)[key]}, second BIGINT, accepted BIGINT, used BIGINT",
         )
     )
+
+
+def renewing_allowed(hits: DataFrame, counters: DataFrame, limit: int, key: str = "key", ts: str = "ts", tie: str = "hit_id") -> DataFrame:
+    """The hits that the counters let through."""
+    timed = hits.withColumn("second", F.unix_timestamp(F.col(ts).cast("timestamp")))
     # Only the first `limit` hits of a second can pass; the cut happens before the shuffle.
-    w = Window.partitionBy(key, "_second").orderBy(ts, tie)
-    heads = timed.select(key, "_second", ts, tie).withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= limit)
-    passed = heads.join(walked.withColumnRenamed("second", "_second"), [key, "_second"]).where(F.col("_rank") <= F.col("accepted"))
-    return _mark(hits, passed, tie)
+    w = Window.partitionBy(key, "second").orderBy(ts, tie)
+    heads = timed.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= limit)
+    passed = heads.join(counters.select(key, "second", "accepted"), [key, "second"]).where(F.col("_rank") <= F.col("accepted"))
+    return passed.select(hits.columns)
+
+
+def renewing_limit(hits: DataFrame, limit: int, seconds: int, key: str = "key", ts: str = "ts", tie: str = "hit_id") -> DataFrame:
+    """Every hit with ``allowed``, for a counter whose lifetime restarts at each accepted hit.
+
+    Denied hits do not extend it. Time counts in whole seconds, the unit of the lifetime.
+    """
+    counters = renewing_counters(hits, limit, seconds, key, ts)
+    narrow = hits.select(key, ts, tie)
+    return _mark(hits, renewing_allowed(narrow, counters, limit, key, ts, tie), tie)
 
 
 def suspicious_sources(

@@ -10,32 +10,25 @@ SALTS = 64
 
 
 def hot_key_join(
-    facts: DataFrame, groups: DataFrame, keys: list[str], weight: str, how: str = "left_semi",
+    facts: DataFrame, groups: DataFrame, keys: list[str], weight: str, spread_by: list[str], how: str = "left_semi",
     hot_rows: int = 1_000_000, salts: int = SALTS,
 ) -> DataFrame:
     """Join ``facts`` to one row per key in ``groups`` without sending a hot key to one task.
 
     ``weight`` is the number of fact rows per key. The heaviest keys (at most
     ``HOT_KEYS``, so the list is safe to broadcast) have their facts spread over
-    ``salts`` buckets and their group row repeated once per bucket. Any other key holds
-    less than 1/``HOT_KEYS`` of the rows or fewer than ``hot_rows``.
+    ``salts`` buckets by a hash of ``spread_by``, and their group row repeated once per
+    bucket. Any other key holds less than 1/``HOT_KEYS`` of the rows or fewer than
+    ``hot_rows``.
     """
     hot = (
         groups.where(F.col(weight) >= hot_rows).orderBy(F.col(weight).desc()).limit(HOT_KEYS)
         .select(*keys, F.lit(True).alias("_hot"))
     )
-    spread = F.pmod(F.xxhash64(*[F.col(c) for c in facts.columns if _hashable(facts, c)]), F.lit(salts)).cast("int")
-    salted = (
-        facts.join(F.broadcast(hot), keys, "left")
-        .withColumn("_salt", F.when(F.col("_hot"), spread).otherwise(0)).drop("_hot")
+    bucket = F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int")
+    every = F.sequence(F.lit(0), F.lit(salts - 1))
+    salted = facts.join(F.broadcast(hot), keys, "left").withColumn("_salt", F.when(F.col("_hot"), bucket).otherwise(0))
+    copies = groups.join(F.broadcast(hot), keys, "left").withColumn(
+        "_salt", F.explode(F.when(F.col("_hot"), every).otherwise(F.array(F.lit(0))))
     )
-    copies = (
-        groups.join(F.broadcast(hot), keys, "left")
-        .withColumn("_salt", F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))))
-        .drop("_hot")
-    )
-    return salted.join(copies, [*keys, "_salt"], how).drop("_salt")
-
-
-def _hashable(df: DataFrame, column: str) -> bool:
-    return df.schema[column].dataType.typeName() not in ("map", "variant")
+    return salted.drop("_hot").join(copies.drop("_hot"), [*keys, "_salt"], how).drop("_salt")

@@ -124,6 +124,15 @@ VIEWS = {
 _NAME = re.compile(r"\{(\w+)\}")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores for a source that has fewer splits than the session has cores.
+
+    A small file is one split; a large source has many and is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 class Inputs:
     """The test tables of one folder and the views over them."""
 
@@ -134,7 +143,7 @@ class Inputs:
     def __getattr__(self, name: str) -> DataFrame:
         if name in VIEWS:
             return self.sql(VIEWS[name])
-        return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+        return spread(self.spark.read.parquet(f"{self.dir}/{name}.parquet"))
 
     def sql(self, text: str) -> DataFrame:
         names = set(_NAME.findall(text))

@@ -13,11 +13,13 @@ from kveil.operators import accounts, audit, classify, events, kanon, limits, re
 from kveil.plans import oracle as sql
 from kveil.plans import reports
 from kveil.plans.inputs import NOW, Inputs, duckdb_views
+from kveil.session import shared_dir
 from kveil.sources import io
 from kveil.sources.rulebase import (
     AUDIT_HOSTS, COOKIE_PREFIXES, INTERCEPT_PATTERNS, ROUTE_PATTERNS, ROUTE_TRACKER, SCRIPT_PATTERNS, load_rules,
     rules_df, template_overrides, templates_df,
 )
+from kveil.streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -178,7 +180,8 @@ _NO_TTL = 400 * 86400
 @query("kanon_arrival", "visits", "SELECT event_id, status FROM labelled",
        ctes=sql.CLEAN_EVENTS + "," + sql.arrival("clean", _ARRIVAL_KEY, 3), recursive=True)
 def kanon_arrival(t):
-    return kanon.release_in_order(clean_events(t), _ARRIVAL_QI, 3, ttl_seconds=_NO_TTL).select("event_id", "status")
+    narrow = clean_events(t).select("event_id", "ts", "visitor", *_ARRIVAL_QI)
+    return kanon.release_in_order(narrow, _ARRIVAL_QI, 3, ttl_seconds=_NO_TTL).select("event_id", "status")
 
 
 _TTL_CTES = sql.CLEAN_EVENTS + "," + sql.arrival("clean", _DAY_KEY, 4, 7200, 60, NOW)
@@ -946,3 +949,49 @@ SELECT event_id, feed_hash FROM feed_events WHERE feed_hash NOT IN (SELECT p.fee
   WHERE k.user_id IN (SELECT id FROM owners))""", ctes=_ENDED_CTE)
 def cascade_feed(t):
     return retention.cascade_delete(t.sql(_ENDED), t.users, t.customers, t.projects, t.feed_events)[1].select("event_id", "feed_hash")
+
+
+# ---------------------------------------------------------------- streams
+
+def _stream(t: Inputs, rows: DataFrame, part: str) -> tuple[DataFrame, str]:
+    """The rows as a file stream, and a folder for the results."""
+    root = shared_dir(t.spark, part)
+    rows.write.parquet(f"{root}/in")
+    return t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1000).parquet(f"{root}/in"), f"{root}/out"
+
+
+def _finish(running) -> None:
+    running.awaitTermination()
+
+
+@query("stream_kanon", "visits", "SELECT event_id FROM labelled WHERE status = 'released'",
+       ctes=sql.CLEAN_EVENTS + "," + sql.arrival("clean", _ARRIVAL_KEY, 3), recursive=True)
+def stream_kanon(t):
+    stream, root = _stream(t, clean_events(t).select("event_id", "ts", "visitor", "event", "hour"), "gate")
+    _finish(jobs.gate_stream(stream, root, _ARRIVAL_QI, 3, ttl_seconds=_NO_TTL, sweep=False))
+    return jobs.released_events(t.spark, root).select("event_id")
+
+
+@query("stream_usage", "usage_log", _USAGE_SQL)
+def stream_usage(t):
+    stream, root = _stream(t, t.usage_log, "usage")
+    _finish(jobs.usage_stream(stream, root))
+    return jobs.stored_usage(t.spark, root)
+
+
+@query("stream_rollup", "visits", """
+SELECT strftime(day, '%Y-%m-%d') AS day, count(*) FILTER (event = 'pageview') AS pageviews, count(DISTINCT visitor) AS uniques
+FROM clean GROUP BY 1""", ctes=sql.CLEAN_EVENTS)
+def stream_rollup(t):
+    columns = ["event_id", "ts", "visitor", "event", "path", "referrer", "country", "device"]
+    stream, root = _stream(t, clean_events(t).select(*columns), "rollup")
+    _finish(jobs.rollup_stream(stream, root))
+    return jobs.stored_totals(t.spark, root).withColumn("day", c("day").cast("string"))
+
+
+@query("stream_limit", "visits", """
+SELECT hit_id FROM (SELECT hit_id, row_number() OVER (PARTITION BY key, epoch_us(ts) // 86400000000 ORDER BY ts, hit_id) AS n FROM hits) WHERE n <= 2""", ctes=_HIT_DUCK)
+def stream_limit(t):
+    stream, root = _stream(t, t.sql(_HITS), "limit")
+    _finish(jobs.fixed_limit_stream(stream, root, 2, 86400))
+    return jobs.allowed_hits(t.spark, root).select("hit_id")
