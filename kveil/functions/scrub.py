@@ -123,21 +123,31 @@ def scrub_url(url: Column, order: str = "phone_first") -> Column:
     )
 
 
-def strip_tracker_url(url: Column, strip_fields: Column, token: Column, order: str = "phone_first") -> Column:
+def strip_tracker_url(
+    url: Column, strip_fields: Column | list[str], token: Column, order: str = "phone_first"
+) -> Column:
     """Drop or pseudonymise the parameters that a tracker rule names, then scrub the URL.
 
-    A parameter is hit when its name starts with a strip field. Stable identifiers keep
+    A parameter is hit when its name starts with a strip field; the fields are a list, or
+    an array column where they differ by row. Stable identifiers keep
     their first occurrence, with the visitor token as value; other hits are dropped. The
     token goes in after scrubbing, so a token that looks like a number survives.
     """
-    fields = F.transform(F.coalesce(strip_fields, F.array().cast("array<string>")), lambda f: F.lower(f))
+    if isinstance(strip_fields, list):
+        prefix = "^(?:" + "|".join(re.escape(f.lower()) for f in strip_fields) + ")"
+    else:
+        fields = F.transform(F.coalesce(strip_fields, F.array().cast("array<string>")), lambda f: F.lower(f))
+
+    def is_hit(key: Column) -> Column:
+        if isinstance(strip_fields, list):
+            return key.rlike(prefix) if strip_fields else F.lit(False)
+        return F.exists(fields, lambda f: key.startswith(f))
 
     def marked(p: Column) -> Column:
         """The parameter that stays, if any; the mark stands for the token."""
         key = _key(p)
-        hit = F.exists(fields, lambda f: key.startswith(f))
         pseudonym = F.when(key.rlike(PSEUDO_PATTERN), F.concat(F.split_part(p, F.lit("="), F.lit(1)), F.lit("=" + _MARK)))
-        return F.when(hit, pseudonym).when(~key.isin(TRACKING_PARAMS), p)
+        return F.when(is_hit(key), pseudonym).when(~key.isin(TRACKING_PARAMS), p)
 
     params = F.transform(query_params(url), marked)
     # Only replaced parameters can be equal: each identifier keeps its first place.

@@ -11,39 +11,35 @@ from kveil.sources.rulebase import (
 )
 
 
-def _matches(url_low: Column, host: Column, rule: Rule, match: str) -> Column:
-    tests = []
-    for pattern in rule.patterns:
-        low = pattern.lower()
-        if match == "host_suffix" and "/" not in low and not low.endswith((".php", ".js", ".")):
-            domain = low.lstrip(".")
-            tests.append((host == domain) | host.endswith("." + domain))
-        else:
-            tests.append(F.contains(url_low, F.lit(low)))
-    out = tests[0]
-    for test in tests[1:]:
-        out = out | test
-    return out
+def _text(value: str) -> str:
+    """SQL string literal."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _test(pattern: str, url_low: str, host: str, match: str) -> str:
+    low = pattern.lower()
+    if match == "host_suffix" and "/" not in low and not low.endswith((".php", ".js", ".")):
+        domain = low.lstrip(".")
+        return f"{host} = {_text(domain)} OR endswith({host}, {_text('.' + domain)})"
+    return f"contains({url_low}, {_text(low)})"
 
 
-def tracker_of(
-    url_low: Column, host: Column | None = None, rules: list[Rule] | None = None, match: str = "contains"
-) -> Column:
+def tracker_of(url_low: str, host: str = "", rules: list[Rule] | None = None, match: str = "contains") -> Column:
     """Key of the first rule with a pattern in the lower-cased URL, or null.
 
-    Give plain columns, not expressions: each is used once per pattern. ``host_suffix``
-    compares host patterns with the end of the host, so a short pattern can not hit in
-    the middle of another name.
+    Takes column names: each is read once per pattern. ``host_suffix`` compares host
+    patterns with the end of the host, so a short pattern can not hit in the middle of
+    another name.
     """
-    out = None
-    for rule in rules or load_rules():
-        test = _matches(url_low, host, rule, match)
-        out = F.when(test, rule.key) if out is None else out.when(test, rule.key)
-    return out
+    cases = [
+        f"WHEN {' OR '.join(_test(p, url_low, host, match) for p in rule.patterns)} THEN {_text(rule.key)}"
+        for rule in rules or load_rules()
+    ]
+    return F.expr(f"CASE {' '.join(cases)} END")
 
 
 def _lookup(pairs: dict[str, str], key: Column) -> Column:
-    return F.try_element_at(F.create_map(*[F.lit(x) for kv in pairs.items() for x in kv]), key)
+    return F.try_element_at(F.expr(f"map({', '.join(_text(x) for kv in pairs.items() for x in kv)})"), key)
 
 
 def template_action(template: Column | str, tracker: Column, rules: list[Rule] | None = None) -> Column:
@@ -72,7 +68,7 @@ def resolve_trackers(
     # Lower-casing is a step of its own, so that it runs once per row and not per pattern.
     host = F.coalesce(web.url_host(F.col(url), with_port=False), F.lit("")) if match == "host_suffix" else F.lit(None)
     out = requests.withColumns({"_low": F.lower(F.col(url)), "_host": host})
-    out = out.withColumn("_built_in", tracker_of(F.col("_low"), F.col("_host"), rules, match))
+    out = out.withColumn("_built_in", tracker_of("_low", "_host", rules, match))
     if custom_rules is None:
         own = F.lit(None).cast("struct<ord:int,domain:string,action:string>")
     else:

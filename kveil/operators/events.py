@@ -77,46 +77,47 @@ def vendor_events(requests: DataFrame, salts: an.SaltBook) -> DataFrame:
 def strip_requests(requests: DataFrame, salts: an.SaltBook, order: str = "phone_first") -> DataFrame:
     """Vendor-route requests with their URL and body anonymised."""
     c = F.col
-    fields = {r.key: r.strip_fields for r in load_rules()}
-    route = web.vendor_route(c("url"))
-    per_route = F.create_map(
-        *[x for name, key in ROUTE_TRACKER.items() for x in (F.lit(name), F.array(*[F.lit(f) for f in fields[key]]))]
-    )
+    fields = {r.key: list(r.strip_fields) for r in load_rules()}
+    clean_url = F.lit(None).cast("string")
+    for name, key in ROUTE_TRACKER.items():
+        stripped = sc.strip_tracker_url(c("url"), fields[key], c("visitor"), order)
+        clean_url = F.when(c("route") == name, stripped).otherwise(clean_url)
     token = an.visitor_token(c("ip"), c("ua"), web.origin_host(c("origin")), salts, c("ts"))
-    body = F.when(c("method") == "POST", sc.scrub_json(c("body"), order)) if "body" in requests.columns else F.lit(None)
+    body = sc.scrub_json(F.when(c("method") == "POST", c("body")), order) if "body" in requests.columns else F.lit(None)
     return (
-        requests.withColumn("route", route).where("route <> 'generic'")
+        requests.withColumn("route", web.vendor_route(c("url"))).where("route <> 'generic'")
         .withColumn("visitor", token)
-        .withColumn("clean_url", sc.strip_tracker_url(c("url"), per_route[c("route")], c("visitor"), order))
+        .withColumn("clean_url", clean_url)
         .withColumn("clean_body", body)
     )
 
 
-def _param_value(params: Column, name: str) -> Column:
-    found = F.filter(params, lambda p: F.split_part(p, F.lit("="), F.lit(1)) == name)
-    value = F.regexp_replace(F.try_element_at(found, F.lit(1)), "^[^=]*=?", "")
-    return F.coalesce(F.try_url_decode(value), value)
+def _listed_params(url: Column, names: list[str], value) -> Column:
+    """Map of the first occurrence of each listed, non-empty parameter, with ``value`` of its text."""
+
+    def name(p: Column) -> Column:
+        return F.split_part(p, F.lit("="), F.lit(1))
+
+    def entry(p: Column) -> Column:
+        raw = F.regexp_replace(p, "^[^=]*=?", "")
+        return F.struct(name(p).alias("key"), value(F.coalesce(F.try_url_decode(raw), raw)).alias("value"))
+
+    found = F.filter(sc.query_params(url), lambda p: name(p).isin(names) & p.rlike("=."))
+    keys = F.transform(found, name)
+    first = F.filter(found, lambda p, i: F.array_position(keys, name(p)) == i.cast("long") + 1)
+    return F.map_from_entries(F.transform(first, entry))
 
 
 def allowed_params(url: Column, names: list[str]) -> Column:
     """Map of the listed, non-empty query parameters, values cut to the cap."""
-    params = sc.query_params(url)
-    pairs = F.array(*[F.struct(F.lit(n).alias("key"), F.substring(_param_value(params, n), 1, PARAM_CAP).alias("value")) for n in names])
-    return F.map_from_entries(F.filter(pairs, lambda e: F.coalesce(e["value"], F.lit("")) != ""))
+    return _listed_params(url, names, lambda v: F.substring(v, 1, PARAM_CAP))
 
 
 def ga4_params(url: Column, ip: Column, salts: an.SaltBook, ts: Column | None = None) -> Column:
     """Kept GA4 parameters, with pseudonyms for the client id and the address."""
-    params = sc.query_params(url)
-    ids = F.array(
-        *[
-            F.struct(F.lit(n).alias("key"), an.client_pseudonym(an.non_empty(_param_value(params, n)), salts, ts).alias("value"))
-            for n in ("cid", "client_id")
-        ]
-    )
     return F.map_concat(
         allowed_params(url, GA4_PARAMS),
-        F.map_from_entries(F.filter(ids, lambda e: e["value"].isNotNull())),
+        _listed_params(url, ["cid", "client_id"], lambda v: an.client_pseudonym(v, salts, ts)),
         F.create_map(F.lit("uip"), an.anonymize_ip(ip, salts, ts)),
     )
 

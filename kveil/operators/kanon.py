@@ -220,15 +220,16 @@ def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.concat_tables(pending)
 
 
-def release_in_order(
+def arrival_status(
     events: DataFrame, qi: list[str] | None = None, k: int = K, ttl_seconds: int = TTL_SECONDS,
     sweep_seconds: int | None = None, as_of: str | None = None, ts: str = "ts", tie: str = "event_id",
     visitor: str = "visitor", chunks: int | None = None,
 ) -> DataFrame:
-    """Arrival mode: every event with its ``status``: released, dropped or held.
+    """Arrival mode: ``tie`` and ``status`` (released, dropped or held) of every event.
 
-    The order is ``(ts, tie)`` and ``tie`` must be unique. Sweeps happen at multiples of
-    ``sweep_seconds``. With ``as_of`` (a UTC timestamp) a last sweep runs then.
+    The order is ``(ts, tie)``; ``tie`` must be a stored, unique id. Sweeps happen at
+    multiples of ``sweep_seconds``. With ``as_of`` (a UTC timestamp) a last sweep runs
+    then.
 
     The rows are range-partitioned by (bucket, time), so a heavy bucket is spread over
     many chunks of even size. Each chunk is reduced to a small summary for the buckets
@@ -239,9 +240,9 @@ def release_in_order(
     sweep_seconds = sweep_seconds or max(1, min(ttl_seconds, SWEEP_SECONDS))
     as_of_us = int(pd.Timestamp(as_of, tz="UTC").value // 1000) if as_of else None
     gate = Gate(k, ttl_seconds * 1_000_000, sweep_seconds * 1_000_000, as_of_us)
-    keyed = events.withColumns({
-        "_bucket": _bucket(qi or QI_DEFAULT), "_us": F.unix_micros(F.col(ts).cast("timestamp")),
-    })
+    keyed = events.select(
+        _bucket(qi or QI_DEFAULT).alias("_bucket"), F.unix_micros(F.col(ts).cast("timestamp")).alias("_us"), tie, visitor
+    )
     if chunks is None:
         shuffle = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         chunks = max(shuffle, -(-events.count() // CHUNK_ROWS))
@@ -286,15 +287,22 @@ def release_in_order(
             for a, b in _segments(keys):
                 text = state[a].as_py()
                 status += _label(gate, times[a:b], who[a:b], json.loads(text) if text else None)
-            kept = table.select(names).append_column("status", pa.array(status, pa.string()))
-            yield from kept.to_batches()
+            yield from table.select([tie]).append_column("status", pa.array(status, pa.string())).to_batches()
 
-    names = events.columns
-    schema = T.StructType([*events.schema.fields, T.StructField("status", T.StringType())])
+    schema = T.StructType([events.schema[tie], T.StructField("status", T.StringType())])
     # At most two states per chunk, so the broadcast is bounded by the number of chunks.
     return ordered.join(F.broadcast(states), ["_bucket", "_chunk"], "left").mapInArrow(label, schema)
 
 
+def release_in_order(events: DataFrame, qi: list[str] | None = None, k: int = K, tie: str = "event_id", **options) -> DataFrame:
+    """Every event with its ``status`` in arrival mode; options as in ``arrival_status``.
+
+    Only keys, times and visitors go through the gate. The other columns meet the result
+    by the unique id, which can not be skewed, and only as far as the caller reads them.
+    """
+    return events.join(arrival_status(events, qi, k, tie=tie, **options), tie)
+
+
 def gate_state(labelled: DataFrame, qi: list[str], k: int = K) -> DataFrame:
     """``k``, open buckets and buffered events."""
     per_bucket = labelled.where(F.col("status") == HELD).groupBy(*qi).agg(F.count("*").alias("n"))

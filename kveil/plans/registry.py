@@ -180,21 +180,19 @@ _NO_TTL = 400 * 86400
 @query("kanon_arrival", "visits", "SELECT event_id, status FROM labelled",
        ctes=sql.CLEAN_EVENTS + "," + sql.arrival("clean", _ARRIVAL_KEY, 3), recursive=True)
 def kanon_arrival(t):
-    narrow = clean_events(t).select("event_id", "ts", "visitor", *_ARRIVAL_QI)
-    return kanon.release_in_order(narrow, _ARRIVAL_QI, 3, ttl_seconds=_NO_TTL).select("event_id", "status")
+    return kanon.arrival_status(clean_events(t), _ARRIVAL_QI, 3, ttl_seconds=_NO_TTL)
 
 
 _TTL_CTES = sql.CLEAN_EVENTS + "," + sql.arrival("clean", _DAY_KEY, 4, 7200, 60, NOW)
 
 
 def _ttl_labels(t: Inputs, as_of: str = NOW) -> DataFrame:
-    narrow = clean_events(t).select("event_id", "ts", "visitor", *_DAY_QI)
-    return kanon.release_in_order(narrow, _DAY_QI, 4, ttl_seconds=7200, as_of=as_of)
+    return kanon.release_in_order(clean_events(t), _DAY_QI, 4, ttl_seconds=7200, as_of=as_of)
 
 
 @query("kanon_arrival_ttl", "visits", "SELECT event_id, status FROM labelled", ctes=_TTL_CTES, recursive=True)
 def kanon_arrival_ttl(t):
-    return _ttl_labels(t).select("event_id", "status")
+    return kanon.arrival_status(clean_events(t), _DAY_QI, 4, ttl_seconds=7200, as_of=NOW)
 
 
 @query("kanon_dropped", "visits", """

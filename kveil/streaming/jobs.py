@@ -27,7 +27,7 @@ def gate_stream(
             F.date_format(F.col("t") - F.make_dt_interval(secs=F.lit(delay_seconds)), "yyyy-MM-dd HH:mm:ss.SSSSSS")
         ).first()[0]
         labelled = folder.write(
-            kanon.release_in_order(rows, qi, k, ttl_seconds, as_of=newest if sweep else None, **options), "labelled"
+            kanon.release_in_order(rows, qi, k, ttl_seconds=ttl_seconds, as_of=newest if sweep else None, **options), "labelled"
         )
         folder.write(labelled.where(F.col("status") == kanon.HELD).drop("status"), "held")
         counts = labelled.groupBy("status").agg(F.count("*").alias("events"))
