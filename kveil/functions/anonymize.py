@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
 from collections.abc import Callable, Iterable
 
@@ -91,8 +92,9 @@ def salt_epoch(ts: Column, rotation_ms: int = DAY_MS) -> Column:
 
 
 class SaltBook:
-    """One random 32-byte salt per epoch, held by the driver and never written anywhere.
+    """One random 32-byte salt per epoch, held by the driver and never written to a table.
 
+    Use ``kveil.session.CONF``: its redaction rule hides the salts in query plans.
     ``provider`` maps an epoch to its salt; give one when several jobs (or a restarted
     stream) must agree on the tokens of an open day.
     """
@@ -117,6 +119,10 @@ class SaltBook:
                 self._salts[epoch] = self._provider(epoch)
         return self
 
+    def fingerprint(self, epoch: int) -> str:
+        """Short hash that tells salts apart without showing them."""
+        return hashlib.sha256(self._fixed or self._salts[epoch]).hexdigest()[:8]
+
     def forget_before(self, epoch: int) -> None:
         """Drop the salts of finished epochs: their tokens can not be rebuilt any more."""
         self._salts = {e: s for e, s in self._salts.items() if e >= epoch}

@@ -112,12 +112,16 @@ def effective_config(choices: DataFrame, rules: DataFrame, templates: DataFrame,
     )
 
 
-def action_counts(config: DataFrame) -> DataFrame:
-    """Trackers per action and customer."""
-    return config.groupBy("customer_id").agg(
+def action_counts(config: DataFrame, custom_rules: DataFrame | None = None) -> DataFrame:
+    """Trackers per action and customer, and the number of custom rules if they are given."""
+    counts = config.groupBy("customer_id").agg(
         F.count("*").alias("total"),
         *[F.count_if(F.col("action") == a).alias(n) for a, n in (("block", "blocked"), ("strip", "stripped"), ("allow", "allowed"))],
     )
+    if custom_rules is None:
+        return counts
+    own = custom_rules.groupBy("customer_id").agg(F.count("*").alias("custom"))
+    return counts.join(own, "customer_id", "left").withColumn("custom", F.coalesce("custom", F.lit(0)))
 
 
 def search_catalogue(rules: DataFrame, category: str | None = None, search: str = "") -> DataFrame:

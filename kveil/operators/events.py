@@ -16,7 +16,7 @@ META_PARAMS = "id ev".split()
 GENERIC_DROP = "client_id user_id _ga _gid _fbc _fbp uid email phone".split()
 GA4_EVENT_DROP = "user_id email phone name ip_override".split()
 SKIP_HEADERS = "cookie referer x-forwarded-for x-real-ip x-client-data origin x-requested-with authorization".split()
-PARAM_CAP = 200
+PARAM_CAP, URL_CAP = 200, 2000
 
 
 def build_events(
@@ -108,6 +108,16 @@ def _listed_params(url: Column, names: list[str], value) -> Column:
     return F.map_from_entries(F.transform(first, entry))
 
 
+def original_url(relay_url: Column, headers: Column | None = None, header: str = "x-original-url") -> Column:
+    """Tracker URL that a relay request carries: its ``_orig`` parameter, else a header; else empty."""
+    carried = F.try_element_at(_listed_params(relay_url, ["_orig"], lambda v: F.substring(v, 1, URL_CAP)), F.lit("_orig"))
+    found = [carried]
+    if headers is not None:
+        matching = F.map_values(F.map_filter(headers, lambda k, v: F.lower(k) == header))
+        found.append(F.try_element_at(matching, F.lit(1)))
+    return F.coalesce(*found, F.lit(""))
+
+
 def allowed_params(url: Column, names: list[str]) -> Column:
     """Map of the listed, non-empty query parameters, values cut to the cap."""
     return _listed_params(url, names, lambda v: F.substring(v, 1, PARAM_CAP))

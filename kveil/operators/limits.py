@@ -113,6 +113,13 @@ def renewing_limit(hits: DataFrame, limit: int, seconds: int, key: str = "key",
     return _mark(hits, renewing_allowed(narrow, counters, limit, key, ts, tie), tie)
 
 
+def apply_policy(hits: DataFrame, name: str, key: str = "key", ts: str = "ts", tie: str = "hit_id") -> DataFrame:
+    """Every hit with ``allowed`` under one of the listed limits."""
+    limit, seconds, kind = {p[0]: p[1:] for p in POLICIES}[name]
+    apply = fixed_window_limit if kind == "fixed" else renewing_limit
+    return apply(hits, limit, seconds, key, ts, tie)
+
+
 def suspicious_sources(
     failures: DataFrame, source: str = "source", ts: str = "ts",
     threshold: int = SUSPICIOUS_FAILURES, seconds: int = SUSPICIOUS_SECONDS,

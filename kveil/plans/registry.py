@@ -390,9 +390,10 @@ def effective_config(t):
 
 @query("action_counts", "", f"""
 SELECT customer_id, count(*) AS total, count(*) FILTER (action = 'block') AS blocked, count(*) FILTER (action = 'strip') AS stripped,
-  count(*) FILTER (action = 'allow') AS allowed FROM ({_CONFIG_SQL}) GROUP BY 1""", ctes=_CONFIG_CTE)
+  count(*) FILTER (action = 'allow') AS allowed, any_value(n.custom) AS custom FROM ({_CONFIG_SQL})
+  JOIN (SELECT customer_id, count(*) AS custom FROM ({_CUSTOM_DUCK}) GROUP BY 1) n USING (customer_id) GROUP BY 1""", ctes=_CONFIG_CTE)
 def action_counts(t):
-    return classify.action_counts(_config(t))
+    return classify.action_counts(_config(t), t.sql(_CUSTOM))
 
 
 _ROUTE_SQL = (
@@ -408,6 +409,14 @@ def route_vendor(t):
 _INTERCEPT_SQL = "(NOT starts_with({u}, 'https://relay.example') AND regexp_matches({u}, '" + "|".join(INTERCEPT_PATTERNS) + "'))"
 
 
+@query("original_urls", "requests", "SELECT request_id, url FROM requests")
+def original_urls(t):
+    relay = F.concat(F.lit("https://relay.example/proxy/x?k=1&_orig="), F.url_encode(c("url")), F.lit("&b=2"))
+    return t.requests.select("request_id", relay.alias("relay_url")).select(
+        "request_id", events.original_url(c("relay_url")).alias("url")
+    )
+
+
 @query("intercept_requests", "requests", f"""
 SELECT request_id, {_INTERCEPT_SQL.format(u='url')} AS intercepted, split_part(url, '?', 1) AS bare_url FROM requests""")
 def intercept_requests(t):

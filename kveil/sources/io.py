@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kveil.functions.fields import SECURITY_EVENTS
@@ -67,6 +67,6 @@ def select_security_events(events: DataFrame) -> DataFrame:
     return events.where(F.col("event_type").isin(SECURITY_EVENTS))
 
 
-def write_clean_requests(requests: DataFrame, path: str, month: Column | None = None) -> None:
+def write_clean_requests(requests: DataFrame, path: str) -> None:
     """Hand anonymised requests to a downstream forwarder as files."""
     requests.write.mode("append").parquet(path)

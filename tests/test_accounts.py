@@ -106,3 +106,8 @@ def test_suspicious_sources(spark):
     rows = hits(spark, [0, 3599, 7198, 7199, 7200, 20_000], "ip").withColumnRenamed("key", "source")
     out = limits.suspicious_sources(rows).orderBy("first_failure").collect()
     assert [(r.failures, r.flagged, r.suspicious) for r in out] == [(5, 1, True), (1, 0, False)]
+
+
+def test_named_policies(spark):
+    assert allowed(limits.apply_policy(hits(spark, range(7)), "login")) == [True] * 5 + [False] * 2
+    assert allowed(limits.apply_policy(hits(spark, range(5)), "erase")) == [True] * 3 + [False] * 2

@@ -65,3 +65,15 @@ def test_client_ids_stay_distinct(values):
     out = values(lambda x: an.client_pseudonym(x, SALTS), ["123.456", "123.457"])
     assert out[0] != out[1]
     assert values(lambda x: an.anonymize_ip(x, SALTS), ["", None]) == ["unknown", "unknown"]
+
+
+def test_salts_stay_out_of_plans(spark, capsys):
+    import secrets
+
+    salt = secrets.token_bytes(32)
+    spark.range(1).select(an.keyed_token(F.lit("m"), an.SaltBook.fixed(salt)).alias("t"), F.rand().alias("r")).explain("extended")
+    spark.range(1).select(an.keyed_token(F.col("id").cast("string"), an.SaltBook.fixed(salt)).alias("t")).explain("extended")
+    shown = capsys.readouterr().out.lower()
+    pads = [an._pad(salt, b).hex() for b in (0x36, 0x5C)]
+    assert "sha2" in shown and not any(p[:40] in shown for p in pads)
+    assert len(an.SaltBook.fixed(salt).fingerprint(1)) == 8

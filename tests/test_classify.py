@@ -119,3 +119,10 @@ def test_dispositions(spark):
         ("dropped", "blocked"), ("dropped", None), ("forwarded", "stripped"), ("blocked", "blocked"), ("forwarded", "stripped"),
         ("forwarded", "allowed"), ("processed", "allowed"),
     ]
+
+
+def test_original_url(spark):
+    rows = [("https://r/p?_orig=https%3A%2F%2Fx.nl%2Fa%3Fb%3D1&k=2", {}), ("https://r/p", {"X-Original-Url": "https://y.nl"}), ("https://r/p", {})]
+    df = spark.createDataFrame(rows, "u string, h map<string,string>")
+    out = [r[0] for r in df.select(events.original_url(F.col("u"), F.col("h"))).collect()]
+    assert out == ["https://x.nl/a?b=1", "https://y.nl", ""]
