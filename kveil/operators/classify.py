@@ -62,7 +62,7 @@ def resolve_trackers(
 
     The built-in rules are part of the projection: no join and no shuffle. Custom rules
     (``customer_id, ord, domain, action``) come first and are joined by customer, each
-    customer's list as one ordered array.
+    customer's list (a setting that a person keeps) as one ordered array.
     """
     rules = rules or load_rules()
     # Lower-casing is a step of its own, so that it runs once per row and not per pattern.

@@ -26,7 +26,7 @@ QI_DEFAULT = ["domain", *QI_PARITY]
 QI_EMPTY = {"event": "pageview", "path": "/", "country": "??", "device": "other"}
 
 K, TTL_SECONDS, SWEEP_SECONDS = 5, 30 * 60, 60
-CHUNK_ROWS = 1_000_000
+CHUNK_ROWS, SMALL_CHUNK_ROWS = 1_000_000, 10_000
 RELEASED, DROPPED, HELD = "released", "dropped", "held"
 
 
@@ -245,7 +245,8 @@ def arrival_status(
     )
     if chunks is None:
         shuffle = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        chunks = max(shuffle, -(-events.count() // CHUNK_ROWS))
+        rows = events.count()
+        chunks = max(1, -(-rows // CHUNK_ROWS), min(shuffle, rows // SMALL_CHUNK_ROWS))
     order = ["_bucket", "_us", tie]
     ordered = keyed.repartitionByRange(chunks, *order).sortWithinPartitions(*order)
     # Both scans must see the same chunks: they are stored once.

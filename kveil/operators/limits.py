@@ -1,8 +1,9 @@
 """Rate limits and suspicious sources.
 
 A source may send a third of all hits. Fixed windows use a ranked limit, which Spark
-also applies before the shuffle; renewing limits and sessions first reduce each source
-to one row per time unit.
+also applies before the shuffle (up to ``spark.sql.optimizer.windowGroupLimitThreshold``,
+1000 by default: raise it for larger limits); renewing limits and sessions first reduce
+each source to one row per time unit.
 """
 
 from __future__ import annotations

@@ -22,9 +22,9 @@ def daily_totals(events: DataFrame, ts: str = "ts", visitor: str = "visitor") ->
 
 
 def daily_dimensions(
-    events: DataFrame, ts: str = "ts", tie: str = "event_id", min_visitors: int | None = None, visitor: str = "visitor"
+    events: DataFrame, ts: str = "ts", min_visitors: int | None = None, visitor: str = "visitor"
 ) -> DataFrame:
-    """Counts per day, dimension and key, with the first event of each key.
+    """Counts per day, dimension and key, with the time each key was first seen.
 
     ``min_visitors`` drops keys with fewer distinct visitors, so that also dimensions
     outside the quasi-identifiers (such as referrers) keep the floor.
@@ -36,9 +36,9 @@ def daily_dimensions(
     }
     cells = F.array(*[F.struct(F.lit(d).alias("dimension"), v.alias("key")) for d, v in values.items()])
     long = events.select(
-        F.to_date(ts).alias("day"), F.struct(F.col(ts).alias("ts"), F.col(tie).alias("tie")).alias("at"),
-        *([visitor] if min_visitors else []), F.inline(cells),
+        F.to_date(ts).alias("day"), F.col(ts).alias("at"), *([visitor] if min_visitors else []), F.inline(cells),
     ).where(F.coalesce(F.col("key"), F.lit("")) != "")
+    # A plain time has a fixed width, so this stays a hash aggregate.
     counts = long.groupBy("day", "dimension", "key").agg(
         F.count("*").alias("cnt"), F.min("at").alias("first_seen"),
         *([F.count_distinct(visitor).alias("_visitors")] if min_visitors else []),
@@ -54,9 +54,9 @@ def top_keys(dimensions: DataFrame, n: int = TOP_N) -> DataFrame:
     return dimensions.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
 
 
-def daily_report(events: DataFrame, ts: str = "ts", tie: str = "event_id", visitor: str = "visitor", n: int = TOP_N) -> DataFrame:
+def daily_report(events: DataFrame, ts: str = "ts", visitor: str = "visitor", n: int = TOP_N) -> DataFrame:
     """One row per day: totals and the top keys of every dimension as ordered arrays."""
-    ranked = top_keys(daily_dimensions(events, ts, tie), n)
+    ranked = top_keys(daily_dimensions(events, ts), n)
     item = F.struct("rank", F.struct("key", F.col("cnt").alias("count")).alias("item"))
     lists = ranked.groupBy("day").agg(*[
         F.transform(F.sort_array(F.collect_list(F.when(F.col("dimension") == d, item))), lambda e: e["item"]).alias(f"top_{d}s")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from kveil.functions.scrub import REDACT_KEYS, TRACKING_PARAMS
+from kveil.functions.scrub import TRACKING_PARAMS
 
 TEST_SALT = bytes(range(32))
 _PAD_IN = bytes(b ^ 0x36 for b in TEST_SALT.ljust(64, b"\0")).hex()
@@ -101,11 +101,6 @@ CLEAN_EVENTS = f"""clean AS (
   FROM visits)"""
 
 
-def redact_flat(keys: list[str]) -> str:
-    """True for a redacted key name."""
-    return f"lower(k) IN ({words(REDACT_KEYS)})"
-
-
 def arrival(source: str, bucket: str, k: int, ttl: int | None = None, sweep: int = 60, as_of: str | None = None) -> str:
     """CTEs ending in ``labelled(event_id, status, ...)``: the arrival-mode gate, row by row."""
     late = "false" if ttl is None else f"o.us // {sweep}000000 >= (s.first_us + {ttl}000000) // {sweep}000000 + 1"

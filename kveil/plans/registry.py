@@ -679,18 +679,17 @@ def page_leakage(t):
     return _leakage(t).select("page_host", "total", *[F.array_join(s, ",").alias(s) for s in ("direct", "relayed")])
 
 
-_ATTEST_PER_HOST = """SELECT domain, max_by(enrolled, event_id) AS enrolled, max_by(signature_valid, event_id) AS signature_valid FROM {attestations} GROUP BY domain"""
-
-
 @query("leakage_verdict", "requests attestations", """
 SELECT l.page_host, l.total, CASE WHEN ok AND direct = '' THEN 'protected' WHEN ok THEN 'partial' WHEN direct <> '' THEN 'unprotected' ELSE 'clean' END AS verdict
 FROM (SELECT l.*, coalesce(a.enrolled, false) AND coalesce(a.signature_valid, true) AS ok FROM leak l LEFT JOIN
   (SELECT x.domain, x.enrolled, x.signature_valid FROM attestations x JOIN (SELECT domain, max(event_id) AS m FROM attestations GROUP BY 1) y ON x.event_id = y.m) a
   ON a.domain = l.page_host) l""", ctes=_AUDIT_CTE)
 def leakage_verdict(t):
-    # max_by skips no nulls: the newest attestation counts, whatever it says.
-    newest = t.attestations.groupBy("domain").agg(F.max(F.struct("event_id", "enrolled", "signature_valid")).alias("a"))
-    return audit.leakage_verdict(_leakage(t), newest.select("domain", "a.enrolled", "a.signature_valid")).select("page_host", "total", "verdict")
+    # The newest attestation counts, also where its signature could not be checked.
+    newest = t.attestations.groupBy("domain").agg(
+        *[F.max_by(x, "event_id").alias(x) for x in ("enrolled", "signature_valid")]
+    )
+    return audit.leakage_verdict(_leakage(t), newest).select("page_host", "total", "verdict")
 
 
 def _projects(t: Inputs) -> DataFrame:

@@ -52,7 +52,7 @@ def parse_json_list(df: DataFrame, value: str, schema: str = schemas.FEED_EVENT)
 
 
 def write_by_day(df: DataFrame, path: str, day: str = "day") -> None:
-    """Overwrite only the days that ``df`` holds."""
+    """Overwrite only the days (or the values of another partition column) that ``df`` holds."""
     (
         df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
         .partitionBy(day).parquet(path)

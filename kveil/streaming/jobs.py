@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from kveil.operators import kanon, limits, rollup, usage
+from kveil.sources import io
 from kveil.streaming.batches import BatchFolder, read_part, run_batches
 
 
@@ -54,6 +55,11 @@ def stored_usage(spark: SparkSession, root: str) -> DataFrame:
     return read_part(spark, root, "usage").groupBy("customer_id", "month").agg(*[F.sum(x).alias(x) for x in usage.COUNTERS])
 
 
+def publish_usage(spark: SparkSession, root: str, path: str) -> None:
+    """Write the counters as a table by month, replacing the months that have counts."""
+    io.write_by_day(stored_usage(spark, root), path, day="month")
+
+
 def rollup_stream(events: DataFrame, root: str, trigger: dict | None = None):
     """Fold events into per-batch aggregates; the events themselves are not kept.
 

@@ -41,6 +41,8 @@ def test_usage_over_batches(spark, tmp_path):
     log = timeline(spark).select("event_id", F.col("b").alias("customer_id"), "ts", F.lit("strip").alias("action"))
     jobs.usage_stream(feed(spark, log, str(tmp_path / "in"), 3, "event_id"), str(tmp_path / "out")).awaitTermination()
     assert sorted(jobs.stored_usage(spark, str(tmp_path / "out")).collect()) == sorted(usage.monthly_usage(log).collect())
+    jobs.publish_usage(spark, str(tmp_path / "out"), str(tmp_path / "table"))
+    assert spark.read.parquet(str(tmp_path / "table")).agg(F.sum("requests")).first()[0] == 400
 
 
 def test_rollup_over_batches(spark, tmp_path):
