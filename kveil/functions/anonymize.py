@@ -6,10 +6,11 @@ import hashlib
 import os
 from collections.abc import Callable, Iterable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 DAY_MS = 86_400_000
+REDACTION, SALT_LITERAL = "spark.sql.redaction.string.regex", "(0x|X')[0-9A-Fa-f]{128}"
 _BLOCK = 64  # SHA-256 block size in bytes
 
 # White space as JavaScript's trim and \s see it.
@@ -94,7 +95,8 @@ def salt_epoch(ts: Column, rotation_ms: int = DAY_MS) -> Column:
 class SaltBook:
     """One random 32-byte salt per epoch, held by the driver and never written to a table.
 
-    Use ``kveil.session.CONF``: its redaction rule hides the salts in query plans.
+    The salts are literals of the query, so a redaction rule keeps them out of plans in
+    the UI and the event log; it is set here unless the session has a rule of its own.
     ``provider`` maps an epoch to its salt; give one when several jobs (or a restarted
     stream) must agree on the tokens of an open day.
     """
@@ -129,6 +131,9 @@ class SaltBook:
 
     def pads(self, ts: Column | None) -> tuple[Column, Column]:
         """Inner and outer HMAC key blocks for each row; null where no salt is held."""
+        session = SparkSession.getActiveSession()
+        if session is not None and not session.conf.get(REDACTION, None):
+            session.conf.set(REDACTION, SALT_LITERAL)
         if self._fixed is not None:
             return F.lit(_pad(self._fixed, 0x36)), F.lit(_pad(self._fixed, 0x5C))
         if not self._salts:

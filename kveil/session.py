@@ -11,7 +11,7 @@ CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.python.sql.dataFrameDebugging.enabled": "false",  # call sites cost driver time on long expressions
     # Salt blocks are literals of 64 bytes: keep them out of plans in the UI and the event log.
-    "spark.sql.redaction.string.regex": "0x[0-9A-Fa-f]{128}",
+    "spark.sql.redaction.string.regex": "(0x|X')[0-9A-Fa-f]{128}",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
