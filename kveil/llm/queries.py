@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kveil.llm import quality_rules, sharding
+from kveil.llm import packing, quality_rules, sharding, token_files
+from kveil.session import shared_dir
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,6 +16,17 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def _vocabulary(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = packing.pieces(_table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"), end_id=0, leading_space=True)
+    return packing.pack(cut)
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.judge(quality_rules.measure(_table(spark, sf_dir, "documents")))
     return judged.select(
@@ -29,9 +41,17 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = shared_dir(spark, "token-files")
+    token_files.write(_table(spark, sf_dir, "documents"), folder, _vocabulary("word_bpe_49k.json"), end_id=1, leading_space=False)
+    return token_files.digest(token_files.read(spark, folder))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_packing": op2_packing,
     "op5_quality_rules": op5_quality_rules,
     "op6_sharding": op6_sharding,
+    "op10_token_files": op10_token_files,
 }
 ORACLES: dict[str, str] = {
     "op5_quality_rules": quality_rules.oracle_sql(),
