@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kveil.llm import packing, quality_rules, sharding, token_files
+from kveil.llm import inverted_index, packing, quality_rules, sharding, token_files
 from kveil.session import shared_dir
 
 
@@ -27,6 +27,11 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(cut)
 
 
+def op3_inverted_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = inverted_index.build(_table(spark, sf_dir, "documents"), shared_dir(spark, "inverted-index"))
+    return inverted_index.summarise(inverted_index.search(index, _table(spark, sf_dir, "benchmark")))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.judge(quality_rules.measure(_table(spark, sf_dir, "documents")))
     return judged.select(
@@ -49,6 +54,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_packing": op2_packing,
+    "op3_inverted_index": op3_inverted_index,
     "op5_quality_rules": op5_quality_rules,
     "op6_sharding": op6_sharding,
     "op10_token_files": op10_token_files,
