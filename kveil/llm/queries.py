@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kveil.llm import inverted_index, packing, quality_rules, sharding, token_files
+from kveil.llm import inverted_index, jaccard_join, packing, quality_rules, sharding, token_files
 from kveil.session import shared_dir
 
 
@@ -46,6 +46,10 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join(_table(spark, sf_dir, "documents"), n=3, percent=90).select("doc_id", "n_shingles", "component_id")
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = shared_dir(spark, "token-files")
     token_files.write(_table(spark, sf_dir, "documents"), folder, _vocabulary("word_bpe_49k.json"), end_id=1, leading_space=False)
@@ -57,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_inverted_index": op3_inverted_index,
     "op5_quality_rules": op5_quality_rules,
     "op6_sharding": op6_sharding,
+    "op9_jaccard_join": op9_jaccard_join,
     "op10_token_files": op10_token_files,
 }
 ORACLES: dict[str, str] = {
