@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kveil.llm import inverted_index, jaccard_join, packing, quality_rules, sharding, token_files
+from kveil.llm import inverted_index, jaccard_join, packing, quality_rules, sharding, suffix_dedup, token_files
 from kveil.session import shared_dir
 
 
@@ -22,6 +22,10 @@ def _vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup(_table(spark, sf_dir, "documents")).drop("tkey")
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = packing.pieces(_table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"), end_id=0, leading_space=True)
     return packing.pack(cut)
@@ -57,6 +61,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_suffix_dedup": op1_suffix_dedup,
     "op2_packing": op2_packing,
     "op3_inverted_index": op3_inverted_index,
     "op5_quality_rules": op5_quality_rules,
