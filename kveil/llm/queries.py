@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kveil.llm import classifier, inverted_index, jaccard_join, packing, quality_rules, sharding, suffix_dedup, token_files
+from kveil.llm import classifier, inverted_index, jaccard_join, ngram_lm, packing, quality_rules, sharding, suffix_dedup, token_files
 from kveil.session import shared_dir
 
 
@@ -50,6 +50,11 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return ngram_lm.score(docs, ngram_lm.fit(docs, shared_dir(spark, "ngram-lm")))
+
+
 def op8_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return classifier.score(docs, classifier.fit(docs, _table(spark, sf_dir, "labels")))
@@ -71,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_inverted_index": op3_inverted_index,
     "op5_quality_rules": op5_quality_rules,
     "op6_sharding": op6_sharding,
+    "op7_ngram_lm": op7_ngram_lm,
     "op8_classifier": op8_classifier,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_token_files": op10_token_files,
