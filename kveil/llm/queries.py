@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kveil.llm import classifier, inverted_index, jaccard_join, ngram_lm, packing, quality_rules, sharding, suffix_dedup, token_files
+from kveil.llm import classifier, inverted_index, jaccard_join, ngram_lm, packing, quality_rules, sharding, suffix_dedup, token_files, wordpiece_counts
 from kveil.session import shared_dir
 
 
@@ -36,6 +36,11 @@ def op3_inverted_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inverted_index.summarise(inverted_index.search(index, _table(spark, sf_dir, "benchmark")))
 
 
+def op4_wordpiece_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = wordpiece_counts.read_ranks(_vocabulary("byte_bpe_50k.tiktoken"))
+    return wordpiece_counts.token_counts(_table(spark, sf_dir, "documents"), pieces)
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.judge(quality_rules.measure(_table(spark, sf_dir, "documents")))
     return judged.select(
@@ -74,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_packing": op2_packing,
     "op3_inverted_index": op3_inverted_index,
+    "op4_wordpiece_counts": op4_wordpiece_counts,
     "op5_quality_rules": op5_quality_rules,
     "op6_sharding": op6_sharding,
     "op7_ngram_lm": op7_ngram_lm,
