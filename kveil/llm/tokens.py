@@ -10,9 +10,10 @@ level BPE) or is dropped (word BPE).
 
 from __future__ import annotations
 
+import array
 import functools
-import itertools
 import os
+import re
 from typing import NamedTuple
 
 import numpy as np
@@ -98,19 +99,50 @@ def _cuts(data: np.ndarray, offsets: np.ndarray, leading_space: bool) -> tuple[n
     return begin, np.append(begin[1:], n)
 
 
+# Byte-level models spell bytes as characters: printable Latin-1 as itself, the others from U+0100 on.
+_PRINTED = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+_SPELL = {b: chr(0x100 + i) for i, b in enumerate(b for b in range(256) if b not in _PRINTED)}
+_PLAIN = re.compile(rb" ?(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+").fullmatch
+
+
 class Encoder:
-    """Encodes Arrow batches; the memo of pieces is emptied when it is full, which changes no result."""
+    """Encodes Arrow batches. Pieces are remembered in two generations of bounded size, which changes no result."""
 
     def __init__(self, path: str, leading_space: bool):
         self.tokenizer, self.leading_space = _load(path), leading_space
-        self.memo: dict[bytes, list[int]] = {}
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
 
     def _learn(self, pieces: list[bytes]) -> None:
-        if len(self.memo) + len(pieces) > MEMO_ENTRIES:
-            self.memo.clear()
-        texts = [p.decode("utf-8") for p in pieces]
-        for piece, got in zip(pieces, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
-            self.memo[piece] = got.ids
+        """Plain words go straight to the library's merge model, all others through its whole pipeline."""
+        if len(self.young) + len(pieces) > MEMO_ENTRIES:
+            self.young, self.old = {}, self.young
+        merge, others = self.tokenizer.model.tokenize, []
+        for piece in pieces:
+            blank = piece[:1] == b" "
+            if (piece[1:] if blank else piece).isalpha():  # ASCII letters
+                spelled = piece.decode("ascii")
+                spelled = (_SPELL[0x20] + spelled[1:] if blank else spelled) if self.leading_space else spelled.lower()
+            elif _PLAIN(piece):
+                word = piece if self.leading_space else piece.decode("utf-8").lower().encode("utf-8")
+                spelled = word.decode("latin-1").translate(_SPELL)
+            else:
+                others.append(piece)
+                continue
+            self.young[piece] = array.array("i", [t.id for t in merge(spelled)]).tobytes()
+        texts = [p.decode("utf-8") for p in others]
+        for piece, got in zip(others, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
+            self.young[piece] = array.array("i", got.ids).tobytes()
+
+    def _ids(self, pieces: list[bytes]) -> list[bytes]:
+        found = [self.young.get(p) for p in pieces]
+        lost = [i for i, f in enumerate(found) if f is None]
+        known = {i: f for i in lost if (f := self.old.get(pieces[i])) is not None}
+        self._learn([pieces[i] for i in lost if i not in known])
+        for i in lost:
+            found[i] = known[i] if i in known else self.young[pieces[i]]
+        self.young.update((pieces[i], f) for i, f in known.items())
+        return found
 
     def encode(self, data: np.ndarray, offsets: np.ndarray, end_id: int | None = None) -> Encoded:
         """Ids of the texts in ``data``; ``end_id`` closes each text."""
@@ -127,14 +159,9 @@ class Encoder:
             pa.large_binary(), len(sizes), [None, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(body))]
         ).dictionary_encode()
         which = coded.indices.to_numpy(zero_copy_only=False)
-        distinct = coded.dictionary.to_pylist()
-        found = [self.memo.get(p) for p in distinct]
-        lost = [i for i, f in enumerate(found) if f is None]
-        self._learn([distinct[i] for i in lost])
-        for i in lost:
-            found[i] = self.memo[distinct[i]]
-        lengths = np.fromiter(map(len, found), np.int64, len(found))
-        table = np.fromiter(itertools.chain.from_iterable(found), np.int32, int(lengths.sum()))
+        found = self._ids(coded.dictionary.to_pylist())
+        lengths = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        table = np.frombuffer(b"".join(found), np.int32)
         at = np.cumsum(lengths) - lengths
         count = lengths[which]
         ends = np.zeros(len(count) + 1, np.int64)
