@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kveil.llm import words
+from kveil.llm import rows, words
 
 WINDOW = 10
 BLOCK_BYTES = 4 << 20
@@ -68,8 +68,8 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def build(docs: DataFrame, folder: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Write the index of all texts to ``folder`` and return its segments."""
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    rows.mapInArrow(_segments, SEGMENT).write.mode("errorifexists").option("compression", "zstd").parquet(folder)
+    texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    texts.mapInArrow(_segments, SEGMENT).write.mode("errorifexists").option("compression", "zstd").parquet(folder)
     return docs.sparkSession.read.schema(SEGMENT).parquet(folder)
 
 
@@ -199,9 +199,9 @@ def _found(segment: Segment, row: dict, queries: Queries) -> pa.RecordBatch:
 
 def _blocks(items: DataFrame, item_id: str, text: str, block_bytes: int) -> Iterator[tuple[list, list]]:
     """The items in blocks of about ``block_bytes``; one block at a time is on the driver."""
-    rows = items.select(F.col(item_id).cast("long").alias("item_id"), F.col(text).cast("string").alias("text"))
+    texts_of = items.select(F.col(item_id).cast("long").alias("item_id"), F.col(text).cast("string").alias("text"))
     ids, texts, size = [], [], 0
-    for row in rows.toLocalIterator():
+    for row in texts_of.toLocalIterator():
         ids.append(row["item_id"])
         texts.append(row["text"])
         size += len(row["text"] or "") + 16
@@ -256,6 +256,14 @@ def summarise(found: DataFrame) -> DataFrame:
     )
 
 
+def keep_clean(docs: DataFrame, items: DataFrame, folder: str, window: int = WINDOW) -> DataFrame:
+    """The documents without any occurring window, with their own columns; the index goes to ``folder``."""
+    key = rows.row_key(F.col("doc_id"), F.xxhash64("text"))
+    index = build(docs.select(key.alias("doc_id"), "text"), folder)
+    hit = search(index, items, window).where(F.size("spans") > 0).select("doc_id")
+    return rows.without(docs, hit, key)
+
+
 def near(index: DataFrame, phrases: list[str], width: int) -> DataFrame:
     """doc_id, phrase number and start word of spans of ``width`` words that hold all words of a phrase in any order.
 

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kveil.llm import groups, words
+from kveil.llm import groups, rows, words
 from kveil.llm.components import components
 from kveil.session import reliable_checkpoint
 
@@ -254,34 +254,44 @@ def join(docs: DataFrame, n: int = 5, percent: int = 80, doc_id: str = "doc_id",
     dealt, count = groups.grouped(docs, doc_id, text), groups.slice_count(docs)
     asked = dealt.groupBy("grp").applyInArrow(_ask(n, count), groups.BLOB)
     reply = asked.groupBy("slice").applyInArrow(_frequencies, groups.BLOB)
-    rows = dealt.groupBy("grp").cogroup(reply.groupBy("grp")).applyInArrow(_prefixes(n, percent, count), PREFIX)
-    rows = reliable_checkpoint(rows)
-    shared = rows.where("prefix is not null").select("set_id", F.explode("prefix").alias("gram")).distinct()
+    kept_sets = dealt.groupBy("grp").cogroup(reply.groupBy("grp")).applyInArrow(_prefixes(n, percent, count), PREFIX)
+    kept_sets = reliable_checkpoint(kept_sets)
+    shared = kept_sets.where("prefix is not null").select("set_id", F.explode("prefix").alias("gram")).distinct()
     lead = shared.groupBy("gram").agg(F.min("set_id").alias("b"))
     near = shared.join(lead, "gram").where("set_id <> b").select(F.col("set_id").alias("a"), "b").distinct()
     cluster = components(near).select(F.col("node").alias("set_id"), F.col("root").alias("cluster"))
-    sets = rows.where("body is not null").groupBy("set_id").agg(
+    sets = kept_sets.where("body is not null").groupBy("set_id").agg(
         F.first("n").alias("n"), F.first("size_class").alias("size_class"), F.first("body").alias("body")
     )
     found = link_sets(sets.join(cluster, "set_id"), percent).select(F.col("node").alias("set_id"), "root")
-    lowest = rows.where("n > 0").groupBy("set_id").agg(F.min("doc_id").alias("_low")).join(found, "set_id", "left")
+    lowest = kept_sets.where("n > 0").groupBy("set_id").agg(F.min("doc_id").alias("_low")).join(found, "set_id", "left")
     root = F.coalesce("root", "set_id")
     named = lowest.groupBy(root.alias("_root")).agg(F.min("_low").alias("component_id"))
     label = lowest.select("set_id", root.alias("_root")).join(named, "_root").select("set_id", "component_id")
-    plain = rows.select("doc_id", "tkey", F.col("n").cast("long").alias("n_shingles"), "set_id")
+    plain = kept_sets.select("doc_id", "tkey", F.col("n").cast("long").alias("n_shingles"), "set_id")
     empty = plain.where("n_shingles = 0").withColumn("component_id", F.col("doc_id"))
     return plain.where("n_shingles > 0").join(label, "set_id").select("doc_id", "tkey", "n_shingles", "set_id", "component_id").unionByName(empty)
 
 
 def keep_one(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """One document of each component, with its own columns: the smallest id, then the smallest text hash."""
-    joined = join(docs, n, percent)
+    """One document of each component, with its own columns: the smallest id, then the smallest text hash.
+
+    Wordless documents stay.
+    """
+    joined = reliable_checkpoint(join(docs, n, percent).where("n_shingles > 0"))
     order = F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "tkey")
-    firsts = joined.where("n_shingles > 0").groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("set_id")).alias("_s")).agg(
-        F.min(order).alias("k")
+    group = [F.col("component_id"), F.when(F.col("component_id").isNull(), F.col("set_id")).alias("_set")]
+    key = rows.row_key(F.col("doc_id"), F.col("tkey"))
+    copies = joined.groupBy(*group, "doc_id", "tkey").agg(F.count(F.lit(1)).alias("_rows"))
+    first = copies.groupBy("component_id", "_set").agg(F.min(order).alias("_first")).select(
+        rows.row_key(F.col("_first.doc_id"), F.col("_first.tkey")).alias("_key")
     )
-    kept = firsts.select(F.col("k.doc_id").alias("_id"), F.col("k.tkey").alias("_t"))
-    wordless = ~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    rows = docs.select(F.struct("*").alias("doc"), F.col("doc_id").alias("_id"), F.xxhash64(F.col("text")).alias("_t"), wordless.alias("_w"))
-    stay = rows.where("not _w").join(kept.withColumnsRenamed({"_id": "_i", "_t": "_u"}), F.expr("_id <=> _i and _t = _u"), "left_semi")
-    return stay.dropDuplicates(["_id", "_t"]).select("doc.*").unionByName(rows.where("_w").select("doc.*"))
+    gone = copies.select(key.alias("_key")).join(first, "_key", "left_anti")
+    left = rows.without(docs, gone, rows.row_key(F.col("doc_id"), F.xxhash64("text")))
+    twice, many = rows.bounded(copies.where("_rows > 1").select(key.alias("_twice")).join(first, F.expr("_twice = _key"), "left_semi"))
+    if not many:
+        return left
+    keyed = left.select(F.struct("*").alias("doc"), rows.row_key(F.col("doc_id"), F.xxhash64("text")).alias("_key"))
+    once = keyed.join(twice, F.expr("_key = _twice"), "left_anti")
+    repeated = keyed.join(twice, F.expr("_key = _twice"), "left_semi").dropDuplicates(["_key"])
+    return once.unionByName(repeated).select("doc.*")

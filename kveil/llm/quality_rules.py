@@ -112,8 +112,13 @@ def judge(measured: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 
 
 def keep(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """The rows that pass, with their own columns."""
-    return judge(measure(docs, text), rules).where("kept").select("doc.*")
+    """The rows that pass, with their own columns.
+
+    The row number keeps the filter above the projection: pushed below it, the measures
+    would be computed again inside the condition.
+    """
+    judged = judge(measure(docs, text), rules).withColumn("_stay", F.col("kept") & (F.monotonically_increasing_id() >= 0))
+    return judged.where("_stay").select("doc.*")
 
 
 def oracle_sql(rules: tuple[Rule, ...] = RULES, source: str = "documents") -> str:
