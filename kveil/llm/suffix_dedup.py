@@ -31,7 +31,7 @@ from kveil.llm import groups, words
 LENGTH = 50
 Q = 20
 SLICE = 1 << 20
-CHUNK = 1 << 21
+CHUNK = 1 << 20
 # A key is 40 bits of the anchor's hash and 12 bits of either context.
 HALF, SIDE, SIDES = np.uint64(32), np.uint64(12), np.uint64(24)
 RESULT = "doc_id long, tkey long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -176,6 +176,11 @@ def pa_lengths(array: pa.Array) -> np.ndarray:
     return np.diff(np.frombuffer(array.buffers()[1], np.int64)[array.offset : array.offset + len(array) + 1])
 
 
+def _bytes(array: pa.Array) -> np.ndarray:
+    bounds = np.frombuffer(array.buffers()[1], np.int64)
+    return np.frombuffer(array.buffers()[2], np.uint8)[bounds[array.offset] : bounds[array.offset + len(array)]]
+
+
 def _ids(table: pa.Table) -> np.ndarray:
     return table["doc_id"].fill_null(int(groups.NO_ID)).to_numpy()
 
@@ -189,7 +194,7 @@ def _ask_runs(length: int, count: int):
         sizes = pa_lengths(asked.texts)
 
         def body(p: np.ndarray) -> bytes:
-            return b"".join(asked.texts.take(pa.array(p)).to_pylist())
+            return _bytes(asked.texts.take(pa.array(p))).tobytes()
 
         def extra(p: np.ndarray) -> bytes:
             return sizes[p].astype("<i8").tobytes() + lowest[p].astype("<i8").tobytes()
@@ -280,16 +285,29 @@ def _lowest(length: int):
 
 def _anchor_grams(data: np.ndarray, offsets: np.ndarray, length: int) -> np.ndarray:
     """The compared half of the hash of each run's anchor: the smallest in its first window."""
-    gram = (grams(data) >> HALF).astype(np.uint32)
-    wide = length - Q + 1
-    at = offsets[:-1][:, None] + np.arange(wide)
     out = np.empty(len(offsets) - 1, np.uint32)
-    for i in range(0, len(out), 1 << 15):
-        out[i : i + (1 << 15)] = gram[at[i : i + (1 << 15)]].min(axis=1)
+    for i in range(0, len(out), 1 << 13):
+        own = offsets[i : i + (1 << 13) + 1]
+        gram = (grams(data[own[0] : own[-1]]) >> HALF).astype(np.uint32)
+        at = (own[:-1] - own[0])[:, None] + np.arange(length - Q + 1)
+        out[i : i + (1 << 13)] = gram[at].min(axis=1)
     return out
 
 
-def _remove(length: int, count: int, with_text: bool):
+def _gone(asked: Asked, lowest: np.ndarray, at: np.ndarray, ids: np.ndarray, span: tuple[int, int], length: int) -> np.ndarray:
+    """Flags of the bytes to remove between two positions of the group; runs stand in order of position."""
+    a, b = np.searchsorted(asked.first, span)
+    run = asked.run[a:b]
+    many = asked.windows[run]
+    hit = lowest[words.ranges(at[:-1][run], many)] < np.repeat(ids[asked.doc[a:b]], many)
+    window = words.ranges(asked.first[a:b], many)[hit] - span[0]
+    edge = np.zeros(span[1] - span[0] + 1, np.int32)
+    np.add.at(edge, window, 1)
+    np.add.at(edge, window + length, -1)
+    return np.cumsum(edge[:-1], dtype=np.int32) > 0
+
+
+def _remove(length: int, count: int, with_text: bool, carry: list[str]):
     def run(table: pa.Table, anchors: pa.Table, reply: pa.Table) -> pa.Table:
         table = groups.in_order(table)
         asked = Asked(table, anchors, length, count)
@@ -299,53 +317,67 @@ def _remove(length: int, count: int, with_text: bool):
         for s, body in zip(reply["slice"].to_pylist(), reply["body"].to_pylist()):
             mine = asked.order[asked.border[s] : asked.border[s + 1]]
             lowest[words.ranges(at[:-1][mine], asked.windows[mine])] = np.frombuffer(body, "<i8")
-        many = asked.windows[asked.run]
-        window = words.ranges(asked.first, many)
-        hit = lowest[words.ranges(at[:-1][asked.run], many)] < np.repeat(_ids(table)[asked.doc], many)
-        edge = np.zeros(len(data) + 1, np.int32)
-        np.add.at(edge, window[hit], 1)
-        np.add.at(edge, window[hit] + length, -1)
-        gone = np.cumsum(edge[:-1]) > 0
-        turn = gone.copy()
-        turn[1:] &= ~gone[:-1]
-        starts = offsets[:-1][offsets[:-1] < len(data)]
-        turn[starts] = gone[starts]
-        spans = np.append(0, np.cumsum(turn))
-        lost = np.append(0, np.cumsum(gone))
-        digests, kept = [], []
-        for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
-            rest = data[a:b] if lost[a] == lost[b] else data[a:b][~gone[a:b]]
-            if with_text:
-                kept.append(rest.tobytes().decode("utf-8", "ignore"))
-            digests.append(hashlib.sha256(rest).hexdigest())
+        ids = _ids(table)
+        sums, digests, kept = [np.zeros((2, 0), np.int64)], [], []
+        for i, j in words.slices(offsets, SLICE):
+            own = offsets[i : j + 1] - offsets[i]
+            gone = _gone(asked, lowest, at, ids, (offsets[i], offsets[j]), length)
+            turn = gone.copy()
+            turn[1:] &= ~gone[:-1]
+            starts = own[:-1][own[:-1] < len(gone)]
+            turn[starts] = gone[starts]
+            total = [np.append(0, np.cumsum(x, dtype=np.int32)) for x in (gone, turn)]
+            sums.append(np.stack([np.diff(t[own]) for t in total]).astype(np.int64))
+            part = data[offsets[i] : offsets[j]]
+            for a, b in zip(own[:-1].tolist(), own[1:].tolist()):
+                rest = part[a:b] if total[0][a] == total[0][b] else part[a:b][~gone[a:b]]
+                if with_text:
+                    kept.append(rest.tobytes().decode("utf-8", "ignore"))
+                digests.append(hashlib.sha256(rest).hexdigest())
+        removed, spans = np.concatenate(sums, axis=1)
         columns = [
-            table["doc_id"], table["tkey"], pa.array(np.diff(offsets)), pa.array(np.diff(lost[offsets])),
-            pa.array(np.diff(spans[offsets])), pa.array(digests, pa.string()),
+            table["doc_id"], table["tkey"], pa.array(np.diff(offsets)), pa.array(removed), pa.array(spans), pa.array(digests, pa.string()),
         ]
         names = ["doc_id", "tkey", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
-        return pa.table(columns + ([pa.array(kept, pa.string())] if with_text else []), names=names + (["kept"] if with_text else []))
+        if with_text:
+            columns, names = [*columns, pa.array(kept, pa.string())], [*names, "kept"]
+        return pa.table([*columns, *(table[c] for c in carry)], names=[*names, *carry])
 
     return run
 
 
-def dedup(docs: DataFrame, length: int = LENGTH, with_text: bool = False, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Counts and checksum of what is left of every row; ``with_text`` adds it as ``kept``.
+def dedup(
+    docs: DataFrame, length: int = LENGTH, with_text: bool = False, doc_id: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()
+) -> DataFrame:
+    """Counts and checksum of what is left of every row; ``with_text`` adds it as ``kept``, ``carry`` names columns to take along.
 
     Removal may cut a character; its stray bytes are dropped from ``kept``.
     """
     if length < Q + 16:
         raise ValueError(f"length must be at least {Q + 16}")
-    dealt, count = groups.grouped(docs, doc_id, text), groups.slice_count(docs)
+    dealt, count = groups.grouped(docs, doc_id, text, *carry), groups.slice_count(docs)
     own = dealt.groupBy("grp")
     asked = own.applyInArrow(_ask_anchors(length, count), groups.BLOB)
     anchors = asked.groupBy("slice").applyInArrow(_recurring, groups.BLOB)
     runs = own.cogroup(anchors.groupBy("grp")).applyInArrow(_ask_runs(length, count), groups.BLOB)
     lowest = runs.groupBy("slice").applyInArrow(_lowest(length), groups.BLOB)
     both = anchors.withColumn("kind", F.lit(0)).unionByName(lowest.withColumn("kind", F.lit(1)))
-    remove = _remove(length, count, with_text)
+    remove = _remove(length, count, with_text, list(carry))
 
     def last(table: pa.Table, reply: pa.Table) -> pa.Table:
         kind = reply["kind"].to_numpy()
         return remove(table, reply.filter(pa.array(kind == 0)), reply.filter(pa.array(kind == 1)))
 
-    return own.cogroup(both.groupBy("grp")).applyInArrow(last, RESULT + (", kept string" if with_text else ""))
+    extra = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
+    return own.cogroup(both.groupBy("grp")).applyInArrow(last, RESULT + (", kept string" if with_text else "") + extra)
+
+
+def keep_first(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    """The documents with what is left of their texts; ``n_chars``, if there, follows the text."""
+    others = {c: f"_c{i}" for i, c in enumerate(docs.columns) if c not in ("doc_id", "text")}
+    taken = docs.select("doc_id", "text", *[F.col(f"`{c}`").alias(a) for c, a in others.items()])
+    left = dedup(taken, length, with_text=True, carry=tuple(others.values()))
+    values = {"text": F.col("kept"), "doc_id": F.col("doc_id"), **{c: F.col(a) for c, a in others.items()}}
+    if "n_chars" in others:
+        values["n_chars"] = F.length("kept").cast(docs.schema["n_chars"].dataType)
+    return left.select(*[values[c].alias(c) for c in docs.columns])
