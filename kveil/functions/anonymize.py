@@ -52,7 +52,7 @@ def coarsen_ip(ip: Column, expand_v6: bool = True) -> Column:
         return F.when(dots == 3, F.concat(F.substring_index(js_trim(address), ".", 3), F.lit(".0/24"))).otherwise("0")
 
     def v6(address: Column) -> Column:
-        inner = F.substring(address, 8, 1000)
+        inner = F.regexp_replace(address, "(?s)^.{0,7}", "")
         mapped = F.lower(F.substring(address, 1, 7)) == "::ffff:"
         full = F.when(mapped, inner).otherwise(address)
         if expand_v6:

@@ -164,8 +164,8 @@ def scrub_flat_json(payload: Column, order: str = "phone_first") -> Column:
     """Scrub a flat JSON object inside the JVM; null when it is not a JSON object.
 
     Redacted keys lose their value, strings are scrubbed and numbers kept. A nested value
-    is redacted as a whole, because its keys can not be inspected here: use
-    ``scrub_json`` where nested payloads occur.
+    is redacted as a whole, because its keys can not be inspected here:
+    ``scrub_payload`` sends such payloads to ``scrub_json``.
     """
     pairs = F.map_entries(F.from_json(payload, "map<string,variant>"))
 
@@ -224,3 +224,14 @@ def scrub_json(payload: Column, order: str = "phone_first") -> Column:
         return series.map(one, na_action="ignore")
 
     return scrub(payload)
+
+
+# A flat object of plain strings, whole numbers and literals, for which both forms agree.
+_FLAT = r'^\{(\s*"[^"\\]*"\s*:\s*("[^"\\\x00-\x1F]*"|(0|-?[1-9]\d{0,14})|true|false|null)\s*(,(?=\s*")|(?=\})))*\}$'
+
+
+def scrub_payload(payload: Column, order: str = "phone_first") -> Column:
+    """Scrub any payload: flat objects inside the JVM, only the others in the Arrow UDF."""
+    keys = F.map_keys(F.from_json(payload, "map<string,variant>"))
+    flat = F.coalesce(payload.rlike(_FLAT) & (F.size(keys) == F.size(F.array_distinct(keys))), F.lit(False))
+    return F.when(flat, scrub_flat_json(payload, order)).otherwise(scrub_json(F.when(~flat, payload), order))

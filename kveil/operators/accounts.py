@@ -13,19 +13,23 @@ REVOKED_HOURS = 24
 
 
 def active_customers(customers: DataFrame, projects: DataFrame) -> DataFrame:
-    """Enabled customers with a well-formed key, with their project."""
+    """Enabled customers with a well-formed key, with their oldest project."""
+    age = F.struct(*[c for c in ("created_at", "id", "feed_hash") if c in projects.columns])
+    project = F.struct("feed_hash", "allowed_domains")
+    first = projects.groupBy(F.col("customer_id_ref").alias("customer_id")).agg(F.min_by(project, age).alias("p"))
     return (
         customers.where(F.col("enabled") & fields.is_api_key(F.col("api_key")))
         .select(F.col("id").alias("customer_id"), "api_key", "plan")
-        .join(
-            projects.select(F.col("customer_id_ref").alias("customer_id"), "feed_hash", "allowed_domains"), "customer_id"
-        )
+        .join(first.select("customer_id", "p.feed_hash", "p.allowed_domains"), "customer_id")
     )
 
 
 def authenticate(requests: DataFrame, customers: DataFrame, projects: DataFrame) -> DataFrame:
-    """Requests of enabled customers, with customer id, plan, feed and allowed domains."""
-    return requests.join(active_customers(customers, projects), "api_key")
+    """Requests of enabled customers, with customer id, plan, feed and allowed domains.
+
+    A customer id in the log is replaced by the one that the key proves.
+    """
+    return requests.drop("customer_id").join(active_customers(customers, projects), "api_key")
 
 
 def drop_revoked(requests: DataFrame, revocations: DataFrame, hours: int = REVOKED_HOURS) -> DataFrame:

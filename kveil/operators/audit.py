@@ -16,7 +16,8 @@ def page_leakage(requests: DataFrame, relay_hosts: list[str], page: str = "page_
     Both sets are bounded: by the audit list and by the number of relay hosts seen.
     """
     host = F.coalesce(url_host(F.col("url"), with_port=False), F.lit(""))
-    seen = requests.select(page, host.alias("_host"), audit_match(F.col("url")).alias("_tracker"))
+    low = requests.select(page, host.alias("_host"), F.lower("url").alias("_low"))
+    seen = low.select(page, "_host", audit_match("_low").alias("_tracker"))
     relay = is_relay_host(F.col("_host"), relay_hosts)
     return seen.groupBy(page).agg(
         F.count("*").alias("total"),

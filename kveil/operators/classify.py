@@ -42,6 +42,12 @@ def _lookup(pairs: dict[str, str], key: Column) -> Column:
     return F.try_element_at(F.expr(f"map({', '.join(_text(x) for kv in pairs.items() for x in kv)})"), key)
 
 
+def _lists(pairs: dict[str, tuple[str, ...]], key: Column) -> Column:
+    """List of a key; empty for a known key without one, null for no key."""
+    texts = {k: "|".join(v) for k, v in pairs.items()}
+    return F.filter(F.split(_lookup(texts, key), r"\|"), lambda v: v != "")
+
+
 def template_action(template: Column | str, tracker: Column, rules: list[Rule] | None = None) -> Column:
     """Action of a tracker under a template: its override, else the rule's default.
 
@@ -58,7 +64,7 @@ def resolve_trackers(
     requests: DataFrame, url: str = "url", template: Column | str = DEFAULT_TEMPLATE,
     custom_rules: DataFrame | None = None, match: str = "contains", rules: list[Rule] | None = None,
 ) -> DataFrame:
-    """Add ``tracker, name, category, action, custom`` to each request.
+    """Add ``tracker, name, category, action, custom, cookies, strip_fields`` to each request.
 
     The built-in rules are part of the projection: no join and no shuffle. Custom rules
     (``customer_id, ord, domain, action``) come first and are joined by customer, each
@@ -90,6 +96,8 @@ def resolve_trackers(
         .withColumn("category", F.when(mine.isNull(), _lookup({r.key: r.category for r in rules}, built_in)))
         .withColumn("action", F.when(mine.isNotNull(), mine["action"]).otherwise(template_action(template, built_in, rules)))
         .withColumn("custom", mine.isNotNull())
+        .withColumn("cookies", F.when(mine.isNull(), _lists({r.key: r.cookies for r in rules}, built_in)))
+        .withColumn("strip_fields", F.when(mine.isNull(), _lists({r.key: r.strip_fields for r in rules}, built_in)))
         .drop("_mine", "_built_in", "_own", "_low", "_host")
     )
 
@@ -134,20 +142,34 @@ def search_catalogue(rules: DataFrame, category: str | None = None, search: str
     return out
 
 
+# Character references in attribute values; the ampersand comes last.
+ENTITIES = [("&quot;", '"'), ("&#39;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&#38;", "&"), ("&amp;", "&")]
 # Resource kinds with the tag and attribute that carry their URL.
 RESOURCE_TAGS = [("script", "script", "src"), ("pixel", "img", "src"), ("link", "link", "href")]
 
 
 def page_resources(pages: DataFrame, html: str = "html", own_url: str = "https://relay.example") -> DataFrame:
-    """One row per script, image and link URL of a page, with the blocking decision."""
+    """One row per script, image and link URL of a page, with the blocking decision.
+
+    Attribute values may stand in quotes or without them. Comments and the text of
+    scripts hold no elements.
+    """
+    live = F.regexp_replace(F.regexp_replace(F.col(html), r"(?s)<!--.*?(-->|$)", ""), r"(?is)(<script\b[^>]*>).*?(</script\s*>|$)", "$1")
+
+    def plain(value: Column) -> Column:
+        bare = F.regexp_replace(value, r"""^["']\s*|\s*["']$""", "")
+        for entity, char in ENTITIES:
+            bare = F.replace(bare, F.lit(entity), F.lit(char))
+        return bare
 
     def found(kind: str, tag: str, attr: str) -> Column:
-        pattern = rf"""(?i)<{tag}\s(?:[^>]*?\s)?{attr}\s*=\s*["']([^"']+)["']"""
-        urls = F.regexp_extract_all(F.col(html), F.lit(pattern), F.lit(1))
-        return F.transform(urls, lambda u: F.struct(F.lit(kind).alias("kind"), u.alias("resource_url")))
+        pattern = rf"""(?i)<{tag}\s(?:[^>]*?\s)?{attr}\s*=\s*("[^"]+"|'[^']+'|[^\s"'>]+)"""
+        urls = F.regexp_extract_all(F.col("_live"), F.lit(pattern), F.lit(1))
+        return F.transform(urls, lambda u: F.struct(F.lit(kind).alias("kind"), plain(u).alias("resource_url")))
 
     resources = F.concat(*[found(*t) for t in RESOURCE_TAGS])
-    rows = pages.select(*[c for c in pages.columns if c != html], F.inline(resources))
+    others = [c for c in pages.columns if c != html]
+    rows = pages.select(*others, live.alias("_live")).select(*others, F.inline(resources))
     blocked = F.when(F.col("kind") == "script", web.is_blocked_script(F.col("resource_url"), own_url)).otherwise(
         web.is_intercepted(F.col("resource_url"), own_url)
     )

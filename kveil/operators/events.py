@@ -20,16 +20,14 @@ PARAM_CAP, URL_CAP = 200, 2000
 
 
 def build_events(
-    visits: DataFrame, salts: an.SaltBook, nested_props: bool = True, order: str = "phone_first"
+    visits: DataFrame, salts: an.SaltBook, order: str = "phone_first"
 ) -> DataFrame:
     """Beacons to clean events: token, defaults, scrubbed path, referrer and props.
 
-    Columns other than the beacon's own pass through. ``nested_props=False`` keeps the
-    props expression inside the JVM, for payloads known to be flat.
+    Columns other than the beacon's own pass through.
     """
     c = F.col
-    props = F.coalesce(c("p"), F.lit("{}"))
-    clean_props = sc.scrub_json(props, order) if nested_props else F.coalesce(sc.scrub_flat_json(props, order), F.lit("{}"))
+    clean_props = sc.scrub_payload(F.coalesce(c("p"), F.lit("{}")), order)
     used = {"ip", "ua", "origin", "d", "e", "u", "r", "country", "p"}
     shared = _shared(visits, web.origin_host(c("origin"), c("d"))).withColumn("_u", web.local_part(c("u")))
     return shared.select(
@@ -83,7 +81,7 @@ def strip_requests(requests: DataFrame, salts: an.SaltBook, order: str = "phone_
         stripped = sc.strip_tracker_url(c("url"), fields[key], c("visitor"), order)
         clean_url = F.when(c("route") == name, stripped).otherwise(clean_url)
     token = an.visitor_token(c("ip"), c("ua"), web.origin_host(c("origin")), salts, c("ts"))
-    body = sc.scrub_json(F.when(c("method") == "POST", c("body")), order) if "body" in requests.columns else F.lit(None)
+    body = sc.scrub_payload(F.when(c("method") == "POST", c("body")), order) if "body" in requests.columns else F.lit(None)
     return (
         requests.withColumn("route", web.vendor_route(c("url"))).where("route <> 'generic'")
         .withColumn("visitor", token)
@@ -206,6 +204,47 @@ def forward_headers(headers: Column, ua: Column, has_body: Column) -> Column:
     )
 
 
+def vendor_lane(url: Column, tracker: Column) -> Column:
+    """Lane of a request: a strip route by its URL, the GA4 or Meta relay by its tracker, else generic."""
+    route = web.vendor_route(url)
+    return F.when(route != "generic", route).when(tracker == "ga4", "ga4").when(tracker == "meta_pixel", "meta").otherwise("generic")
+
+
+def clean_requests(requests: DataFrame, salts: an.SaltBook, order: str = "phone_first") -> DataFrame:
+    """Resolved requests with ``lane, disposition, counted_as, clean_url, clean_body, clean_headers``.
+
+    Takes the columns of ``resolve_trackers``. Strip routes lose the fields of their
+    tracker, the relays keep their listed parameters only, and the generic lane loses its
+    identifying parameters; only what is forwarded has a clean form.
+    """
+    c = F.col
+    fields = {r.key: list(r.strip_fields) for r in load_rules()}
+    routed = requests.withColumn("route", web.vendor_route(c("url"))).withColumn("lane", vendor_lane(c("url"), c("tracker")))
+    token = an.visitor_token(c("ip"), c("ua"), web.origin_host(c("origin")), salts, c("ts"))
+    disposition, counted = request_disposition(c("route"), c("url"), c("action"))
+    out = routed.withColumns({"disposition": disposition, "counted_as": counted, "_token": token})
+    base = F.split_part(F.split_part(c("url"), F.lit("#"), F.lit(1)), F.lit("?"), F.lit(1))
+
+    def query(params: Column) -> Column:
+        pairs = F.transform(F.map_entries(params), lambda e: F.concat(e["key"], F.lit("="), F.url_encode(e["value"])))
+        return F.concat_ws("?", base, F.nullif(F.array_join(pairs, "&"), F.lit("")))
+
+    url = F.when(c("lane") == "ga4", query(ga4_params(c("url"), c("ip"), salts, c("ts")))).when(
+        c("lane") == "meta", query(meta_params(c("url"), c("ip"), salts, c("ts")))
+    )
+    for name, key in ROUTE_TRACKER.items():
+        url = url.when(c("lane") == name, sc.strip_tracker_url(c("url"), fields[key], c("_token"), order))
+    body = F.when(c("method") == "POST", c("body"))
+    clean_body = F.when(c("lane") == "ga4", drop_event_params(body)).otherwise(sc.scrub_payload(body, order))
+    headers = c("headers") if "headers" in requests.columns else F.lit(None).cast("map<string,string>")
+    forwarded = c("disposition") == "forwarded"
+    return out.withColumns({
+        "clean_url": F.when(forwarded, url.otherwise(generic_url(c("url")))),
+        "clean_body": F.when(forwarded, clean_body),
+        "clean_headers": F.when(forwarded, forward_headers(headers, c("ua"), body.isNotNull())),
+    }).drop("_token", "route")
+
+
 def request_disposition(route: Column, url: Column, action: Column) -> tuple[Column, Column]:
     """``(disposition, counted_as)`` of a request; an uncounted request has a null second value."""
     missing = F.coalesce(url, F.lit("")) == ""

@@ -27,6 +27,7 @@ QI_EMPTY = {"event": "pageview", "path": "/", "country": "??", "device": "other"
 
 K, TTL_SECONDS, SWEEP_SECONDS = 5, 30 * 60, 60
 CHUNK_ROWS, SMALL_CHUNK_ROWS = 1_000_000, 10_000
+BROADCAST_CHUNKS = 10_000
 RELEASED, DROPPED, HELD = "released", "dropped", "held"
 
 
@@ -58,7 +59,8 @@ def release_buckets(
     """
     _check_k(k)
     keyed = events.withColumn("_bucket", _bucket(qi or QI_DEFAULT))
-    sizes = bucket_sizes(keyed, ["_bucket"], visitor).where(F.col("visitors") >= k)
+    # The sizes serve as counts, hot list and join side: they are computed once.
+    sizes = reliable_checkpoint(bucket_sizes(keyed, ["_bucket"], visitor).where(F.col("visitors") >= k))
     return hot_key_join(keyed, sizes, ["_bucket"], "events", [ts, visitor]).drop("_bucket")
 
 
@@ -291,8 +293,11 @@ def arrival_status(
             yield from table.select([tie]).append_column("status", pa.array(status, pa.string())).to_batches()
 
     schema = T.StructType([events.schema[tie], T.StructField("status", T.StringType())])
-    # At most two states per chunk, so the broadcast is bounded by the number of chunks.
-    return ordered.join(F.broadcast(states), ["_bucket", "_chunk"], "left").mapInArrow(label, schema)
+    if chunks <= BROADCAST_CHUNKS:  # at most two states per chunk
+        return ordered.join(F.broadcast(states), ["_bucket", "_chunk"], "left").mapInArrow(label, schema)
+    # Joined by shuffle, a chunk's part of a bucket is a bucket of its own, sorted again.
+    joined = ordered.join(states, ["_bucket", "_chunk"], "left").withColumn("_bucket", F.concat_ws(":", "_bucket", "_chunk"))
+    return joined.sortWithinPartitions("_bucket", "_us", tie).mapInArrow(label, schema)
 
 
 def release_in_order(events: DataFrame, qi: list[str] | None = None, k: int = K, tie: str = "event_id", **options) -> DataFrame:

@@ -67,19 +67,19 @@ def _accept(groups: Iterator[pd.DataFrame], limit: int, seconds: int, key: str)
                 used = 0
             take = min(hits, limit - used)
             if take > 0:
-                used, last = used + take, second
-                rows.append((k, second, take, used))
-        yield pd.DataFrame(rows, columns=[key, "second", "accepted", "used"])
+                used, last = used + take, max(last, second)
+                rows.append((k, second, take, last, used))
+        yield pd.DataFrame(rows, columns=[key, "second", "accepted", "last", "used"])
 
 
 def renewing_counters(
     hits: DataFrame, limit: int, seconds: int, key: str = "key", ts: str = "ts", state: DataFrame | None = None
 ) -> DataFrame:
-    """Accepted hits per key and second, with the counter after them.
+    """Accepted hits per key and second, with the counter after them and the newest second it counts.
 
     The walk sees one row per key and second with hits, so its length depends on the time
     span and not on the number of hits. ``state`` holds ``(key, second, used)`` of an
-    earlier walk.
+    earlier walk; a hit behind it counts, but does not make the counter older.
     """
     second = F.unix_timestamp(F.col(ts).cast("timestamp"))
     work = hits.groupBy(key, second.alias("second")).agg(F.count("*").alias("hits"), F.lit(-1).cast("bigint").alias("used"))
@@ -89,7 +89,7 @@ def renewing_counters(
         work.repartition(key).sortWithinPartitions(key, F.col("used").desc(), "second")
         .mapInPandas(
             lambda it: _accept(it, limit, seconds, key),
-            f"{key} {dict(hits.dtypes)[key]}, second BIGINT, accepted BIGINT, used BIGINT",
+            f"{key} {dict(hits.dtypes)[key]}, second BIGINT, accepted BIGINT, last BIGINT, used BIGINT",
         )
     )
 

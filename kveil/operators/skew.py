@@ -5,30 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-HOT_KEYS = 1000
-SALTS = 64
+HOT_PARTS = 10_000
 
 
 def hot_key_join(
     facts: DataFrame, groups: DataFrame, keys: list[str], weight: str, spread_by: list[str], how: str = "left_semi",
-    hot_rows: int = 1_000_000, salts: int = SALTS,
+    hot_rows: int = 1_000_000,
 ) -> DataFrame:
     """Join ``facts`` to one row per key in ``groups`` without sending a hot key to one task.
 
-    ``weight`` is the number of fact rows per key. The heaviest keys (at most
-    ``HOT_KEYS``, so the list is safe to broadcast) have their facts spread over
-    ``salts`` buckets by a hash of ``spread_by``, and their group row repeated once per
-    bucket. Any other key holds less than 1/``HOT_KEYS`` of the rows or fewer than
-    ``hot_rows``.
+    ``weight`` is the number of fact rows per key. A key above the target, which is
+    ``hot_rows`` or one ``HOT_PARTS``-th of all rows, has its facts spread over as many
+    shares as it holds targets, by a hash of ``spread_by``, and its group row repeated
+    once per share. So no share is larger than about one target however heavy its key,
+    and the list of hot keys, which is broadcast, has at most ``HOT_PARTS`` rows.
     """
-    hot = (
-        groups.where(F.col(weight) >= hot_rows).orderBy(F.col(weight).desc()).limit(HOT_KEYS)
-        .select(*keys, F.lit(True).alias("_hot"))
-    )
-    bucket = F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int")
-    every = F.sequence(F.lit(0), F.lit(salts - 1))
-    salted = facts.join(F.broadcast(hot), keys, "left").withColumn("_salt", F.when(F.col("_hot"), bucket).otherwise(0))
-    copies = groups.join(F.broadcast(hot), keys, "left").withColumn(
-        "_salt", F.explode(F.when(F.col("_hot"), every).otherwise(F.array(F.lit(0))))
-    )
-    return salted.drop("_hot").join(copies.drop("_hot"), [*keys, "_salt"], how).drop("_salt")
+    target = F.greatest(F.lit(hot_rows), F.ceil(groups.agg(F.coalesce(F.sum(weight), F.lit(0))).scalar() / HOT_PARTS))
+    shares = F.ceil(F.col(weight) / target).cast("int")
+    hot = groups.where(F.col(weight) > target).select(*keys, shares.alias("_shares"))
+    part = F.coalesce(F.pmod(F.xxhash64(*spread_by), F.col("_shares")), F.lit(0)).cast("int")
+    salted = facts.join(F.broadcast(hot), keys, "left").withColumn("_salt", part)
+    every = F.sequence(F.lit(0), F.coalesce(F.col("_shares"), F.lit(1)) - 1)
+    copies = groups.join(F.broadcast(hot), keys, "left").withColumn("_salt", F.explode(every))
+    return salted.drop("_shares").join(copies.drop("_shares"), [*keys, "_salt"], how).drop("_salt")

@@ -10,6 +10,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from kveil.session import ship_package
+
 TABLES = "events pages documents conversations customer orders".split()
 NOW = "2024-01-31 00:00:00"
 
@@ -138,6 +140,7 @@ class Inputs:
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         spark.conf.set("spark.sql.session.timeZone", "UTC")
+        ship_package(spark)
         self.spark, self.dir = spark, sf_dir.rstrip("/")
 
     def __getattr__(self, name: str) -> DataFrame:

@@ -9,6 +9,7 @@ _PAD_IN = bytes(b ^ 0x36 for b in TEST_SALT.ljust(64, b"\0")).hex()
 _PAD_OUT = bytes(b ^ 0x5C for b in TEST_SALT.ljust(64, b"\0")).hex()
 
 _SPACE = r"\s\x0b\x{00a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}"
+# The six patterns with their tags.
 _PII = [
     (r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}", "[email]"),
     (rf"\+?\d[\d{_SPACE}().-]{{7,}}\d", "[phone]"),

@@ -51,7 +51,7 @@ def sql_time(col: str) -> str:
 
 
 def clean_events(t: Inputs) -> DataFrame:
-    return kanon.with_quasi_identifiers(events.build_events(t.visits, SALTS, nested_props=False)).withColumn(
+    return kanon.with_quasi_identifiers(events.build_events(t.visits, SALTS)).withColumn(
         "day", F.date_trunc("day", "ts")
     )
 
@@ -119,7 +119,7 @@ SELECT event_id, concat('{{"k":', json_extract_string(p, '$.k'), ',"Email":"[red
 FROM visits""")
 def scrub_props(t):
     rows = t.visits.select("event_id", F.expr(_FLAT.replace("{k}", "get_json_object(p, '$.k')")).alias("p"))
-    return rows.select("event_id", scrub.scrub_flat_json(c("p")).alias("props"))
+    return rows.select("event_id", scrub.scrub_payload(c("p")).alias("props"))
 
 
 _NESTED = """concat('{"events": [{"data": {"user_id": ', user_id, ', "email": "u@x.nl", "page": "/p?', event_id, '", "note": ["u', user_id, '@example.nl", ', user_id, ']}}]}')"""
@@ -130,7 +130,7 @@ SELECT event_id, concat('{"events":[{"data":{"user_id":"[redacted]","email":"[re
   '","note":["[email]",', user_id, ']}}]}') AS body FROM visits""")
 def scrub_nested_props(t):
     rows = t.visits.select("event_id", F.expr(_NESTED).alias("p"))
-    return rows.select("event_id", scrub.scrub_json(c("p")).alias("body"))
+    return rows.select("event_id", scrub.scrub_payload(c("p")).alias("body"))
 
 
 _EVENT_COLUMNS = "event_id, visitor, domain, origin, event, path, referrer, country, device, props"
@@ -297,7 +297,7 @@ SELECT strftime(day, '%Y-%m-%d') AS day, path AS page, cnt, rank FROM (
 def released_top_pages(t):
     """Flagship: visits to k-anonymous daily top pages."""
     visits = t.visits.withColumn("day", F.date_trunc("day", "ts"))
-    top = reports.top_keys_report(visits, SALTS, ["day", "section"], nested_props=False)
+    top = reports.top_keys_report(visits, SALTS, ["day", "section"])
     return top.where("dimension = 'page'").select(
         c("day").cast("date").cast("string").alias("day"), c("key").alias("page"), "cnt", c("rank").cast("bigint").alias("rank")
     )
@@ -959,11 +959,19 @@ def cascade_feed(t):
 
 # ---------------------------------------------------------------- streams
 
+STEPS = 4
+
+
 def _stream(t: Inputs, rows: DataFrame, part: str) -> tuple[DataFrame, str]:
-    """The rows as a file stream, and a folder for the results."""
+    """The rows as a file stream of ``STEPS`` batches in time order, and a folder for the results."""
     root = shared_dir(t.spark, part)
-    rows.write.parquet(f"{root}/in")
-    return t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1000).parquet(f"{root}/in"), f"{root}/out"
+    at = F.unix_micros(c("ts"))
+    borders = rows.agg(F.percentile_approx(at, [i / STEPS for i in range(1, STEPS)])).first()[0] or []
+    for low, high in zip([None, *borders], [*borders, None]):
+        part_rows = rows if low is None else rows.where(at > low)
+        part_rows = part_rows if high is None else part_rows.where(at <= high)
+        part_rows.coalesce(1).write.mode("append").parquet(f"{root}/in")
+    return t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in"), f"{root}/out"
 
 
 def _finish(running) -> None:

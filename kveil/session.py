@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -15,6 +17,7 @@ CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.streaming.stateStore.providerClass": (
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -28,7 +31,25 @@ def build_session(master: str | None = None, app: str = "kveil", **conf: str) ->
         builder = builder.master(master)
     for key, value in {**CONF, **conf}.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    session = builder.getOrCreate()
+    ship_package(session)
+    return session
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the workers of a session, once, so that they need no install of it."""
+    sc = spark.sparkContext
+    if any(name.startswith("kveil-package-") for name in map(os.path.basename, getattr(sc, "_python_includes", []))):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    handle, path = tempfile.mkstemp(prefix="kveil-package-", suffix=".zip")
+    with os.fdopen(handle, "wb") as f, zipfile.ZipFile(f, "w") as z:
+        for folder, _, names in os.walk(root):
+            for name in names:
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    z.write(full, os.path.relpath(full, os.path.dirname(root)))
+    sc.addPyFile(path)
 
 
 def _checkpoint_dir(spark: SparkSession) -> None:

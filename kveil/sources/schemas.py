@@ -1,13 +1,13 @@
 """Schemas of the inputs (DDL strings)."""
 
-BEACON = "ts TIMESTAMP, ip STRING, ua STRING, origin STRING, d STRING, e STRING, u STRING, r STRING, country STRING, p STRING"
+BEACON = "event_id BIGINT, ts TIMESTAMP, ip STRING, ua STRING, origin STRING, d STRING, e STRING, u STRING, r STRING, country STRING, p STRING"
 CLEAN_EVENT = (
     "event_id BIGINT, ts TIMESTAMP, visitor STRING, domain STRING, origin STRING, event STRING, path STRING, "
     "referrer STRING, country STRING, device STRING, props STRING"
 )
 TRACKER_REQUEST = (
     "request_id BIGINT, ts TIMESTAMP, customer_id STRING, api_key STRING, method STRING, url STRING, "
-    "headers MAP<STRING,STRING>, body STRING, ip STRING, ua STRING, origin STRING, country STRING"
+    "headers MAP<STRING,STRING>, body STRING, ip STRING, ua STRING, origin STRING, referer STRING, country STRING"
 )
 PAGE_REQUEST = "page_host STRING, ts TIMESTAMP, url STRING"
 CUSTOM_RULE = "customer_id STRING, ord INT, domain STRING, action STRING"

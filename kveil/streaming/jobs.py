@@ -138,7 +138,7 @@ def renewing_limit_stream(hits: DataFrame, root: str, limit: int, seconds: int,
     def step(batch: DataFrame, state: DataFrame | None, folder: BatchFolder) -> None:
         counters = folder.write(limits.renewing_counters(batch, limit, seconds, state=state), "counters")
         folder.write(limits.renewing_allowed(batch, counters, limit), "allowed")
-        live = counters.select("key", "second", "used")
+        live = counters.select("key", F.col("last").alias("second"), "used")
         if state is not None:
             live = live.unionByName(state)
         newest = live.groupBy("key").agg(F.max(F.struct("second", "used")).alias("s")).select("key", "s.second", "s.used")

@@ -86,6 +86,25 @@ def test_page_resources(spark):
     assert sorted((r.kind, r.blocked) for r in rows) == [("link", True), ("pixel", False), ("pixel", True), ("script", False), ("script", True)]
 
 
+def test_page_resources_without_quotes(spark):
+    html = (
+        "<script src=https://bat.bing.com/bat.js></script><!-- <img src='https://www.facebook.com/tr'> -->"
+        '<script>document.write("<img src=https://www.facebook.com/tr?x=1>")</script><img src="https://www.facebook.com/tr?a=1&amp;b=2">'
+    )
+    rows = classify.page_resources(spark.createDataFrame([(1, html)], "page_id int, html string")).collect()
+    assert sorted((r.kind, r.resource_url) for r in rows) == [
+        ("pixel", "https://www.facebook.com/tr?a=1&b=2"), ("script", "https://bat.bing.com/bat.js"),
+    ]
+
+
+def test_resolver_lists(spark):
+    rows = spark.createDataFrame([(1, "https://logius.piwik.pro/x"), (2, "https://static.hotjar.com/a"), (3, "https://none.example")], "i int, url string")
+    got = {r.i: r for r in classify.resolve_trackers(rows).collect()}
+    rules = {r.key: r for r in classify.load_rules()}
+    assert got[1].strip_fields == list(rules["piwik_pro"].strip_fields) and got[1].cookies == list(rules["piwik_pro"].cookies)
+    assert got[2].strip_fields == [] and got[3].strip_fields is None
+
+
 def test_referrer_and_origin_keys(values):
     refs = ["", None, "https://google.com/x", "https://a.nl:8443/", "https://a.nl:443/", "http://u:p@B.nl:80?x", "no url", "mailto:a@b.nl"]
     assert values(web.referrer_key, refs) == ["(direct)", "(direct)", "google.com", "a.nl:8443", "a.nl", "b.nl", "(other)", None]

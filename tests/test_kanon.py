@@ -119,7 +119,7 @@ def test_null_and_pipe_in_quasi_identifiers(spark):
 def test_hot_keys_are_salted_and_complete(spark):
     facts = spark.range(3000).select(F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 40).alias("k"), "id")
     groups = facts.groupBy("k").agg(F.count("*").alias("n")).where("k <> 7")
-    got = hot_key_join(facts, groups, ["k"], "n", ["id"], hot_rows=100, salts=4)
+    got = hot_key_join(facts, groups, ["k"], "n", ["id"], hot_rows=100)
     assert got.count() == facts.where("k <> 7").count() == got.select("id").distinct().count()
 
 

@@ -51,11 +51,11 @@ def test_floor_on_dimensions(spark):
 
 def test_flow_from_beacon_files_to_report(spark, tmp_path):
     lines = [
-        f'{{"ts":"2024-01-01T10:{i:02d}:00Z","ip":"10.0.{i}.9","ua":"Firefox","origin":"https://shop.nl","e":"pageview","u":"/p?gclid={i}","r":"","country":"nl","p":"{{}}"}}'
+        f'{{"event_id":{i},"ts":"2024-01-01T10:{i:02d}:00Z","ip":"10.0.{i}.9","ua":"Firefox","origin":"https://shop.nl","e":"pageview","u":"/p?gclid={i}","r":"","country":"nl","p":"{{}}"}}'
         for i in range(6)
-    ] + ['{"ts":"2024-01-01T10:59:00Z","ip":"10.9.9.9","ua":"x","origin":"https://shop.nl","e":"pageview","u":"/rare","country":"is"}']
+    ] + ['{"event_id":99,"ts":"2024-01-01T10:59:00Z","ip":"10.9.9.9","ua":"x","origin":"https://shop.nl","e":"pageview","u":"/rare","country":"is"}']
     (tmp_path / "b.json").write_text("\n".join(lines))
-    visits = io.read_beacons(spark, str(tmp_path)).withColumn("event_id", F.monotonically_increasing_id())
+    visits = io.read_beacons(spark, str(tmp_path))
     report = reports.arrival_report(visits, SaltBook().cover([19723]), k=3).first()
     assert report.pageviews == 6 and report.uniques == 6
     assert [(e.key, e["count"]) for e in report.top_pages] == [("/p", 6)]
