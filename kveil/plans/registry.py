@@ -731,12 +731,15 @@ _FRESH_HIT = "o.sec >= s.last_ok + 172800"
 _ROOM = f"({_FRESH_HIT} OR s.used < 3)"
 
 
-@query("rate_limit_renewing", "visits", "SELECT hit_id, ok AS allowed FROM walk", ctes=_HIT_DUCK + f""",
+_RENEWING_CTE = _HIT_DUCK + f""",
 o AS (SELECT hit_id, key, epoch_us(ts) // 1000000 AS sec, row_number() OVER (PARTITION BY key ORDER BY ts, hit_id) AS rn FROM hits),
 walk AS (SELECT hit_id, key, rn, sec AS last_ok, 1 AS used, true AS ok FROM o WHERE rn = 1
   UNION ALL SELECT o.hit_id, o.key, o.rn, CASE WHEN {_ROOM} THEN o.sec ELSE s.last_ok END,
     CASE WHEN {_FRESH_HIT} THEN 1 WHEN s.used < 3 THEN s.used + 1 ELSE s.used END, {_ROOM}
-  FROM walk s JOIN o ON o.key = s.key AND o.rn = s.rn + 1)""", recursive=True)
+  FROM walk s JOIN o ON o.key = s.key AND o.rn = s.rn + 1)"""
+
+
+@query("rate_limit_renewing", "visits", "SELECT hit_id, ok AS allowed FROM walk", ctes=_RENEWING_CTE, recursive=True)
 def rate_limit_renewing(t):
     return limits.renewing_limit(t.sql(_HITS), 3, 172_800).select("hit_id", "allowed")
 
@@ -1009,3 +1012,58 @@ def stream_limit(t):
     stream, root = _stream(t, t.sql(_HITS), "limit")
     _finish(jobs.fixed_limit_stream(stream, root, 2, 86400))
     return jobs.allowed_hits(t.spark, root).select("hit_id")
+
+
+@query("stream_limit_renewing", "visits", "SELECT hit_id FROM walk WHERE ok", ctes=_RENEWING_CTE, recursive=True)
+def stream_limit_renewing(t):
+    stream, root = _stream(t, t.sql(_HITS), "renewing")
+    _finish(jobs.renewing_limit_stream(stream, root, 3, 172_800))
+    return jobs.allowed_hits(t.spark, root).select("hit_id")
+
+
+# ---------------------------------------------------------------- composed flows
+
+_COUNTED_SQL = """CASE WHEN url = '' AND route <> 'generic' THEN 'blocked' WHEN url = '' THEN NULL WHEN route <> 'generic' THEN 'stripped'
+    WHEN action = 'block' THEN 'blocked' WHEN action = 'strip' THEN 'stripped' ELSE 'allowed' END"""
+_RESOLVED_CTE = f"""resolved AS (SELECT r.*, {_ROUTE_SQL} AS route, h.tracker, coalesce(o.action, h.default_action) AS action
+  FROM requests r LEFT JOIN hits h USING (request_id) LEFT JOIN overrides o ON o.tracker = h.tracker)"""
+_FLOW_CTE = ", ".join([_HIT_CTE, _override_cte("ultra-streng"), _RESOLVED_CTE])
+
+
+@query("feed_flow", "requests projects", f"""
+SELECT p.feed_hash, '2024-01' AS month, {', '.join(f'coalesce(u.{k}, 0) AS {k}' for k in usage.COUNTERS)}, {', '.join(map(_pct, usage.COUNTERS[1:]))}
+FROM projects p LEFT JOIN (SELECT customer_id, count(*) AS requests, {', '.join(f"count(*) FILTER (counted = '{k}') AS {k}" for k in usage.COUNTERS[1:])}
+  FROM (SELECT customer_id, {_COUNTED_SQL} AS counted FROM resolved WHERE strftime(ts, '%Y-%m') = '2024-01') WHERE counted IS NOT NULL GROUP BY 1) u
+ON u.customer_id = 'c' || p.customer_id_ref""", ctes=_FLOW_CTE)
+def feed_flow(t):
+    projects = t.projects.withColumn("customer_id_ref", F.concat(F.lit("c"), c("customer_id_ref")))
+    return reports.feed(t.requests, projects, "2024-01")[0]
+
+
+@query("vendor_flow", "requests customers projects revocations", f"""
+SELECT request_id, account, tracker, CASE WHEN route <> 'generic' THEN route WHEN tracker = 'ga4' THEN 'ga4' WHEN tracker = 'meta_pixel' THEN 'meta' ELSE 'generic' END AS lane,
+  CASE WHEN url = '' THEN 'dropped' WHEN route <> 'generic' THEN 'forwarded' WHEN action = 'block' THEN 'blocked'
+    WHEN action IN ('allow', 'strip') THEN 'forwarded' ELSE 'processed' END AS disposition, {_COUNTED_SQL} AS counted_as,
+  CASE route WHEN 'piwik' THEN {_strip_sql('piwik_pro')} WHEN 'adobe' THEN {_strip_sql('adobe_analytics')} END AS strip_url
+FROM (SELECT r.*, a.account FROM resolved r JOIN (SELECT *, {sql.host('origin')} AS host FROM ({_AUTH_SQL})) a USING (request_id)
+  WHERE (a.domains = '' OR len(list_filter(string_split(a.domains, ','), lambda d: a.host = d OR ends_with(a.host, '.' || d))) > 0)
+  AND NOT EXISTS (SELECT 1 FROM revocations v WHERE v.api_key = r.api_key AND r.ts >= v.revoked_at AND r.ts < v.revoked_at + INTERVAL 24 HOUR))""",
+       ctes=_FLOW_CTE)
+def vendor_flow(t):
+    revoked = t.revocations.select(an.short_hash(c("api_key")).alias("key_hash"), "revoked_at")
+    # Each customer also has a younger project, which must not double its requests.
+    younger = _projects(t).withColumns({"id": c("id") + 5_000_000_000, "feed_hash": F.lit("younger"), "allowed_domains": F.array(F.lit("none.example"))})
+    clean, _ = reports.vendor_flow(t.requests, t.customers, _projects(t).unionByName(younger), revoked, SALTS)
+    strip = F.when(c("lane").isin("piwik", "adobe"), c("clean_url"))
+    return clean.select("request_id", c("customer_id").alias("account"), "tracker", "lane", "disposition", "counted_as", strip.alias("strip_url"))
+
+
+@query("united_gate", "visits requests", "SELECT event_id, status FROM labelled", recursive=True, ctes=sql.CLEAN_EVENTS + f""",
+both_lanes AS (SELECT event_id, ts, visitor, event, hour FROM clean
+  UNION ALL SELECT request_id + 1000000000, ts, {sql.visitor()}, 'tracker_' || key, date_trunc('hour', ts)
+  FROM (SELECT *, CASE {_ROUTE_SQL} WHEN 'piwik' THEN '{ROUTE_TRACKER['piwik']}' WHEN 'adobe' THEN '{ROUTE_TRACKER['adobe']}' END AS key FROM requests)
+  WHERE key IS NOT NULL),""" + sql.arrival("both_lanes", _ARRIVAL_KEY, 3))
+def united_gate(t):
+    vendor = events.vendor_events(t.requests, SALTS).withColumn("event_id", c("request_id") + 1_000_000_000)
+    out = reports.united_gate(t.visits, vendor, SALTS, _ARRIVAL_QI, 3, ttl_seconds=_NO_TTL)
+    return out.select("event_id", "status")

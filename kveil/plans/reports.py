@@ -56,11 +56,12 @@ def united_gate(visits: DataFrame, vendor: DataFrame, salts: SaltBook, qi: list[
 def feed(requests: DataFrame, projects: DataFrame, month: str, **resolver) -> tuple[DataFrame, DataFrame]:
     """Requests to ``(monthly totals, tracker breakdown)`` per feed, counted by what became of them.
 
-    A request without a URL outside the vendor routes is not counted.
+    A request without a URL has no route and is not counted. It is left out before the
+    rules run: a condition on the outcome would carry the whole rule table into the filter.
     """
-    resolved = classify.resolve_trackers(requests, **resolver)
+    resolved = classify.resolve_trackers(requests.where(F.coalesce("url", F.lit("")) != ""), **resolver)
     _, counted = events.request_disposition(web.vendor_route(F.col("url")), F.col("url"), F.col("action"))
-    log = resolved.withColumn("action", counted).where("action IS NOT NULL")
+    log = resolved.withColumn("action", counted)
     owner = projects.select(F.col("customer_id_ref").alias("customer_id"), "feed_hash")
     return (
         usage.feed_totals(projects, usage.monthly_usage(log), month),

@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 Step = Callable[[DataFrame, DataFrame | None, "BatchFolder"], None]
 
@@ -29,6 +30,19 @@ class BatchFolder:
         df.write.mode("overwrite").parquet(self.path(part))
         return self.spark.read.schema(df.schema).parquet(self.path(part))
 
+    def merge(self, delta: DataFrame, part: str, key: str, fold: Callable[[DataFrame], DataFrame]) -> DataFrame:
+        """Write the new version of every ``key`` value that ``delta`` holds: old and new rows, folded.
+
+        Values that the batch does not touch keep the version they have, so a batch costs
+        what its own days or months hold.
+        """
+        rows = delta
+        if self.batch_id > 0:
+            touched = delta.select(key).distinct()
+            rows = newest(self.spark, self.root, part, key, self.batch_id).join(touched, key, "left_semi").unionByName(delta)
+        fold(rows).write.mode("overwrite").partitionBy(key).parquet(self.path(part))
+        return self.spark.read.schema(delta.schema).parquet(self.path(part))
+
     def previous(self, part: str) -> DataFrame | None:
         if self.batch_id == 0:
             return None
@@ -61,3 +75,28 @@ def run_batches(
 def read_part(spark: SparkSession, root: str, part: str) -> DataFrame:
     """All batches of one part."""
     return spark.read.parquet(f"{root.rstrip('/')}/{part}").drop("batch")
+
+
+def newest(spark: SparkSession, root: str, part: str, key: str, before: int | None = None) -> DataFrame:
+    """The newest version of every ``key`` value of a merged part; older ones may be deleted.
+
+    Versions are picked by partition columns alone.
+    """
+    rows = spark.read.parquet(f"{root.rstrip('/')}/{part}")
+    if before is not None:
+        rows = rows.where(F.col("batch") < before)
+    last = rows.groupBy(key).agg(F.max("batch").alias("batch"))
+    return rows.join(last, [key, "batch"], "left_semi").drop("batch")
+
+
+def drop_superseded(spark: SparkSession, root: str, part: str, key: str) -> int:
+    """Delete the folders of versions that a later batch replaced; call it between runs."""
+    rows = spark.read.parquet(f"{root.rstrip('/')}/{part}").select(key, "batch").distinct()
+    last = rows.groupBy(key).agg(F.max("batch").alias("_last"))
+    # One row per folder, as many as one listing of the part returns.
+    old = rows.join(last, key).where("batch < _last").collect()
+    jvm = spark.sparkContext._jvm
+    for r in old:
+        path = jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/{part}/batch={r['batch']}/{key}={r[key]}")
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    return len(old)

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from kveil.operators import kanon, limits, rollup, usage
 from kveil.sources import io
-from kveil.streaming.batches import BatchFolder, read_part, run_batches
+from kveil.streaming.batches import BatchFolder, newest, read_part, run_batches
 
 
 def gate_stream(
@@ -47,12 +47,18 @@ def gate_counts(spark: SparkSession, root: str) -> DataFrame:
 
 
 def usage_stream(log: DataFrame, root: str, trigger: dict | None = None):
-    """Count usage per batch; ``stored_usage`` adds the batches up."""
-    return run_batches(log, lambda batch, _, folder: folder.write(usage.monthly_usage(batch), "usage"), root, trigger=trigger)
+    """Count usage; each batch writes a new version of the months it holds."""
+
+    def fold(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("customer_id", "month").agg(*[F.sum(x).alias(x) for x in usage.COUNTERS])
+
+    return run_batches(
+        log, lambda batch, _, folder: folder.merge(usage.monthly_usage(batch), "usage", "month", fold), root, trigger=trigger
+    )
 
 
 def stored_usage(spark: SparkSession, root: str) -> DataFrame:
-    return read_part(spark, root, "usage").groupBy("customer_id", "month").agg(*[F.sum(x).alias(x) for x in usage.COUNTERS])
+    return newest(spark, root, "usage", "month").select("customer_id", F.col("month").cast("string").alias("month"), *usage.COUNTERS)
 
 
 def publish_usage(spark: SparkSession, root: str, path: str) -> None:
@@ -61,31 +67,32 @@ def publish_usage(spark: SparkSession, root: str, path: str) -> None:
 
 
 def rollup_stream(events: DataFrame, root: str, trigger: dict | None = None):
-    """Fold events into per-batch aggregates; the events themselves are not kept.
+    """Fold events into daily aggregates; the events themselves are not kept.
 
-    Visitors are folded to one row per day and visitor, so uniques stay exact.
+    Visitors are folded to one row per day and visitor, so uniques stay exact. Each batch
+    writes a new version of the days it holds.
     """
 
     def step(batch: DataFrame, _, folder: BatchFolder) -> None:
         visitors = batch.groupBy(F.to_date("ts").alias("day"), "visitor").agg(
             F.count_if(F.coalesce(F.col("event"), F.lit("pageview")) == "pageview").alias("pageviews")
         )
-        folder.write(visitors, "visitors")
-        folder.write(rollup.daily_dimensions(batch), "dimensions")
+        folder.merge(visitors, "visitors", "day", lambda r: r.groupBy("day", "visitor").agg(F.sum("pageviews").alias("pageviews")))
+        folder.merge(rollup.daily_dimensions(batch), "dimensions", "day", lambda r: r.groupBy("day", "dimension", "key").agg(
+            F.sum("cnt").alias("cnt"), F.min("first_seen").alias("first_seen")
+        ))
 
     return run_batches(events, step, root, trigger=trigger)
 
 
 def stored_totals(spark: SparkSession, root: str) -> DataFrame:
-    return read_part(spark, root, "visitors").groupBy("day").agg(
-        F.sum("pageviews").alias("pageviews"), F.count_distinct("visitor").alias("uniques")
+    return newest(spark, root, "visitors", "day").groupBy("day").agg(
+        F.sum("pageviews").alias("pageviews"), F.count("*").alias("uniques")
     )
 
 
 def stored_dimensions(spark: SparkSession, root: str) -> DataFrame:
-    return read_part(spark, root, "dimensions").groupBy("day", "dimension", "key").agg(
-        F.sum("cnt").alias("cnt"), F.min("first_seen").alias("first_seen")
-    )
+    return newest(spark, root, "dimensions", "day").select("day", "dimension", "key", "cnt", "first_seen")
 
 
 def closed_day_totals(events: DataFrame, delay: str = "1 hour") -> DataFrame:
@@ -110,11 +117,18 @@ def fixed_limit_stream(
 ):
     """Fixed-window limit across batches: the state is the accepted count per open window.
 
-    Counts are kept for windows up to ``late_seconds`` behind the newest hit.
+    Counts are kept for windows up to ``late_seconds`` behind the newest hit of all
+    batches before. A hit behind them is refused, since its window's count is gone;
+    ``late_hits`` has them.
     """
 
     def step(batch: DataFrame, used: DataFrame | None, folder: BatchFolder) -> None:
         window = F.floor(F.unix_timestamp(F.col("ts").cast("timestamp")) / seconds)
+        last = used.agg(F.max("window")).first()[0] if used is not None else None
+        if last is not None:
+            behind = F.coalesce(window < last - late_seconds // seconds - 1, F.lit(False))
+            folder.write(batch.where(behind), "late")
+            batch = batch.where(~behind)
         heads = limits.fixed_window_allowed(batch, limit, seconds).withColumn("window", window)
         if used is None:
             used = batch.sparkSession.createDataFrame([], f"key {dict(batch.dtypes)['key']}, window BIGINT, used BIGINT")
@@ -125,25 +139,35 @@ def fixed_limit_stream(
         out = folder.write(passed.select("hit_id", "key", "ts", "window"), "allowed")
         new = out.groupBy("key", "window").agg(F.count("*").alias("used"))
         merged = used.unionByName(new).groupBy("key", "window").agg(F.sum("used").alias("used"))
-        newest = batch.agg(F.max(window)).first()[0]
-        oldest = newest - late_seconds // seconds - 1 if newest is not None else 0
+        ends = [x for x in (batch.agg(F.max(window)).first()[0], last) if x is not None]
+        oldest = max(ends) - late_seconds // seconds - 1 if ends else 0
         folder.write(merged.where(F.col("window") >= oldest), "used")
 
     return run_batches(hits, step, root, state="used", trigger=trigger)
 
 
 def renewing_limit_stream(hits: DataFrame, root: str, limit: int, seconds: int, trigger: dict | None = None):
-    """Renewing limit across batches: the state is the counter of every key that may still be alive."""
+    """Renewing limit across batches: the state is the counter of every key that may still be alive.
+
+    Counters are kept for two lifetimes behind the newest hit of all batches before; a hit
+    behind them is refused and listed in ``late_hits``.
+    """
 
     def step(batch: DataFrame, state: DataFrame | None, folder: BatchFolder) -> None:
+        at = F.unix_timestamp(F.col("ts").cast("timestamp"))
+        before = state.agg(F.max("second")).first()[0] if state is not None else None
+        if before is not None:
+            behind = F.coalesce(at <= before - 2 * seconds, F.lit(False))
+            folder.write(batch.where(behind), "late")
+            batch = batch.where(~behind)
         counters = folder.write(limits.renewing_counters(batch, limit, seconds, state=state), "counters")
         folder.write(limits.renewing_allowed(batch, counters, limit), "allowed")
         live = counters.select("key", F.col("last").alias("second"), "used")
         if state is not None:
             live = live.unionByName(state)
-        newest = live.groupBy("key").agg(F.max(F.struct("second", "used")).alias("s")).select("key", "s.second", "s.used")
-        last = batch.agg(F.max(F.unix_timestamp(F.col("ts").cast("timestamp")))).first()[0]
-        folder.write(newest.where(F.col("second") > (last or 0) - 2 * seconds), "state")
+        latest = live.groupBy("key").agg(F.max(F.struct("second", "used")).alias("s")).select("key", "s.second", "s.used")
+        ends = [x for x in (batch.agg(F.max(at)).first()[0], before) if x is not None]
+        folder.write(latest.where(F.col("second") > max(ends, default=0) - 2 * seconds), "state")
 
     return run_batches(hits, step, root, state="state", trigger=trigger)
 
@@ -152,6 +176,11 @@ def allowed_hits(spark: SparkSession, root: str) -> DataFrame:
     return read_part(spark, root, "allowed")
 
 
+def late_hits(spark: SparkSession, root: str) -> DataFrame:
+    """Hits refused because the counts of their time were already dropped; the part exists from the second batch on."""
+    return read_part(spark, root, "late")
+
+
 def first_uses(attestations: DataFrame, delay: str = "5 minutes") -> DataFrame:
     """First use of every nonce on a stream."""
     return attestations.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["nonce"])
