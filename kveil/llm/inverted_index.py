@@ -287,3 +287,21 @@ def near(index: DataFrame, phrases: list[str], width: int) -> DataFrame:
                     )
 
     return index.mapInArrow(run, "doc_id long, phrase int, start long")
+
+
+def oracle_sql(window: int = WINDOW) -> str:
+    """``summarise(search(...))`` over documents and benchmark in DuckDB SQL."""
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    split = f"regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{lower}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {split} AS w FROM documents),
+i AS (SELECT item_id, w, least(len(w), {window}) AS n FROM (SELECT item_id, {split} AS w FROM benchmark) WHERE len(w) > 0),
+iw AS (SELECT DISTINCT item_id, n, array_to_string(w[k:k + n - 1], ' ') AS s FROM i, unnest(range(1, len(w) - n + 2)) AS t(k)),
+dw AS (SELECT r, k, n, array_to_string(w[k:k + n - 1], ' ') AS s FROM d, (SELECT DISTINCT n FROM iw), unnest(range(1, len(w) - n + 2)) AS t(k)),
+m AS (SELECT r, k, n, item_id FROM dw JOIN iw USING (n, s)),
+h AS (SELECT r, count(DISTINCT k + j) AS n_hit FROM (SELECT DISTINCT r, k, n FROM m), unnest(range(0, n)) AS t(j) GROUP BY r),
+f AS (SELECT r, count(*) AS n_items, string_agg(x, ',' ORDER BY x) AS names FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS x FROM m) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN h USING (r) LEFT JOIN f USING (r)
+"""

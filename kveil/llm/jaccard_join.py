@@ -295,3 +295,21 @@ def keep_one(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     once = keyed.join(twice, F.expr("_key = _twice"), "left_anti")
     repeated = keyed.join(twice, F.expr("_key = _twice"), "left_semi").dropDuplicates(["_key"])
     return once.unionByName(repeated).select("doc.*")
+
+
+def oracle_sql(n: int, percent: int) -> str:
+    """doc_id, n_shingles and component_id in DuckDB SQL, for small tables: it counts all pairs with a common n-gram."""
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    return f"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{lower}'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+g AS (SELECT DISTINCT r, CASE WHEN len(w) < {n} THEN array_to_string(w, ' ') ELSE array_to_string(w[k:k + {n} - 1], ' ') END AS s
+  FROM d, unnest(range(1, greatest(len(w) - {n} + 1, 1) + 1)) AS t(k) WHERE len(w) > 0),
+c AS (SELECT r, count(*) AS n FROM g GROUP BY r),
+p AS (SELECT a.r AS x, b.r AS y, count(*) AS m FROM g a JOIN g b ON a.s = b.s AND a.r < b.r GROUP BY ALL),
+l AS (SELECT x, y FROM p JOIN c u ON u.r = x JOIN c v ON v.r = y WHERE 100 * m >= {percent} * (u.n + v.n - m)),
+e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+reach AS (SELECT r, r AS z FROM d UNION SELECT reach.r, e.y FROM reach JOIN e ON e.x = reach.z)
+SELECT any_value(d.doc_id) AS doc_id, coalesce(any_value(c.n), 0) AS n_shingles, min(o.doc_id) AS component_id
+FROM reach JOIN d ON d.r = reach.r JOIN d o ON o.r = reach.z LEFT JOIN c ON c.r = d.r GROUP BY d.r
+"""

@@ -88,5 +88,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_token_files": op10_token_files,
 }
 ORACLES: dict[str, str] = {
+    "op3_inverted_index": inverted_index.oracle_sql(),
     "op5_quality_rules": quality_rules.oracle_sql(),
+    "op6_sharding": sharding.oracle_sql(),
+    "op9_jaccard_join": jaccard_join.oracle_sql(3, 90),
 }

@@ -150,3 +150,29 @@ def assign(docs: DataFrame, shards: int = SHARDS, seed: int = 2024, doc_id: str
         "doc_id", "size", "text_crc32", "row_number", (F.col("_place") % shards).cast("int").alias("shard"),
         F.call_function("div", F.col("_place"), F.lit(shards)).alias("slot"),
     )
+
+
+def oracle_sql(shards: int = SHARDS, seed: int = 2024) -> str:
+    """The same placement in DuckDB SQL; CRC-32 is folded byte by byte over a table made from its polynomial."""
+    once = "SELECT start, a, b, i // b AS l, i % b AS r FROM walk, m WHERE step = 0 OR i >= n"
+    for k, (x, y, z) in enumerate(round_keys(seed)):
+        side, other, width = ("l", "r", "a") if k % 2 == 0 else ("r", "l", "b")
+        line = f"(({other} % {PRIME} * {x} + {y}) % {PRIME})"
+        once = f"SELECT start, a, b, {other}, ({side} + {line} * {line} % {PRIME} * {z} % {PRIME}) % {width} AS {side} FROM ({once})"
+    return f"""
+WITH RECURSIVE t AS (SELECT list(v ORDER BY b) AS crc FROM (SELECT b, list_reduce(range(8),
+    lambda acc, s: CASE WHEN acc % 2 = 1 THEN xor(acc // 2, 3988292384) ELSE acc // 2 END, b) AS v FROM range(256) AS x(b))),
+d AS (SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS t FROM documents),
+s AS (SELECT k, doc_id, CAST(octet_length(encode(d.t)) + 16 AS BIGINT) AS size, xor(list_reduce(
+    list_transform(regexp_extract_all(hex(encode(d.t)), '..'), lambda h: CAST('0x' || h AS BIGINT)),
+    lambda acc, v: xor(acc // 256, crc[xor(acc % 256, v) + 1]), 4294967295), 4294967295) AS text_crc32 FROM d, t),
+o AS (SELECT *, row_number() OVER (ORDER BY doc_id NULLS FIRST, size, text_crc32) - 1 AS i FROM s),
+m AS (SELECT n, x AS a, (n + x - 1) // x AS b FROM (SELECT count(*) AS n FROM documents),
+    unnest(range(1, CAST(floor(sqrt(n)) AS BIGINT) + 1)) AS u(x)
+    WHERE x > CAST(floor(sqrt(n)) AS BIGINT) // 8 AND x > floor(sqrt(n)) - 100000
+    ORDER BY (n + x - 1) // x * x - n, x DESC LIMIT 1),
+walk AS (SELECT i AS start, i, 0 AS step FROM o UNION ALL SELECT start, l * b + r, 1 FROM ({once})),
+placed AS (SELECT start, walk.i FROM walk, m WHERE step = 1 AND walk.i < n)
+SELECT doc_id, size, text_crc32, 'rows' AS law, CAST(p.i % {shards} AS INTEGER) AS shard, p.i // {shards} AS slot, CAST(NULL AS INTEGER) AS grown_shard
+FROM o JOIN placed p ON p.start = o.i
+"""
