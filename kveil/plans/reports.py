@@ -65,5 +65,5 @@ def feed(requests: DataFrame, projects: DataFrame, month: str, **resolver) -> tu
     owner = projects.select(F.col("customer_id_ref").alias("customer_id"), "feed_hash")
     return (
         usage.feed_totals(projects, usage.monthly_usage(log), month),
-        usage.feed_breakdown(log.join(owner, "customer_id")),
+        usage.feed_breakdown(log.drop("feed_hash").join(owner, "customer_id")),
     )

@@ -130,3 +130,30 @@ def test_enrolment(spark):
     asked = spark.createDataFrame([("https://www.a.nl/x",), ("c.nl",), ("off.nl",), (".nl",), ("nl",)], "domain string")
     assert sorted(r.domain for r in audit.enrolled_domains(asked, projects, customers).collect()) == ["c.nl", "https://www.a.nl/x"]
     assert sorted(r.domain for r in audit.enrolled_domains(asked, projects, customers, "contains").collect()) == ["c.nl", "https://www.a.nl/x", "nl"]
+
+
+def test_vendor_flow_and_feed(spark):
+    salts = SaltBook().cover([19723])
+    requests = spark.createDataFrame(
+        [
+            (1, "wk_" + "a" * 48, "https://www.facebook.com/tr?id=1&fbp=2", "GET"), (2, "wk_" + "a" * 48, "https://x.piwik.pro/p?idsite=1&uid=u", "GET"),
+            (3, "wk_" + "a" * 48, "", "GET"), (4, "wk_" + "b" * 48, "https://none.example/", "GET"),
+        ],
+        "request_id long, api_key string, url string, method string",
+    ).selectExpr(
+        "*", "timestamp'2024-01-01 10:00:00' AS ts", "'zz' AS customer_id", "cast(null as map<string,string>) AS headers", "cast(null as string) AS body",
+        "'10.0.0.1' AS ip", "'Firefox' AS ua", "'https://shop.nl' AS origin", "cast(null as string) AS referer", "'NL' AS country",
+    )
+    customers = spark.createDataFrame([(7, "wk_" + "a" * 48, "pro", True)], "id long, api_key string, plan string, enabled boolean")
+    projects = spark.createDataFrame([(1, 7, "f" * 16, ["shop.nl"]), (2, 7, "e" * 16, ["other.nl"])], "id long, customer_id_ref long, feed_hash string, allowed_domains array<string>")
+    revoked = spark.createDataFrame([], "key_hash string, revoked_at timestamp")
+    clean, first_party = reports.vendor_flow(requests, customers, projects, revoked, salts)
+    rows = {r.request_id: r for r in clean.collect()}
+    assert {i: (r.lane, r.disposition, r.counted_as) for i, r in rows.items()} == {
+        1: ("meta", "blocked", "blocked"), 2: ("piwik", "forwarded", "stripped"), 3: ("generic", "dropped", None),
+    }
+    assert rows[1].clean_url is None and "uid=u&" not in rows[2].clean_url and rows[2].clean_headers["x-forwarded-for"] == "0.0.0.0"
+    assert [r.request_id for r in first_party.collect()] == [2]
+    known = reports.admitted(requests, customers, projects, revoked)
+    totals = {r.feed_hash: r for r in reports.feed(known, projects, "2024-01")[0].collect()}
+    assert (totals["f" * 16].requests, totals["f" * 16].blocked, totals["f" * 16].stripped, totals["f" * 16].allowed) == (2, 1, 1, 0)

@@ -81,3 +81,36 @@ def test_first_uses(spark, tmp_path):
     q.awaitTermination()
     assert spark.table("firsts").count() == rows.select("nonce").distinct().count()
     assert isinstance(spark.table("firsts").first().ts, datetime.datetime)
+
+
+def test_late_hits_are_refused(spark, tmp_path):
+    def hits(rows):
+        return spark.createDataFrame(rows, "hit_id long, key string, s long").select("hit_id", "key", F.timestamp_seconds("s").alias("ts"))
+
+    path, start = str(tmp_path / "in"), 1_704_067_200
+    for rows in ([(1, "a", start), (2, "a", start + 9000)], [(3, "a", start + 10), (4, "a", start + 9001)], [(5, "a", start + 20)]):
+        hits(rows).coalesce(1).write.mode("append").parquet(path)
+    for name, run in (("fixed", jobs.fixed_limit_stream), ("renewing", jobs.renewing_limit_stream)):
+        root = str(tmp_path / name)
+        stream = spark.readStream.schema(hits([(1, "a", 0)]).schema).option("maxFilesPerTrigger", 1).parquet(path)
+        run(stream, root, 5, 60).awaitTermination()
+        assert sorted(r.hit_id for r in jobs.allowed_hits(spark, root).collect()) == [1, 2, 4]
+        assert sorted(r.hit_id for r in jobs.late_hits(spark, root).collect()) == [3, 5]
+
+
+def test_carried_counter_never_gets_older(spark):
+    hits = spark.createDataFrame([(1, "a", 50)], "hit_id long, key string, s long").select("hit_id", "key", F.timestamp_seconds("s").alias("ts"))
+    state = spark.createDataFrame([("a", 100, 1)], "key string, second long, used long")
+    row = limits.renewing_counters(hits, 5, 60, state=state).first()
+    assert (row.second, row.accepted, row["last"], row.used) == (50, 1, 100, 2)
+
+
+def test_superseded_versions_can_go(spark, tmp_path):
+    from kveil.streaming.batches import drop_superseded
+
+    log = timeline(spark).select("event_id", F.col("b").alias("customer_id"), "ts", F.lit("strip").alias("action"))
+    root = str(tmp_path / "out")
+    jobs.usage_stream(feed(spark, log, str(tmp_path / "in"), 3, "event_id"), root).awaitTermination()
+    want = sorted(jobs.stored_usage(spark, root).collect())
+    assert drop_superseded(spark, root, "usage", "month") == 2
+    assert sorted(jobs.stored_usage(spark, root).collect()) == want
