@@ -19,8 +19,8 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 
-MEMO_ENTRIES = 300_000
-BATCH_BYTES = 1 << 23
+MEMO_ENTRIES = 120_000
+BATCH_BYTES = 1 << 22
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0D]] = True
