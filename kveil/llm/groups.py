@@ -22,16 +22,24 @@ BLOB = "grp int, slice int, body binary, extra binary"
 NO_ID = np.iinfo(np.int64).max
 
 
-def slice_count(df: DataFrame) -> int:
-    """As many groups and slices as the session has shuffle partitions."""
+# Slices are smaller than groups, since a slice holds what all groups ask.
+SLICES_PER_GROUP = 2
+
+
+def group_count(df: DataFrame) -> int:
+    """As many groups as the session has shuffle partitions."""
     return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
+def slice_count(df: DataFrame) -> int:
+    return SLICES_PER_GROUP * group_count(df)
+
+
 def grouped(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *extra: str) -> DataFrame:
     """doc_id, text, tkey (a hash of the text) and grp."""
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), *extra)
     keyed = rows.withColumn("tkey", F.xxhash64("text"))
-    return keyed.withColumn("grp", F.pmod(F.xxhash64("doc_id", "tkey"), F.lit(slice_count(docs))).cast("int"))
+    return keyed.withColumn("grp", F.pmod(F.xxhash64("doc_id", "tkey"), F.lit(group_count(docs))).cast("int"))
 
 
 def in_order(table: pa.Table) -> pa.Table:

@@ -246,6 +246,7 @@ def _lowest(length: int):
         sizes, owner = np.concatenate([x[0] for x in numbers]), np.concatenate([x[1] for x in numbers])
         bounds = np.append(0, np.cumsum(sizes)).astype(np.int64)
         coded = pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(bounds), pa.py_buffer(b"".join(bodies))]).dictionary_encode()
+        del bodies, extras
         run_of, texts = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary
         lowest = np.full(len(texts), groups.NO_ID)
         np.minimum.at(lowest, run_of, owner)
