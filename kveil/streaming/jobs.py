@@ -149,13 +149,15 @@ def fixed_limit_stream(
 def renewing_limit_stream(hits: DataFrame, root: str, limit: int, seconds: int, trigger: dict | None = None):
     """Renewing limit across batches: the state is the counter of every key that may still be alive.
 
-    Counters are kept for two lifetimes behind the newest hit of all batches before; a hit
-    behind them is refused and listed in ``late_hits``.
+    A hit two lifetimes or more behind the newest hit of all batches before is refused and
+    listed in ``late_hits``. A hit that is not refused can meet a counter up to one lifetime
+    older than itself, so counters are kept for three. The newest hit time, accepted or not,
+    is stored beside the counters, and both borders are taken from it.
     """
 
     def step(batch: DataFrame, state: DataFrame | None, folder: BatchFolder) -> None:
         at = F.unix_timestamp(F.col("ts").cast("timestamp"))
-        before = state.agg(F.max("second")).first()[0] if state is not None else None
+        before = folder.previous("newest").first()[0] if state is not None else None
         if before is not None:
             behind = F.coalesce(at <= before - 2 * seconds, F.lit(False))
             folder.write(batch.where(behind), "late")
@@ -167,7 +169,9 @@ def renewing_limit_stream(hits: DataFrame, root: str, limit: int, seconds: int,
             live = live.unionByName(state)
         latest = live.groupBy("key").agg(F.max(F.struct("second", "used")).alias("s")).select("key", "s.second", "s.used")
         ends = [x for x in (batch.agg(F.max(at)).first()[0], before) if x is not None]
-        folder.write(latest.where(F.col("second") > max(ends, default=0) - 2 * seconds), "state")
+        end = max(ends, default=None)
+        folder.write(batch.sparkSession.createDataFrame([(end,)], "second BIGINT"), "newest")
+        folder.write(latest if end is None else latest.where(F.col("second") > end - 3 * seconds), "state")
 
     return run_batches(hits, step, root, state="state", trigger=trigger)
 

@@ -98,6 +98,30 @@ def test_late_hits_are_refused(spark, tmp_path):
         assert sorted(r.hit_id for r in jobs.late_hits(spark, root).collect()) == [3, 5]
 
 
+def test_late_hit_meets_its_counter(spark, tmp_path):
+    def hits(rows):
+        return spark.createDataFrame(rows, "hit_id long, key string, s long").select("hit_id", "key", F.timestamp_seconds("s").alias("ts"))
+
+    start = 1_704_067_200
+    cases = {
+        # One to two lifetimes late: hit 3 falls under the counter of hit 1, hit 4 does not.
+        "late": ([[(1, "a", 0), (2, "b", 120)], [(3, "a", 30), (4, "a", 61)], [(5, "a", 62), (6, "b", 181)]], []),
+        # The newest hit is a denied one; hit 4 is two lifetimes behind it.
+        "denied": ([[(1, "a", -35), (2, "c", 100), (3, "c", 150)], [(4, "a", 20), (5, "c", 161)]], [4]),
+    }
+    for name, (batches, refused) in cases.items():
+        batches = [[(i, k, start + s) for i, k, s in rows] for rows in batches]
+        path, root = str(tmp_path / name / "in"), str(tmp_path / name / "out")
+        for rows in batches:
+            hits(rows).coalesce(1).write.mode("append").parquet(path)
+        stream = spark.readStream.schema(hits(batches[0]).schema).option("maxFilesPerTrigger", 1).parquet(path)
+        jobs.renewing_limit_stream(stream, root, 1, 60).awaitTermination()
+        assert sorted(r.hit_id for r in jobs.late_hits(spark, root).collect()) == refused, name
+        walk = limits.renewing_limit(hits([r for rows in batches for r in rows if r[0] not in refused]), 1, 60).where("allowed")
+        got = sorted(r.hit_id for r in jobs.allowed_hits(spark, root).collect())
+        assert got == sorted(r.hit_id for r in walk.collect()), name
+
+
 def test_carried_counter_never_gets_older(spark):
     hits = spark.createDataFrame([(1, "a", 50)], "hit_id long, key string, s long").select("hit_id", "key", F.timestamp_seconds("s").alias("ts"))
     state = spark.createDataFrame([("a", 100, 1)], "key string, second long, used long")
