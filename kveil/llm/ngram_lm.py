@@ -10,8 +10,8 @@ rounded down. Levels are memory-mapped by the task that queries them.
 
     P(w | h) = max(c(h w) - D, 0) / c(h) + b(h) * P(w),   P(w) = (c(w) + 0.5) / (N + 0.5 (V + 1))
 
-D depends on the count (1, 2, more) and is estimated in each slice from its counts of
-counts. A context never seen leaves P(w). Groups send their distinct bigrams with
+D depends on the count (1, 2, more) and is estimated once from the counts of counts of
+all slices, so it does not depend on how many there are. A context never seen leaves P(w). Groups send their distinct bigrams with
 counts, so a frequent pair reaches its slice once per group.
 
 Tokens are the words of a text (no white space, A-Z lowered) and one end; null text has
@@ -35,6 +35,7 @@ START, END = np.uint64(0x51A7C0DE51A7C0DE), np.uint64(0xE11DC0DEE11DC0DE)
 STEP = 5000.0  # quantisation: codes per unit of log10, 16 bits
 CHUNK = 1 << 18
 BLOB = groups.BLOB
+COUNTS = ["n1", "n2", "n3", "n4"]
 MODEL = "slice int, tokens long, contexts long, levels binary"
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
@@ -95,9 +96,13 @@ def _parse(body: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return context, size, groups.unpack48(body[8 + 12 * m :]) >> np.uint64(16)
 
 
-def discounts(counts: np.ndarray) -> np.ndarray:
+def counts_of_counts(counts: np.ndarray) -> list[int]:
+    """How many bigrams occur once, twice, three and four times."""
+    return [int(np.count_nonzero(counts == k)) for k in range(1, 5)]
+
+
+def discounts(n: list[int]) -> np.ndarray:
     """Discounts of counts 1, 2 and more, from the counts of counts; never all of a count."""
-    n = np.array([np.count_nonzero(counts == k) for k in range(1, 5)], float)
     if n[0] == 0 or n[1] == 0:
         return np.array([0.75, 0.75, 0.75])
     y = n[0] / (n[0] + 2 * n[1])
@@ -117,15 +122,20 @@ def restore(code: np.ndarray) -> np.ndarray:
     return np.where(code > 0, 10.0 ** ((code.astype(np.float64) - 65535) / STEP), 0.0)
 
 
-def build_levels(context: np.ndarray, successor: np.ndarray, times: np.ndarray) -> dict[str, np.ndarray]:
-    """The trie of bigrams given in any order, with repeats."""
+def _counted(context: np.ndarray, successor: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Contexts, vocabulary, and distinct bigrams (context number times vocabulary size plus word number) with counts."""
     heads, h = np.unique(context, return_inverse=True)
     vocabulary, w = np.unique(successor, return_inverse=True)
     pair, inverse = np.unique(h.astype(np.int64) * len(vocabulary) + w, return_inverse=True)
-    count = np.bincount(inverse, times, len(pair)).astype(np.int64)
+    return heads, vocabulary, pair, np.bincount(inverse, times, len(pair)).astype(np.int64)
+
+
+def build_levels(context: np.ndarray, successor: np.ndarray, times: np.ndarray, of_counts: list[int] | None = None) -> dict[str, np.ndarray]:
+    """The trie of bigrams given in any order, with repeats; without ``of_counts`` they are the whole corpus."""
+    heads, vocabulary, pair, count = _counted(context, successor, times)
     owner = pair // max(1, len(vocabulary))
     total = np.bincount(owner, count, len(heads))
-    d = discounts(count)[np.minimum(count, 3) - 1]
+    d = discounts(counts_of_counts(count) if of_counts is None else of_counts)[np.minimum(count, 3) - 1]
     lost = np.bincount(owner, np.minimum(d, count), len(heads))
     levels = {"codes": quantise(np.maximum(count - d, 0) / total[owner]), "backoff": quantise(lost / total)}
     pointers = np.append(0, np.cumsum(np.bincount(owner, minlength=len(heads))))
@@ -189,14 +199,26 @@ def _ask_counts(count: int):
     return run
 
 
-def _build(table: pa.Table) -> pa.Table:
+def _bigrams(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Contexts, successors and counts in the blobs of a slice."""
     context, successor = [], []
     for body in table["body"].to_pylist():
         c, size, s = _parse(body)
         context.append(np.repeat(c, size))
         successor.append(s)
     times = np.concatenate([np.frombuffer(e, "<u4") for e in table["extra"].to_pylist()])
-    levels = build_levels(np.concatenate(context), np.concatenate(successor), times)
+    return np.concatenate(context), np.concatenate(successor), times
+
+
+def _count(table: pa.Table) -> pa.Table:
+    return pa.table([pa.array([n], pa.int64()) for n in counts_of_counts(_counted(*_bigrams(table))[-1])], names=COUNTS)
+
+
+def _build(table: pa.Table, of_counts: pa.Table) -> pa.Table:
+    if not len(table):
+        return pa.table({"slice": pa.array([], pa.int32()), **{c: pa.array([], pa.int64()) for c in ("tokens", "contexts")}, "levels": pa.array([], pa.binary())})
+    context, successor, times = _bigrams(table)
+    levels = build_levels(context, successor, times, [of_counts[c][0].as_py() for c in COUNTS])
     heads = len(levels["heads.low"])
     return pa.table(
         [pa.array([table["slice"][0].as_py()], pa.int32()), pa.array([int(times.sum())]), pa.array([heads]), pa.array([elias_fano.dump(levels)], pa.binary())],
@@ -210,8 +232,12 @@ def _dealt(docs: DataFrame) -> DataFrame:
 
 def fit(docs: DataFrame, folder: str) -> DataFrame:
     """Learn from the rows that are not held out; the model is a table of one trie per slice."""
-    asked = _dealt(docs).groupBy("grp").applyInArrow(_ask_counts(groups.slice_count(docs)), BLOB)
-    asked.groupBy("slice").applyInArrow(_build, MODEL).write.mode("errorifexists").parquet(folder)
+    count = groups.slice_count(docs)
+    asked = _dealt(docs).groupBy("grp").applyInArrow(_ask_counts(count), BLOB)
+    # Both passes over the blobs of a slice read the same exchange.
+    of_counts = asked.groupBy("slice").applyInArrow(_count, ", ".join(f"{c} long" for c in COUNTS)).agg(*[F.sum(c).alias(c) for c in COUNTS])
+    for_slices = docs.sparkSession.range(count).select(F.col("id").cast("int").alias("slice")).crossJoin(F.broadcast(of_counts))
+    asked.groupBy("slice").cogroup(for_slices.groupBy("slice")).applyInArrow(_build, MODEL).write.mode("errorifexists").parquet(folder)
     return read(docs.sparkSession, folder)
 
 

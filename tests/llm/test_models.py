@@ -61,6 +61,21 @@ def test_model_beats_base(spark):
     assert got[0] > got[1]
 
 
+def test_scores_do_not_depend_on_partitions(spark):
+    docs = spark.read.parquet(FOLDER + "/documents.parquet")
+    before, got = spark.conf.get("spark.sql.shuffle.partitions"), []
+    try:
+        for n in (1, 13):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            rows = ngram_lm.score(docs, ngram_lm.fit(docs, shared_dir(spark, "t"))).collect()
+            got.append(sorted((r["doc_id"], r["n_known"], r["base_score"], r["score"]) for r in rows))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    # Sums over a text run in group order, which leaves rounding in the last digits.
+    assert [r[:2] for r in got[0]] == [r[:2] for r in got[1]]
+    assert np.abs(np.array(got[0])[:, 2:] - np.array(got[1])[:, 2:]).max() < 1e-6
+
+
 def test_lm_edges(spark, empty):
     model = ngram_lm.fit(empty, shared_dir(spark, "t"))
     assert ngram_lm.score(empty, model).count() == 0
