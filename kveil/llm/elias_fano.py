@@ -5,10 +5,12 @@ from __future__ import annotations
 import json
 import os
 import tempfile
+from collections.abc import Iterator
 
 import numpy as np
 
 SAMPLE = 4096
+SPAN = 64  # blocks of SAMPLE values decoded together at most
 
 
 def encode(values: np.ndarray) -> dict[str, np.ndarray]:
@@ -42,6 +44,50 @@ def decode(coded: dict[str, np.ndarray], begin: int, end: int) -> np.ndarray:
     return wide.view("<u8")[:, 0] | (top << np.uint64(8 * low.shape[1]))
 
 
+def _spans(blocks: np.ndarray, n: int) -> Iterator[tuple[int, int, int, int]]:
+    """Items i .. j - 1 of sorted block numbers, and the values a .. b - 1 that their blocks hold."""
+    cuts = np.flatnonzero((np.diff(blocks) > 1) | (np.diff(blocks // SPAN) > 0)) + 1
+    borders = [0, *cuts.tolist(), len(blocks)] if len(blocks) else []
+    for i, j in zip(borders, borders[1:]):
+        yield i, j, int(blocks[i]) * SAMPLE, min(n, (int(blocks[j - 1]) + 1) * SAMPLE)
+
+
+def take(coded: dict[str, np.ndarray], index: np.ndarray) -> np.ndarray:
+    """Values at rising places; only their blocks are decoded."""
+    out = np.zeros(len(index), np.uint64)
+    for i, j, a, b in _spans(index // SAMPLE, len(coded["low"])):
+        out[i:j] = decode(coded, a, b)[index[i:j] - a]
+    return out
+
+
+def find(coded: dict[str, np.ndarray], keys: np.ndarray, first_block: np.ndarray | None = None, last_block: np.ndarray | None = None) -> np.ndarray:
+    """Place of each key in a rising sequence, searched in a range of blocks of its own; -1: not there.
+
+    A range inside one block names it; for others the first values of the blocks are
+    searched. Only blocks that a key can be in are decoded.
+    """
+    n, width, out = len(coded["low"]), coded["low"].shape[1], np.full(len(keys), -1)
+    if not n or not len(keys):
+        return out
+    order = np.argsort(keys, kind="stable")
+    key = keys[order].view(np.uint64)
+    first = np.arange(0, n, SAMPLE)
+    wide = np.zeros((len(first), 8), np.uint8)
+    wide[:, :width] = coded["low"][first]
+    heads = wide.view("<u8")[:, 0] | ((coded["places"] - first).astype(np.uint64) << np.uint64(8 * width))
+    if first_block is None:
+        block = np.maximum(np.searchsorted(heads, key, "right") - 1, 0).astype(np.int32)
+    else:
+        block = first_block[order]
+        wider = np.flatnonzero((first_block < last_block)[order])
+        block[wider] = np.clip(np.searchsorted(heads, key[wider], "right") - 1, block[wider], last_block[order[wider]])
+    for i, j, a, b in _spans(block, n):
+        values = decode(coded, a, b)
+        at = np.minimum(np.searchsorted(values, key[i:j]), len(values) - 1)
+        out[order[i:j]] = np.where(values[at] == key[i:j], a + at, -1)
+    return out
+
+
 def dump(arrays: dict[str, np.ndarray]) -> bytes:
     """Arrays one after the other, at multiples of 64, behind a header."""
     entries, at = [], 0

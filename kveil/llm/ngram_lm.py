@@ -1,10 +1,13 @@
 """LM scoring with Elias-Fano n-gram tries: bigrams, absolute discounts, unigram back-off.
 
+The order is fixed at two: a context is one word.
+
 Contexts are dealt to slices by hash; each slice holds a trie of its own. Level one are
 the contexts, with monotone pointers to level two, their successors. A successor is
 stored relative to its context: context number times vocabulary size plus the word's
 number in the slice's vocabulary, which makes the level one monotone sequence, so the
-search for a successor is a search for a value inside its context's range. All sequences
+search for a successor is a search for a value inside its context's range: the pointers
+name the blocks of the range, and only the block that can hold the value is decoded. All sequences
 are Elias-Fano coded; probabilities and back-off weights are quantised logarithms,
 rounded down. Levels are memory-mapped by the task that queries them.
 
@@ -33,7 +36,6 @@ from kveil.llm import elias_fano, groups, words
 
 START, END = np.uint64(0x51A7C0DE51A7C0DE), np.uint64(0xE11DC0DEE11DC0DE)
 STEP = 5000.0  # quantisation: codes per unit of log10, 16 bits
-CHUNK = 1 << 18
 BLOB = groups.BLOB
 COUNTS = ["n1", "n2", "n3", "n4"]
 MODEL = "slice int, tokens long, contexts long, levels binary"
@@ -126,7 +128,9 @@ def _counted(context: np.ndarray, successor: np.ndarray, times: np.ndarray) -> t
     """Contexts, vocabulary, and distinct bigrams (context number times vocabulary size plus word number) with counts."""
     heads, h = np.unique(context, return_inverse=True)
     vocabulary, w = np.unique(successor, return_inverse=True)
-    pair, inverse = np.unique(h.astype(np.int64) * len(vocabulary) + w, return_inverse=True)
+    pair = h.astype(np.int64) * len(vocabulary) + w
+    del h, w
+    pair, inverse = np.unique(pair, return_inverse=True)
     return heads, vocabulary, pair, np.bincount(inverse, times, len(pair)).astype(np.int64)
 
 
@@ -147,47 +151,36 @@ def build_levels(context: np.ndarray, successor: np.ndarray, times: np.ndarray,
 
 
 class Trie:
-    """Queries on mapped levels; sequences are decoded in chunks."""
+    """Queries on mapped levels; only blocks that can hold an answer are decoded."""
 
     def __init__(self, levels: dict[str, np.ndarray]):
         self.levels = levels
-        self.heads = self._all("heads")
-        self.vocabulary = self._all("vocabulary")
-        self.totals = np.diff(self._all("totals").astype(np.int64), prepend=0)
 
     def _coded(self, name: str) -> dict[str, np.ndarray]:
         return {part: self.levels[f"{name}.{part}"] for part in ("low", "high", "places")}
 
-    def _all(self, name: str) -> np.ndarray:
-        return elias_fano.decode(self._coded(name), 0, len(self.levels[f"{name}.low"]))
-
-    @staticmethod
-    def _find(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
-        at = np.minimum(np.searchsorted(table, keys), max(0, len(table) - 1))
-        return np.where(table[at] == keys, at, -1) if len(table) else np.full(len(keys), -1)
-
     def query(self, context: np.ndarray, size: np.ndarray, successor: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Count and back-off code per context, probability code per successor (0: unseen)."""
-        head = self._find(self.heads, context)
-        total = np.where(head >= 0, self.totals[head] if len(self.totals) else 0, 0)
-        backoff = np.where(head >= 0, self.levels["backoff"][head] if len(self.totals) else 0, 65535).astype("<u2")
-        owner, word = np.repeat(head, size), self._find(self.vocabulary, successor)
+        head = elias_fano.find(self._coded("heads"), context)
+        found = np.flatnonzero(head >= 0)
+        total, backoff = np.zeros(len(head), "<i8"), np.full(len(head), 65535, "<u2")
+        first, last = np.zeros(len(head), np.int32), np.zeros(len(head), np.int32)
+        heads, number = np.unique(head[found], return_inverse=True)
+        sums, pointers = self._coded("totals"), self._coded("pointers")
+        below = np.where(heads > 0, elias_fano.take(sums, np.maximum(heads - 1, 0)).astype(np.int64), 0)
+        total[found] = (elias_fano.take(sums, heads).astype(np.int64) - below)[number]
+        backoff[found] = self.levels["backoff"][heads][number]
+        first[found] = (elias_fano.take(pointers, heads).astype(np.int64) // elias_fano.SAMPLE)[number]
+        last[found] = ((elias_fano.take(pointers, heads + 1).astype(np.int64) - 1) // elias_fano.SAMPLE)[number]
+        key = elias_fano.find(self._coded("vocabulary"), successor)
+        owner = np.repeat(np.arange(len(head), dtype=np.int32), size)
+        asked = np.flatnonzero((head[owner] >= 0) & (key >= 0))
+        owner, key = owner[asked], key[asked]
+        key += head[owner] * len(self.levels["vocabulary.low"])
+        at = elias_fano.find(self._coded("successors"), key, first[owner], last[owner])
         code = np.zeros(len(successor), "<u2")
-        asked = np.flatnonzero((owner >= 0) & (word >= 0))
-        key = owner[asked] * len(self.vocabulary) + word[asked]
-        order = np.argsort(key, kind="stable")
-        asked, key = asked[order], key[order]
-        coded, n = self._coded("successors"), len(self.levels["codes"])
-        begin = 0
-        for a in range(0, n, CHUNK):
-            if begin == len(key):
-                break
-            values = elias_fano.decode(coded, a, min(n, a + CHUNK)).astype(np.int64)
-            end = int(np.searchsorted(key, values[-1], "right"))
-            at = np.minimum(np.searchsorted(values, key[begin:end]), len(values) - 1)
-            code[asked[begin:end]] = np.where(values[at] == key[begin:end], self.levels["codes"][a + at], 0)
-            begin = end
-        return total.astype("<i8"), backoff, code
+        code[asked[at >= 0]] = self.levels["codes"][at[at >= 0]]
+        return total, backoff, code
 
 
 def _ask_counts(count: int):

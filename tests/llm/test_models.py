@@ -11,7 +11,7 @@ import pytest
 from conftest import FOLDER
 from oracle_check import compare, connect
 
-from kveil.llm import classifier, ngram_lm, queries
+from kveil.llm import classifier, elias_fano, ngram_lm, queries
 from kveil.session import shared_dir
 
 W = re.compile(r"[^\x20\x09-\x0D]+")
@@ -55,6 +55,36 @@ def test_model_is_a_distribution():
         assert [x > 0 for x in code] == [(c, w) in pairs for w in range(1, 6)]
 
 
+def test_query_decodes_only_the_range_of_its_context(monkeypatch):
+    rng = np.random.default_rng(1)
+    context = np.sort(rng.integers(0, 2000, 200_000)).astype(np.uint64)
+    context[:60_000] = 5  # a context over many blocks
+    successor = rng.integers(0, 50_000, len(context)).astype(np.uint64)
+    levels = ngram_lm.build_levels(context, successor, np.ones(len(context), np.uint32))
+    trie, n, seen, decode = ngram_lm.Trie(levels), len(levels["codes"]), [], elias_fano.decode
+    pairs, totals = Counter(zip(context.tolist(), successor.tolist())), Counter(context.tolist())
+    every = decode(trie._coded("successors"), 0, n)
+    place = dict(zip(every.tolist(), range(n)))
+    heads, vocabulary = np.unique(context), np.unique(successor)
+
+    def watched(coded, begin, end):
+        if len(coded["low"]) == n:
+            seen.append(end - begin)
+        return decode(coded, begin, end)
+
+    monkeypatch.setattr(elias_fano, "decode", watched)
+    for c in (5, int(context[100_000]), int(context[-1]), 1_000_000):
+        mine = successor[context == c][:: 1 if c != 5 else 20_000]
+        words = np.concatenate([mine, rng.integers(0, 60_000, 3).astype(np.uint64)])
+        seen.clear()
+        total, _, code = trie.query(np.array([c], np.uint64), np.array([len(words)]), words)
+        assert total[0] == totals[c]
+        for w, x in zip(words.tolist(), code):
+            key = int(np.searchsorted(heads, c)) * len(vocabulary) + int(np.searchsorted(vocabulary, w))
+            assert x == (levels["codes"][place[key]] if (c, w) in pairs else 0)
+        assert sum(seen) <= 6 * elias_fano.SAMPLE < n / 4
+
+
 def test_model_beats_base(spark):
     docs = spark.read.parquet(FOLDER + "/documents.parquet")
     got = ngram_lm.score(docs, ngram_lm.fit(docs, shared_dir(spark, "t"))).where("held_out").groupBy().sum("score", "base_score").first()
