@@ -8,6 +8,7 @@ the next sweep.
 
 from __future__ import annotations
 
+import functools
 import json
 from collections.abc import Iterator
 
@@ -28,6 +29,7 @@ QI_EMPTY = {"event": "pageview", "path": "/", "country": "??", "device": "other"
 K, TTL_SECONDS, SWEEP_SECONDS = 5, 30 * 60, 60
 CHUNK_ROWS, SMALL_CHUNK_ROWS = 1_000_000, 10_000
 BROADCAST_CHUNKS = 10_000
+FAN = 64  # summaries of one bucket that meet in one group
 RELEASED, DROPPED, HELD = "released", "dropped", "held"
 
 
@@ -96,29 +98,45 @@ class Gate:
         return DROPPED if overdue else HELD
 
 
+def _steps(steps: list, cap: int) -> list:
+    """Sweep steps in order of their ticks: neighbours with one outcome are one, and nothing is kept behind ``cap``."""
+    out: list = []
+    for tick, end in steps:
+        if out and out[-1][0] >= cap:
+            break
+        if out and out[-1][1] == end:
+            out[-1] = [tick, end]
+        else:
+            out.append([tick, end])
+    return out
+
+
 def _summary(gate: Gate, ts: list, visitors: list, first: bool) -> dict:
-    """What one chunk does to a run that is open when the chunk begins.
+    """What rows in a row (a chunk's part of a bucket) do to a run that is open when they begin.
 
     An open run holds fewer than k visitors. It can only end at one of the first k new
-    visitors of the chunk or at a sweep before them, so a fresh run can only begin at
-    those few rows. ``ends`` says, for each of them, which run is open after the chunk.
+    visitors (``heads``: visitor, tick, and the run that is open after the last row if
+    it ends there) or at a sweep before them (``sweeps``: the run that is open after the
+    last row if a deadline up to that tick is met). No deadline is later than that of a
+    run opened by the first row (``cap``), so there are at most TTL / sweep + 2 steps.
+    ``fresh`` is the run that is open after the last row if none was before the first.
     """
     heads, seen = [], set()
     for i, v in enumerate(visitors):
         if v is not None and v not in seen:
             seen.add(v)
-            heads.append([v, i])
+            heads.append((v, i))
             if len(seen) == gate.k:
                 break
     limit = heads[-1][1] if len(heads) == gate.k else len(ts) - 1
-    ticks, starts = [], {0}
-    if first:
-        starts |= {i + 1 for _, i in heads}
-        for i in range(limit + 1):
-            tick = ts[i] // gate.sweep
-            if not ticks or ticks[-1][0] != tick:
-                ticks.append([tick, i])
-                starts.add(i)
+    cap, ticks = gate.deadline(ts[0]), []
+    for i in range(limit + 1 if first else 0):
+        tick = ts[i] // gate.sweep
+        if not ticks or ticks[-1][0] != tick:
+            ticks.append((tick, i))
+            if tick >= cap:
+                break
+    starts = {0} | ({i + 1 for _, i in heads} | {i for _, i in ticks} if first else set())
     ends: dict[int, list | None] = {len(ts): None}
     for start in sorted(starts):
         path, at, end = [], start, None
@@ -134,44 +152,68 @@ def _summary(gate: Gate, ts: list, visitors: list, first: bool) -> dict:
             end = ends[at]
         for p in path:
             ends[p] = end
-    return {"n": len(ts), "heads": heads, "ticks": ticks, "ends": {str(s): ends[s] for s in starts}}
-
-
-def _fold(gate: Gate, summaries: list[dict]) -> list[dict]:
-    """State of a bucket at the start and end of each of its chunks, in chunk order."""
-    entries, waiting, open_run = [], [], None  # waiting: places to fill when the open run ends
+    return {
+        "cap": cap, "last": ts[-1] // gate.sweep, "fresh": ends[0],
+        "heads": [[v, ts[i] // gate.sweep, ends[i + 1]] for v, i in heads] if first else [],
+        "sweeps": _steps([[tick, ends[i]] for tick, i in ticks], cap),
+    }
 
-    def settle(outcome: str) -> None:
-        for entry, field in waiting:
-            entry[field] = outcome
-        waiting.clear()
 
+def _pass(gate: Gate, s: dict, run: list | None) -> tuple[str | None, list | None]:
+    """How an open run ends within the rows of a summary (None: not at all), and which run is open after them."""
+    if run is None:
+        return None, s["fresh"]
+    tokens, first_ts = run
+    deadline = gate.deadline(first_ts)
+    new = [h for h in s["heads"] if h[0] not in tokens]
+    need = gate.k - len(tokens)
+    release = new[need - 1] if len(new) >= need else None
+    if s["last"] >= deadline and (release is None or release[1] >= deadline):
+        return DROPPED, next(end for tick, end in s["sweeps"] if tick >= deadline)
+    if release is not None:
+        return RELEASED, release[2]
+    return None, [tokens + [h[0] for h in new], first_ts]
+
+
+def _compose(gate: Gate, a: dict, b: dict) -> dict:
+    """The summary of the rows of ``a`` followed by those of ``b``; this is associative."""
+    cache: dict = {}
+
+    def through(run: list | None) -> list | None:
+        key = None if run is None else (tuple(run[0]), run[1])
+        if key not in cache:
+            cache[key] = _pass(gate, b, run)[1]
+        return cache[key]
+
+    known = {h[0] for h in a["heads"]}
+    full = len(a["heads"]) == gate.k
+    heads = [[v, tick, through(end)] for v, tick, end in a["heads"]]
+    heads += [h for h in b["heads"] if h[0] not in known][: gate.k - len(heads)]
+    sweeps = [[tick, through(end)] for tick, end in a["sweeps"]]
+    sweeps += [] if full else [x for x in b["sweeps"] if x[0] > a["last"]]
+    return {"cap": a["cap"], "last": b["last"], "fresh": through(a["fresh"]), "heads": heads, "sweeps": _steps(sweeps, a["cap"])}
+
+
+def _fold(gate: Gate, summaries: list[dict], run: list | None = None, final: str | None = None) -> list[dict]:
+    """State at the start and end of each of the summarised stretches, in order.
+
+    ``run`` is open before the first; ``final`` tells how the run ends that is open after the last.
+    """
+    entries = []
     for s in summaries:
-        entry = {"tokens": None, "first_ts": None, "entry_outcome": None, "exit_outcome": None}
-        entries.append(entry)
-        at = 0
-        if open_run is not None:
-            tokens, first_ts = open_run
-            entry["tokens"], entry["first_ts"] = tokens, first_ts
-            waiting.append((entry, "entry_outcome"))
-            fresh = [h for h in s["heads"] if h[0] not in tokens]
-            need = gate.k - len(tokens)
-            release = fresh[need - 1][1] if len(fresh) >= need else None
-            sweep = next((i for tick, i in s["ticks"] if tick >= gate.deadline(first_ts)), None)
-            if sweep is not None and (release is None or sweep <= release):
-                settle(DROPPED)
-                at, open_run = sweep, None
-            elif release is not None:
-                settle(RELEASED)
-                at, open_run = release + 1, None
-            else:
-                open_run = (tokens + [h[0] for h in fresh], first_ts)
-        if open_run is None and at < s["n"]:
-            open_run = s["ends"][str(at)]
-        if open_run is not None:
-            waiting.append((entry, "exit_outcome"))
-    if open_run is not None:
-        settle(gate.leftover(open_run[1]))
+        how, after = _pass(gate, s, run)
+        tokens, first_ts = run or (None, None)
+        entries.append({"tokens": tokens, "first_ts": first_ts, "entry_outcome": how, "exit_outcome": None})
+        run = after
+    if run is not None and final is None:
+        final = gate.leftover(run[1])
+    for entry in reversed(entries):
+        entry["exit_outcome"] = final
+        if entry["first_ts"] is not None:
+            # Its outcome is that of the run open after the stretch before.
+            final = entry["entry_outcome"] = entry["entry_outcome"] or final
+        else:
+            final = None
     return entries
 
 
@@ -222,10 +264,47 @@ def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.concat_tables(pending)
 
 
+STATE = "_bucket STRING, _chunk INT, _state STRING"
+
+
+def _border_states(gate: Gate, borders: DataFrame, chunks: int, fan: int) -> DataFrame:
+    """State of every bucket at the borders of its chunks, folded as a tree: no group has more than ``fan`` summaries.
+
+    Upwards, ``fan`` neighbours become one summary until a bucket has at most ``fan``;
+    downwards, each of them tells its own parts which run is open before them and how the
+    run that is open after them ends.
+    """
+    def compose(group: pd.DataFrame) -> pd.DataFrame:
+        parts = [json.loads(s) for s in group.sort_values("_chunk")["summary"]]
+        whole = functools.reduce(lambda a, b: _compose(gate, a, b), parts)
+        return pd.DataFrame({"_bucket": group["_bucket"].iloc[:1], "_chunk": group["_node"].iloc[:1], "summary": [json.dumps(whole)]})
+
+    def fold(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("_chunk")
+        above = json.loads(group["_state"].iloc[0]) if "_state" in group else {}
+        run = [above["tokens"], above["first_ts"]] if above.get("first_ts") is not None else None
+        states = _fold(gate, [json.loads(s) for s in group["summary"]], run, above.get("exit_outcome"))
+        return pd.DataFrame({
+            "_bucket": group["_bucket"].to_numpy(), "_chunk": group["_chunk"].to_numpy(), "_state": [json.dumps(s) for s in states],
+        })
+
+    node = F.floor(F.col("_chunk") / fan).cast("int").alias("_node")
+    levels = [borders]
+    while chunks > fan:
+        levels[-1] = reliable_checkpoint(levels[-1])  # read on the way up and down
+        levels.append(levels[-1].select("*", node).groupBy("_bucket", "_node").applyInPandas(compose, "_bucket STRING, _chunk INT, summary STRING"))
+        chunks = -(-chunks // fan)
+    states = levels.pop().groupBy("_bucket").applyInPandas(fold, STATE)
+    while levels:
+        above = states.select("_bucket", F.col("_chunk").alias("_node"), "_state")
+        states = levels.pop().select("*", node).join(above, ["_bucket", "_node"]).groupBy("_bucket", "_node").applyInPandas(fold, STATE)
+    return states
+
+
 def arrival_status(
     events: DataFrame, qi: list[str] | None = None, k: int = K, ttl_seconds: int = TTL_SECONDS,
     sweep_seconds: int | None = None, as_of: str | None = None, ts: str = "ts", tie: str = "event_id",
-    visitor: str = "visitor", chunks: int | None = None,
+    visitor: str = "visitor", chunks: int | None = None, fan: int = FAN,
 ) -> DataFrame:
     """Arrival mode: ``tie`` and ``status`` (released, dropped or held) of every event.
 
@@ -235,8 +314,9 @@ def arrival_status(
 
     The rows are range-partitioned by (bucket, time), so a heavy bucket is spread over
     many chunks of even size. Each chunk is reduced to a small summary for the buckets
-    that cross its borders, the summaries of a bucket are folded in order, and a second
-    scan labels the rows. The result equals one pass over each bucket.
+    that cross its borders, the summaries of a bucket are folded as a tree of ``fan``
+    neighbours each, and a second scan labels the rows. The result equals one pass over
+    each bucket.
     """
     _check_k(k)
     sweep_seconds = sweep_seconds or max(1, min(ttl_seconds, SWEEP_SECONDS))
@@ -269,18 +349,10 @@ def arrival_status(
             text = json.dumps(_summary(gate, times, who, first=(key == first[0])))
             yield pa.RecordBatch.from_pydict({"_bucket": [key], "_chunk": pa.array([chunk], pa.int32()), "summary": [text]})
 
-    def fold(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("_chunk")
-        states = _fold(gate, [json.loads(s) for s in group["summary"]])
-        return pd.DataFrame({
-            "_bucket": group["_bucket"].to_numpy(), "_chunk": group["_chunk"].to_numpy(),
-            "_state": [json.dumps(s) for s in states],
-        })
-
     borders = ordered.select("_bucket", "_chunk", "_us", visitor).mapInArrow(
         summarise, "_bucket STRING, _chunk INT, summary STRING"
     )
-    states = borders.groupBy("_bucket").applyInPandas(fold, "_bucket STRING, _chunk INT, _state STRING")
+    states = _border_states(gate, borders, chunks, fan)
 
     def label(batches):
         for table in _by_bucket(batches):

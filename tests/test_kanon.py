@@ -1,3 +1,5 @@
+import functools
+import json
 import random
 
 import pytest
@@ -68,14 +70,14 @@ def test_k_must_protect(spark):
         gate(spark, rows_of("ab"), k=1)
 
 
-@pytest.mark.parametrize("seed,k,ttl,chunks,bot", [(0, 3, 1800, 8, 0.5), (1, 3, 600, 40, 0.97), (2, 5, 1800, 13, 0.0)])
-def test_heavy_bucket_over_many_chunks_equals_brute_force(spark, seed, k, ttl, chunks, bot):
+@pytest.mark.parametrize("seed,k,ttl,chunks,bot,fan", [(0, 3, 1800, 8, 0.5, 64), (1, 3, 600, 40, 0.97, 3), (2, 5, 1800, 13, 0.0, 4)])
+def test_heavy_bucket_over_many_chunks_equals_brute_force(spark, seed, k, ttl, chunks, bot, fan):
     r = random.Random(seed)
     rows = [
         (r.choice(["hot", "hot", "a", f"c{r.randrange(50)}"]), r.randrange(7200) * US, i, "bot" if r.random() < bot else f"v{r.randrange(30)}")
         for i in range(3000)
     ]
-    got = status(spark, rows, k=k, ttl_seconds=ttl, as_of="1970-01-01 02:00:00", chunks=chunks)
+    got = status(spark, rows, k=k, ttl_seconds=ttl, as_of="1970-01-01 02:00:00", chunks=chunks, fan=fan)
     assert got == brute_force(rows, k, ttl * US, 60 * US, 7200 * US)
 
 
@@ -91,11 +93,30 @@ def test_any_cut_into_chunks_gives_the_same_labels(rows, k, ttl, sweep, cuts):
     marks = sorted({0, len(rows), *[c for c in cuts if c < len(rows)]})
     parts = [rows[a:b] for a, b in zip(marks, marks[1:])]
     columns = [([t for t, _ in p], [v for _, v in p]) for p in parts]
-    import json
-
-    states = kanon._fold(g, [json.loads(json.dumps(kanon._summary(g, ts, who, True))) for ts, who in columns])
+    summaries = [json.loads(json.dumps(kanon._summary(g, ts, who, True))) for ts, who in columns]
+    assert all(len(s["sweeps"]) <= ttl // sweep + 3 and len(s["heads"]) <= k for s in summaries)
+    states = kanon._fold(g, summaries)
     got = [s for (ts, who), state in zip(columns, states) for s in kanon._label(g, ts, who, state)]
     assert got == [want[i] for i in range(len(rows))]
+    # The same states by way of a tree, and composition in any grouping.
+    for fan in (2, 3):
+        assert by_tree(g, summaries, fan) == states
+    if len(summaries) > 2:
+        a, b, c = summaries[:3]
+        assert kanon._compose(g, kanon._compose(g, a, b), c) == kanon._compose(g, a, kanon._compose(g, b, c))
+
+
+def by_tree(gate, summaries, fan, run=None, final=None):
+    if len(summaries) <= fan:
+        return kanon._fold(gate, summaries, run, final)
+    parts = [summaries[i : i + fan] for i in range(0, len(summaries), fan)]
+    whole = [functools.reduce(lambda a, b: kanon._compose(gate, a, b), p) for p in parts]
+    assert all(len(s["sweeps"]) <= gate.ttl // gate.sweep + 3 for s in whole)
+    above = by_tree(gate, whole, fan, run, final)
+    return [
+        s for part, e in zip(parts, above)
+        for s in kanon._fold(gate, part, [e["tokens"], e["first_ts"]] if e["first_ts"] is not None else None, e["exit_outcome"])
+    ]
 
 
 def test_buckets_are_released_whole(spark):
