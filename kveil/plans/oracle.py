@@ -102,12 +102,13 @@ CLEAN_EVENTS = f"""clean AS (
   FROM visits)"""
 
 
-def arrival(source: str, bucket: str, k: int, ttl: int | None = None, sweep: int = 60, as_of: str | None = None) -> str:
+def arrival(source: str, bucket: str, k: int, ttl: int | None = None, sweep: int = 60, as_of: str | None = None, as_of_sql: str | None = None) -> str:
     """CTEs ending in ``labelled(event_id, status, ...)``: the arrival-mode gate, row by row."""
     late = "false" if ttl is None else f"o.us // {sweep}000000 >= (s.first_us + {ttl}000000) // {sweep}000000 + 1"
+    at = as_of_sql or (as_of and f"TIMESTAMP '{as_of}'")
     over = (
-        "false" if ttl is None or as_of is None else
-        f"((first_us + {ttl}000000) // {sweep}000000 + 1) * {sweep}000000 <= epoch_us(TIMESTAMP '{as_of}')"
+        "false" if ttl is None or at is None else
+        f"((first_us + {ttl}000000) // {sweep}000000 + 1) * {sweep}000000 <= epoch_us({at})"
     )
     fresh = f"(s.closed OR {late})"
     seen = f"CASE WHEN {fresh} THEN [o.visitor] ELSE list_distinct(list_append(s.seen, o.visitor)) END"

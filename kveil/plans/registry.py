@@ -19,7 +19,7 @@ from kveil.sources.rulebase import (
     AUDIT_HOSTS, COOKIE_PREFIXES, INTERCEPT_PATTERNS, ROUTE_PATTERNS, ROUTE_TRACKER, SCRIPT_PATTERNS, load_rules,
     rules_df, template_overrides, templates_df,
 )
-from kveil.streaming import jobs
+from kveil.streaming import jobs, keyed
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -747,12 +747,15 @@ def rate_limit_renewing(t):
 _FAILURES = "SELECT user_id AS source, ts FROM {visits} WHERE e = 'error'"
 
 
-@query("suspicious_sources", "visits", f"""
+_RUNS_SQL = f"""
 SELECT source, {sql_time('min(ts)')} AS first_failure, {sql_time('max(ts)')} AS last_failure, count(*) AS failures,
   greatest(count(*) - 2, 0) AS flagged, count(*) >= 3 AS suspicious FROM (
   SELECT *, sum(opens) OVER (PARTITION BY source ORDER BY ts) AS run FROM (
     SELECT source, ts, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY source ORDER BY ts) < 172800000000 THEN 0 ELSE 1 END AS opens
-    FROM (SELECT user_id AS source, ts FROM visits WHERE e = 'error'))) GROUP BY source, run""")
+    FROM (SELECT user_id AS source, ts FROM visits WHERE e = 'error'))) GROUP BY source, run"""
+
+
+@query("suspicious_sources", "visits", _RUNS_SQL)
 def suspicious_sources(t):
     out = limits.suspicious_sources(t.sql(_FAILURES), threshold=3, seconds=172_800)
     return out.withColumns({"first_failure": text_time(c("first_failure")), "last_failure": text_time(c("last_failure"))})
@@ -963,64 +966,255 @@ def cascade_feed(t):
 # ---------------------------------------------------------------- streams
 
 STEPS = 4
+_MICROS = "unix_micros(CAST({ts} AS TIMESTAMP))"
+
+
+def _by_time(rows: DataFrame, ts: str = "ts", steps: int = STEPS) -> Column:
+    """Number of the step of each row, in time order; rows without a time come first."""
+    at = F.unix_micros(c(ts))
+    borders = rows.agg(F.percentile_approx(at, [i / steps for i in range(1, steps)])).first()[0] or []
+    return sum((F.coalesce((at > b).cast("int"), F.lit(0)) for b in borders), F.lit(0))
 
 
-def _stream(t: Inputs, rows: DataFrame, part: str) -> tuple[DataFrame, str]:
-    """The rows as a file stream of ``STEPS`` batches in time order, and a folder for the results."""
+def _stream(t: Inputs, rows: DataFrame, part: str, start, number: Column | None = None, steps: int = STEPS) -> str:
+    """Hand the rows to a stream in ``steps`` batches, each written by as many tasks as it has; the folder of the results.
+
+    ``start(stream, root)`` runs what is there and ends; it goes on from its checkpoint each time.
+    """
     root = shared_dir(t.spark, part)
-    at = F.unix_micros(c("ts"))
-    borders = rows.agg(F.percentile_approx(at, [i / STEPS for i in range(1, STEPS)])).first()[0] or []
-    for low, high in zip([None, *borders], [*borders, None]):
-        part_rows = rows if low is None else rows.where(at > low)
-        part_rows = part_rows if high is None else part_rows.where(at <= high)
-        part_rows.coalesce(1).write.mode("append").parquet(f"{root}/in")
-    return t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in"), f"{root}/out"
+    staged = rows.withColumn("step", _by_time(rows, steps=steps) if number is None else number)
+    staged.write.partitionBy("step").parquet(f"{root}/staged")
+    for i in range(steps):
+        t.spark.read.parquet(f"{root}/staged").where(c("step") == i).select(rows.columns).write.mode("append").parquet(f"{root}/in")
+        stream = t.spark.readStream.schema(rows.schema).parquet(f"{root}/in")
+        start(stream, f"{root}/out").awaitTermination()
+    return f"{root}/out"
 
 
-def _finish(running) -> None:
-    running.awaitTermination()
+def _to_files(query: DataFrame, root: str):
+    """Append what a native query gives out to files."""
+    return query.writeStream.format("parquet").option("path", f"{root}/rows").option("checkpointLocation", f"{root}/checkpoint").trigger(
+        availableNow=True).start()
 
 
 @query("stream_kanon", "visits", "SELECT event_id FROM labelled WHERE status = 'released'",
        ctes=sql.CLEAN_EVENTS + "," + sql.arrival("clean", _ARRIVAL_KEY, 3), recursive=True)
 def stream_kanon(t):
-    stream, root = _stream(t, clean_events(t).select("event_id", "ts", "visitor", "event", "hour"), "gate")
-    _finish(jobs.gate_stream(stream, root, _ARRIVAL_QI, 3, ttl_seconds=_NO_TTL, sweep=False))
+    rows = clean_events(t).select("event_id", "ts", "visitor", "event", "hour")
+    root = _stream(t, rows, "gate", lambda s, out: jobs.gate_stream(s, out, _ARRIVAL_QI, 3, ttl_seconds=_NO_TTL, sweep=False))
     return jobs.released_events(t.spark, root).select("event_id")
 
 
+# All batches are through: the last sweep runs at the newest event time.
+_SWEPT_CTES = sql.CLEAN_EVENTS + "," + sql.arrival("clean", _DAY_KEY, 4, 7200, 60, as_of_sql="(SELECT max(ts) FROM clean)")
+_DECIDED = "SELECT event_id, status FROM labelled WHERE status <> 'held'"
+
+
+@query("stream_gate_ttl", "visits", _DECIDED, ctes=_SWEPT_CTES, recursive=True)
+def stream_gate_ttl(t):
+    """The micro-batch gate with sweeps over batch borders: what was released and what was dropped."""
+    rows = clean_events(t).select("event_id", "ts", "visitor", *_DAY_QI)
+    root = _stream(t, rows, "gate-ttl", lambda s, out: jobs.gate_stream(s, out, _DAY_QI, 4, ttl_seconds=7200))
+    return jobs.decided_events(t.spark, root).select("event_id", "status")
+
+
+@query("stream_gate_counts", "visits", "SELECT status, count(*) AS events FROM labelled WHERE status <> 'held' GROUP BY status",
+       ctes=sql.CLEAN_EVENTS + "," + sql.arrival("clean", _ARRIVAL_KEY, 3, 7200, 60, as_of_sql="(SELECT max(ts) FROM clean)"), recursive=True)
+def stream_gate_counts(t):
+    rows = clean_events(t).select("event_id", "ts", "visitor", "event", "hour")
+    root = _stream(t, rows, "gate-counts", lambda s, out: jobs.gate_stream(s, out, _ARRIVAL_QI, 3, ttl_seconds=7200))
+    return jobs.gate_counts(t.spark, root)
+
+
+@query("stream_kanon_ttl", "visits", _DECIDED, ctes=_SWEPT_CTES, recursive=True)
+def stream_kanon_ttl(t):
+    """The gate as keyed state with event-time timers."""
+    rows = clean_events(t).select("event_id", "ts", "visitor", *_DAY_QI)
+    root = _stream(t, rows, "gate-keyed", lambda s, out: _to_files(keyed.keyed_gate(s, _DAY_QI, 4, ttl_seconds=7200), out))
+    return t.spark.read.parquet(f"{root}/rows")
+
+
 @query("stream_usage", "usage_log", _USAGE_SQL)
 def stream_usage(t):
-    stream, root = _stream(t, t.usage_log, "usage")
-    _finish(jobs.usage_stream(stream, root))
-    return jobs.stored_usage(t.spark, root)
+    return jobs.stored_usage(t.spark, _stream(t, t.usage_log, "usage", jobs.usage_stream))
 
 
-@query("stream_rollup", "visits", """
+_ROLLUP_COLUMNS = ["event_id", "ts", "visitor", "event", "path", "referrer", "country", "device"]
+_TOTALS_SQL = """
 SELECT strftime(day, '%Y-%m-%d') AS day, count(*) FILTER (event = 'pageview') AS pageviews, count(DISTINCT visitor) AS uniques
-FROM clean GROUP BY 1""", ctes=sql.CLEAN_EVENTS)
+FROM clean GROUP BY 1"""
+
+
+@query("stream_rollup", "visits", _TOTALS_SQL, ctes=sql.CLEAN_EVENTS)
 def stream_rollup(t):
-    columns = ["event_id", "ts", "visitor", "event", "path", "referrer", "country", "device"]
-    stream, root = _stream(t, clean_events(t).select(*columns), "rollup")
-    _finish(jobs.rollup_stream(stream, root))
+    root = _stream(t, clean_events(t).select(*_ROLLUP_COLUMNS), "rollup", jobs.rollup_stream)
+    return jobs.stored_totals(t.spark, root).withColumn("day", c("day").cast("string"))
+
+
+_UNTIMED_STEPS = 10
+_UNTIMED_LOG = "SELECT event_id, customer_id, CASE WHEN event_id % 7 = 0 THEN NULL ELSE ts END AS ts, action FROM {usage_log}"
+
+
+@query("stream_usage_untimed", "usage_log", _USAGE_SQL.replace("usage_log", f"({_UNTIMED_LOG.format(usage_log='usage_log')})"))
+def stream_usage_untimed(t):
+    """Rows without a time in every batch, and enough batches for fragments to be folded."""
+    root = _stream(t, t.sql(_UNTIMED_LOG), "usage-untimed", jobs.usage_stream, c("event_id") % _UNTIMED_STEPS, _UNTIMED_STEPS)
+    return jobs.stored_usage(t.spark, root)
+
+
+@query("stream_rollup_untimed", "visits", """
+SELECT CASE WHEN event_id % 7 <> 0 THEN strftime(day, '%Y-%m-%d') END AS day, count(*) FILTER (event = 'pageview') AS pageviews, count(DISTINCT visitor) AS uniques
+FROM clean GROUP BY 1""", ctes=sql.CLEAN_EVENTS)
+def stream_rollup_untimed(t):
+    rows = clean_events(t).select(*_ROLLUP_COLUMNS).withColumn("ts", F.when(c("event_id") % 7 != 0, c("ts")))
+    root = _stream(t, rows, "rollup-untimed", jobs.rollup_stream, c("event_id") % STEPS)
     return jobs.stored_totals(t.spark, root).withColumn("day", c("day").cast("string"))
 
 
+@query("stream_uniques", "visits", "SELECT strftime(day, '%Y-%m-%d') AS day, true AS within_bound FROM clean GROUP BY 1", ctes=sql.CLEAN_EVENTS)
+def stream_uniques(t):
+    """Sketched uniques of every day lie within four standard errors of the exact ones."""
+    rows = clean_events(t).select("event_id", "ts", "visitor")
+    root = _stream(t, rows, "sketches", jobs.sketch_stream, c("event_id") % STEPS)
+    exact = rows.groupBy(F.to_date("ts").alias("day")).agg(F.count_distinct("visitor").alias("exact"))
+    near = F.abs(c("uniques") - c("exact")) <= 1 + c("exact") * 4 * 1.04 / 2 ** (jobs.SKETCH_LG_K / 2)
+    return jobs.stored_uniques(t.spark, root).join(exact, "day").select(c("day").cast("string").alias("day"), near.alias("within_bound"))
+
+
+# Out of order: every 50th event comes two steps after its time.
+_SHUFFLED_SQL = """
+SELECT *, CAST(least(3, floor((us - lo) * 4.0 / (hi - lo + 1)) + CASE WHEN event_id % 50 = 0 THEN 2 ELSE 0 END) AS INT) AS step
+FROM (SELECT *, min(us) OVER () AS lo, max(us) OVER () AS hi FROM (SELECT *, {us} AS us FROM {rows}))"""
+
+
+@query("stream_late_counts", "visits", """
+SELECT strftime(day, '%Y-%m-%d') AS day, count(*) FILTER (NOT late AND event = 'pageview') AS pageviews,
+  count(DISTINCT visitor) FILTER (NOT late) AS uniques, count(*) FILTER (late) AS late
+FROM (SELECT s.*, coalesce(epoch_us(day + INTERVAL 1 DAY) <= w.newest - 21600000000, false) AS late
+  FROM shuffled s LEFT JOIN (SELECT a.step, max(b.us) AS newest FROM (SELECT DISTINCT step FROM shuffled) a JOIN shuffled b ON b.step < a.step GROUP BY 1) w
+  ON w.step = s.step) GROUP BY 1""", ctes=sql.CLEAN_EVENTS + f", shuffled AS ({_SHUFFLED_SQL.format(us='epoch_us(ts)', rows='clean')})")
+def stream_late_counts(t):
+    """Rows behind the watermark of a day are counted beside its totals, so that every row stands somewhere."""
+    rows = clean_events(t).select("event_id", "ts", "visitor", "event")
+    shuffled = t.spark.sql(_SHUFFLED_SQL.format(us="unix_micros(ts)", rows="{rows}"), rows=rows).drop("us", "lo", "hi")
+    root = _stream(t, shuffled, "late", lambda s, out: jobs.closed_days_stream(s.drop("step"), out, 21_600), c("step"))
+    late = jobs.late_rows(t.spark, root).groupBy(F.to_date("ts").alias("day")).agg(F.count("*").alias("late"))
+    days = jobs.stored_totals(t.spark, root).join(late, "day", "full")
+    return days.select(c("day").cast("string").alias("day"), *[F.coalesce(x, F.lit(0)).alias(x) for x in ("pageviews", "uniques", "late")])
+
+
+@query("stream_revoked", "requests revocations", """
+SELECT r.request_id FROM requests r WHERE NOT EXISTS (SELECT 1 FROM revocations v WHERE v.api_key = r.api_key
+  AND r.ts >= v.revoked_at AND r.ts < v.revoked_at + INTERVAL 24 HOUR)""")
+def stream_revoked(t):
+    """Requests and revocations as one stream in time order."""
+    asked = t.requests.select("ts", "request_id", "api_key", F.lit(None).cast("string").alias("key_hash"))
+    revoked = t.revocations.select(c("revoked_at").alias("ts"), F.lit(None).cast("bigint"), F.lit(None).cast("string"), an.short_hash(c("api_key")))
+
+    def start(stream, out):
+        requests = stream.where("api_key IS NOT NULL").drop("key_hash")
+        return jobs.revoked_stream(requests, stream.where("key_hash IS NOT NULL").select("key_hash", c("ts").alias("revoked_at")), out)
+
+    return jobs.passed_requests(t.spark, _stream(t, asked.union(revoked), "revoked", start)).select("request_id")
+
+
+@query("stream_suspicious", "visits", _RUNS_SQL)
+def stream_suspicious(t):
+    """Every 37th failure comes a step late and still joins its runs; a last marker closes all runs."""
+    failures = t.sql(_FAILURES)
+    number = F.least(F.lit(STEPS - 1), _by_time(failures) + F.when(F.crc32(c("ts").cast("string").cast("binary")) % 37 == 0, 1).otherwise(0))
+    last = failures.agg(F.lit(None).cast(failures.schema["source"].dataType).alias("source"), (F.max("ts") + F.expr("INTERVAL 200 DAYS")).alias("ts"))
+    numbered = failures.withColumn("_step", number).unionByName(last.withColumn("_step", F.lit(STEPS)))
+
+    def start(stream, out):
+        return _to_files(jobs.suspicious_stream(stream.drop("_step"), threshold=3, seconds=172_800, delay="60 days"), out)
+
+    root = _stream(t, numbered, "suspicious", start, c("_step"), STEPS + 1)
+    out = t.spark.read.parquet(f"{root}/rows").where("source IS NOT NULL")
+    return out.withColumns({"first_failure": text_time(c("first_failure")), "last_failure": text_time(c("last_failure"))})
+
+
 @query("stream_limit", "visits", """
 SELECT hit_id FROM (SELECT hit_id, row_number() OVER (PARTITION BY key, epoch_us(ts) // 86400000000 ORDER BY ts, hit_id) AS n FROM hits) WHERE n <= 2""", ctes=_HIT_DUCK)
 def stream_limit(t):
-    stream, root = _stream(t, t.sql(_HITS), "limit")
-    _finish(jobs.fixed_limit_stream(stream, root, 2, 86400))
+    root = _stream(t, t.sql(_HITS), "limit", lambda s, out: jobs.fixed_limit_stream(s, out, 2, 86400))
     return jobs.allowed_hits(t.spark, root).select("hit_id")
 
 
 @query("stream_limit_renewing", "visits", "SELECT hit_id FROM walk WHERE ok", ctes=_RENEWING_CTE, recursive=True)
 def stream_limit_renewing(t):
-    stream, root = _stream(t, t.sql(_HITS), "renewing")
-    _finish(jobs.renewing_limit_stream(stream, root, 3, 172_800))
+    root = _stream(t, t.sql(_HITS), "renewing", lambda s, out: jobs.renewing_limit_stream(s, out, 3, 172_800))
     return jobs.allowed_hits(t.spark, root).select("hit_id")
 
 
+# ---------------------------------------------------------------- logs as files
+
+# One line per visit. Some are cut, foreign, doubled, lists, of a wrong type or blank.
+_LINE_KIND = """CASE WHEN event_id % 10 = 3 THEN 'cut' WHEN event_id % 11 = 4 THEN 'foreign' WHEN event_id % 13 = 5 THEN 'doubled' WHEN event_id % 17 = 6 THEN 'list'
+  WHEN event_id % 19 = 7 THEN 'type' WHEN event_id % 23 = 8 THEN 'blank' WHEN event_id % 29 = 9 THEN 'plain' ELSE 'good' END"""
+_LINE_REASON = """CASE kind WHEN 'cut' THEN 'broken' WHEN 'doubled' THEN 'broken' WHEN 'plain' THEN 'broken' WHEN 'foreign' THEN 'incomplete'
+  WHEN 'list' THEN 'no_object' WHEN 'type' THEN 'bad_field' WHEN 'blank' THEN 'empty' END"""
+_LANES_SQL = f"""
+SELECT 'day' AS lane, strftime(ts, '%Y-%m-%d') AS key, count(*) FILTER (e = 'pageview') AS n FROM lines WHERE kind = 'good' GROUP BY 2
+UNION ALL SELECT 'rejected', {_LINE_REASON}, count(*) FROM lines WHERE kind <> 'good' GROUP BY 2"""
+_LANES_CTE = f"lines AS (SELECT *, {_LINE_KIND} AS kind FROM visits)"
+
+
+def _beacon_lines(visits: DataFrame) -> DataFrame:
+    fields_ = [x for x in visits.columns if x not in ("user_id", "section")]
+    whole = F.to_json(F.struct(*fields_))
+    kind = c("kind")
+    line = (
+        F.when(kind == "cut", F.substring(whole, F.lit(1), F.floor(F.length(whole) * 2 / 3).cast("int")))
+        .when(kind == "foreign", F.to_json(F.struct(c("event_id").alias("item"), F.lit("x").alias("text"))))
+        .when(kind == "doubled", F.concat(whole, whole)).when(kind == "list", F.concat(F.lit("["), whole, F.lit("]")))
+        .when(kind == "type", F.to_json(F.struct(c("event_id"), F.array("e").alias("ts")))).when(kind == "blank", F.lit("  "))
+        .when(kind == "plain", F.concat(F.lit("GET "), c("u"))).otherwise(whole)
+    )
+    return visits.withColumn("kind", F.expr(_LINE_KIND)).select("event_id", line.alias("value"))
+
+
+def _lanes(good: DataFrame, rejected: DataFrame) -> DataFrame:
+    days = rollup.daily_totals(events.build_events(good, SALTS)).select(F.lit("day").alias("lane"), c("day").cast("string").alias("key"), c("pageviews").alias("n"))
+    return days.unionByName(io.rejected_counts(rejected).select(F.lit("rejected").alias("lane"), c("reason").alias("key"), c("lines").alias("n")))
+
+
+@query("beacons_rejected", "visits", _LANES_SQL, ctes=_LANES_CTE)
+def beacons_rejected(t):
+    """A beacon log with lines that are no beacon: reports count the beacons, the others are counted by reason."""
+    folder = shared_dir(t.spark, "beacons")
+    _beacon_lines(t.visits).select("value").write.text(folder)
+    return _lanes(*io.beacon_lanes(t.spark, folder))
+
+
+@query("stream_beacons", "visits", _LANES_SQL, ctes=_LANES_CTE)
+def stream_beacons(t):
+    root = _stream(t, _beacon_lines(t.visits), "beacon-lines", lambda s, out: jobs.lane_stream(s.drop("event_id"), out), c("event_id") % STEPS)
+    return _lanes(jobs.accepted_records(t.spark, root), jobs.rejected_lines(t.spark, root))
+
+
+@query("requests_read", "requests", "SELECT tracker_host, count(*) AS requests, sum(length(coalesce(body, '')))::BIGINT AS body_chars FROM (SELECT *, regexp_extract(url, '^https?://([^/]+)', 1) AS tracker_host FROM requests) GROUP BY 1")
+def requests_read(t):
+    """The request log, written as JSON lines and read back."""
+    folder = shared_dir(t.spark, "requests")
+    t.requests.drop("section").write.json(folder)
+    read = io.read_requests(t.spark, folder)
+    return read.groupBy(F.regexp_extract("url", "^https?://([^/]+)", 1).alias("tracker_host")).agg(
+        F.count("*").alias("requests"), F.sum(F.length(F.coalesce("body", F.lit("")))).alias("body_chars")
+    )
+
+
+@query("clean_requests_written", "requests", f"""
+SELECT request_id, {_strip_sql('piwik_pro')} AS clean_url FROM (SELECT *, {_ROUTE_SQL} AS route FROM requests) WHERE route = 'piwik'""")
+def clean_requests_written(t):
+    """Clean requests handed to the forwarder as files, in two appends."""
+    folder = shared_dir(t.spark, "clean-requests")
+    clean = events.strip_requests(t.requests, SALTS).where(c("route") == "piwik").select("request_id", "clean_url")
+    for half in (0, 1):
+        io.write_clean_requests(clean.where(c("request_id") % 2 == half), folder)
+    return t.spark.read.parquet(folder)
+
+
 # ---------------------------------------------------------------- composed flows
 
 _COUNTED_SQL = """CASE WHEN url = '' AND route <> 'generic' THEN 'blocked' WHEN url = '' THEN NULL WHEN route <> 'generic' THEN 'stripped'

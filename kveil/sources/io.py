@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,31 +11,109 @@ from kveil.functions.fields import SECURITY_EVENTS
 from kveil.sources import schemas
 
 
+class Lanes(NamedTuple):
+    """Records that could be read, and the lines that could not with the reason why."""
+
+    good: DataFrame
+    rejected: DataFrame
+
+
+EMPTY, TOO_LONG, BROKEN, NO_OBJECT, BAD_FIELD, INCOMPLETE = "empty", "too_long", "broken", "no_object", "bad_field", "incomplete"
+# What the line-wise form of a request must hold to count as one.
+REQUIRED = ("ts",)
+STRICT = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false", "columnNameOfCorruptRecord": "_corrupt_record"}
+
+
+def judge_lines(
+    lines: DataFrame, schema: str, required: tuple[str, ...] = REQUIRED, value: str = "value", max_bytes: int | None = None
+) -> DataFrame:
+    """Add ``rec``, the record of a text line, and ``reason``, null if the line is exactly one whole JSON object of ``schema``.
+
+    A line may be empty, longer than ``max_bytes``, no JSON (also a cut line, or two
+    objects on one line), JSON but no object, an object with a field of another type, or
+    one that lacks a required field. It is never half read: with a reason there is no record.
+    """
+    line = F.btrim(F.col(value).cast("string"), F.lit(" \t\r\n"))
+    # As the only item of a list a line must be whole: nothing may follow the first object.
+    items = F.json_array_length(F.concat(F.lit("["), line, F.lit("]")))
+    parsed = F.from_json(line, f"{schema}, _corrupt_record STRING", STRICT)
+    is_object = line.startswith("{")
+    missing = F.lit(False)
+    for name in required:
+        missing = missing | F.col("_parsed")[name].isNull()
+    reason = (
+        F.when(F.coalesce(line, F.lit("")) == "", EMPTY)
+        .when(F.octet_length(line) > max_bytes if max_bytes else F.lit(False), TOO_LONG)
+        .when(F.coalesce(items, F.lit(0)) != 1, BROKEN)
+        .when(~is_object, NO_OBJECT)
+        .when(F.col("_parsed").isNull() | F.col("_parsed._corrupt_record").isNotNull(), F.when(F.try_parse_json(line).isNull(), BROKEN).otherwise(BAD_FIELD))
+        .when(missing, INCOMPLETE)
+    )
+    judged = lines.withColumn("_parsed", parsed).withColumn("reason", reason)
+    return judged.withColumn("rec", F.when(F.col("reason").isNull(), F.col("_parsed").dropFields("_corrupt_record"))).drop("_parsed")
+
+
+def split_lines(
+    lines: DataFrame, schema: str, required: tuple[str, ...] = REQUIRED, value: str = "value", max_bytes: int | None = None
+) -> Lanes:
+    """The records of text lines, and the rejected lines with their reason; other columns stay with the rejected lines."""
+    judged = judge_lines(lines, schema, required, value, max_bytes)
+    return Lanes(judged.where("reason IS NULL").select("rec.*"), judged.where("reason IS NOT NULL").drop("rec"))
+
+
+def rejected_counts(rejected: DataFrame, value: str = "value") -> DataFrame:
+    """Lines and bytes by reason."""
+    return rejected.groupBy("reason").agg(
+        F.count("*").alias("lines"), F.coalesce(F.sum(F.octet_length(F.col(value).cast("string"))), F.lit(0)).alias("bytes")
+    )
+
+
+def _file_lines(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.text(path)
+
+
+def beacon_lanes(spark: SparkSession, path: str, max_bytes: int | None = None) -> Lanes:
+    """Beacon log as JSON lines, one beacon per line; what is no beacon is set aside."""
+    return split_lines(_file_lines(spark, path), schemas.BEACON, max_bytes=max_bytes)
+
+
 def read_beacons(spark: SparkSession, path: str) -> DataFrame:
-    """Beacon log as JSON lines, one beacon per line."""
-    return spark.read.schema(schemas.BEACON).json(path)
+    """The beacons of a log; ``beacon_lanes`` also has the lines that are none."""
+    return beacon_lanes(spark, path).good
 
 
-def stream_beacons(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:
-    reader = spark.readStream.schema(schemas.BEACON)
+def stream_lines(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:
+    reader = spark.readStream
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    return reader.json(path)
+    return reader.text(path)
+
+
+def stream_beacons(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:
+    """The beacons of a growing log; ``jobs.lane_stream`` also keeps and counts the other lines."""
+    return split_lines(stream_lines(spark, path, files_per_trigger), schemas.BEACON).good
 
 
 def parse_beacon_messages(messages: DataFrame, value: str = "value") -> DataFrame:
     """Beacons out of a message column, such as the value of a Kafka source."""
-    parsed = F.from_json(F.col(value).cast("string"), schemas.BEACON)
-    return messages.select(parsed.alias("b")).where("b.ts IS NOT NULL").select("b.*")
+    return split_lines(messages, schemas.BEACON, value=value).good
+
+
+def request_lanes(spark: SparkSession, path: str) -> Lanes:
+    return split_lines(_file_lines(spark, path), schemas.TRACKER_REQUEST)
 
 
 def read_requests(spark: SparkSession, path: str) -> DataFrame:
     """Tracker-request log as JSON lines."""
-    return spark.read.schema(schemas.TRACKER_REQUEST).json(path)
+    return request_lanes(spark, path).good
+
+
+def page_request_lanes(spark: SparkSession, path: str) -> Lanes:
+    return split_lines(_file_lines(spark, path), schemas.PAGE_REQUEST, required=("page_host", "url"))
 
 
 def read_page_requests(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(schemas.PAGE_REQUEST).json(path)
+    return page_request_lanes(spark, path).good
 
 
 def read_dimension(spark: SparkSession, name: str, path: str | None = None, **jdbc: str) -> DataFrame:

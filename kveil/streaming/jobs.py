@@ -1,14 +1,16 @@
-"""Streaming twins of the gate, the counters, the reports and the limits."""
+"""Streaming twins of the gate, the counters, the reports, the limits and the account checks."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from kveil.operators import kanon, limits, rollup, usage
-from kveil.sources import io
-from kveil.streaming.batches import BatchFolder, newest, read_part, run_batches
+from kveil.operators import accounts, kanon, limits, rollup, usage
+from kveil.sources import io, schemas
+from kveil.streaming.batches import BatchFolder, read_live, read_part, run_batches
+
+SKETCH_LG_K = 14
 
 
 def gate_stream(
@@ -41,24 +43,31 @@ def released_events(spark: SparkSession, root: str) -> DataFrame:
     return read_part(spark, root, "labelled").where(F.col("status") == kanon.RELEASED).drop("status")
 
 
+def decided_events(spark: SparkSession, root: str) -> DataFrame:
+    """The events that were released or dropped, with their ``status``."""
+    return read_part(spark, root, "labelled").where(F.col("status") != kanon.HELD)
+
+
 def gate_counts(spark: SparkSession, root: str) -> DataFrame:
     """Released and dropped events so far."""
     return read_part(spark, root, "counts").groupBy("status").agg(F.sum("events").alias("events"))
 
 
+def _fold_usage(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("customer_id", "month").agg(*[F.sum(x).alias(x) for x in usage.COUNTERS])
+
+
 def usage_stream(log: DataFrame, root: str, trigger: dict | None = None):
-    """Count usage; each batch writes a new version of the months it holds."""
+    """Count usage; each batch adds fragments of the months it holds. Rows without a time count in a null month."""
 
-    def fold(rows: DataFrame) -> DataFrame:
-        return rows.groupBy("customer_id", "month").agg(*[F.sum(x).alias(x) for x in usage.COUNTERS])
+    def step(batch: DataFrame, _, folder: BatchFolder) -> None:
+        folder.add(usage.monthly_usage(batch), "usage", "month", _fold_usage)
 
-    return run_batches(
-        log, lambda batch, _, folder: folder.merge(usage.monthly_usage(batch), "usage", "month", fold), root, trigger=trigger
-    )
+    return run_batches(log, step, root, trigger=trigger)
 
 
 def stored_usage(spark: SparkSession, root: str) -> DataFrame:
-    return newest(spark, root, "usage", "month").select("customer_id", F.col("month").cast("string").alias("month"), *usage.COUNTERS)
+    return _fold_usage(read_live(spark, root, "usage"))
 
 
 def publish_usage(spark: SparkSession, root: str, path: str) -> None:
@@ -66,33 +75,124 @@ def publish_usage(spark: SparkSession, root: str, path: str) -> None:
     io.write_by_day(stored_usage(spark, root), path, day="month")
 
 
+def _visitors(events: DataFrame) -> DataFrame:
+    return events.groupBy(F.to_date("ts").alias("day"), "visitor").agg(
+        F.count_if(F.coalesce(F.col("event"), F.lit("pageview")) == "pageview").alias("pageviews")
+    )
+
+
+def _fold_visitors(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("day", "visitor").agg(F.sum("pageviews").alias("pageviews"))
+
+
+def _fold_dimensions(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("day", "dimension", "key").agg(F.sum("cnt").alias("cnt"), F.min("first_seen").alias("first_seen"))
+
+
 def rollup_stream(events: DataFrame, root: str, trigger: dict | None = None):
     """Fold events into daily aggregates; the events themselves are not kept.
 
     Visitors are folded to one row per day and visitor, so uniques stay exact. Each batch
-    writes a new version of the days it holds.
+    adds fragments of the days it holds; events without a time belong to a null day.
     """
 
     def step(batch: DataFrame, _, folder: BatchFolder) -> None:
-        visitors = batch.groupBy(F.to_date("ts").alias("day"), "visitor").agg(
-            F.count_if(F.coalesce(F.col("event"), F.lit("pageview")) == "pageview").alias("pageviews")
-        )
-        folder.merge(visitors, "visitors", "day", lambda r: r.groupBy("day", "visitor").agg(F.sum("pageviews").alias("pageviews")))
-        folder.merge(rollup.daily_dimensions(batch), "dimensions", "day", lambda r: r.groupBy("day", "dimension", "key").agg(
-            F.sum("cnt").alias("cnt"), F.min("first_seen").alias("first_seen")
-        ))
+        folder.add(_visitors(batch), "visitors", "day", _fold_visitors)
+        folder.add(rollup.daily_dimensions(batch), "dimensions", "day", _fold_dimensions)
 
     return run_batches(events, step, root, trigger=trigger)
 
 
 def stored_totals(spark: SparkSession, root: str) -> DataFrame:
-    return newest(spark, root, "visitors", "day").groupBy("day").agg(
+    return _fold_visitors(read_live(spark, root, "visitors")).groupBy("day").agg(
         F.sum("pageviews").alias("pageviews"), F.count("*").alias("uniques")
     )
 
 
 def stored_dimensions(spark: SparkSession, root: str) -> DataFrame:
-    return newest(spark, root, "dimensions", "day").select("day", "dimension", "key", "cnt", "first_seen")
+    return _fold_dimensions(read_live(spark, root, "dimensions")).select("day", "dimension", "key", "cnt", "first_seen")
+
+
+def lane_stream(
+    lines: DataFrame, root: str, schema: str = schemas.BEACON, required: tuple[str, ...] = io.REQUIRED, max_bytes: int | None = None,
+    trigger: dict | None = None,
+):
+    """Split a stream of text lines into records (``accepted_records``) and rejected lines (``rejected_lines``)."""
+
+    def step(batch: DataFrame, _, folder: BatchFolder) -> None:
+        lanes = io.split_lines(batch, schema, required, max_bytes=max_bytes)
+        folder.write(lanes.good, "accepted")
+        folder.write(lanes.rejected, "rejected")
+
+    return run_batches(lines, step, root, trigger=trigger)
+
+
+def accepted_records(spark: SparkSession, root: str) -> DataFrame:
+    return read_part(spark, root, "accepted")
+
+
+def rejected_lines(spark: SparkSession, root: str) -> DataFrame:
+    return read_part(spark, root, "rejected")
+
+
+def sketch_stream(events: DataFrame, root: str, lg_k: int = SKETCH_LG_K, trigger: dict | None = None):
+    """Unique visitors per day as sketches of a fixed size, beside the exact form of ``rollup_stream``.
+
+    A day's state does not grow with its visitors: at most ``2 ** lg_k`` bytes a fragment;
+    the standard error is about ``1.04 / sqrt(2 ** lg_k)``.
+    """
+
+    def step(batch: DataFrame, _, folder: BatchFolder) -> None:
+        sketches = batch.groupBy(F.to_date("ts").alias("day")).agg(F.hll_sketch_agg("visitor", lg_k).alias("sketch"))
+        folder.add(sketches, "sketches", "day", _fold_sketches)
+
+    return run_batches(events, step, root, trigger=trigger)
+
+
+def _fold_sketches(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("day").agg(F.hll_union_agg("sketch").alias("sketch"))
+
+
+def stored_uniques(spark: SparkSession, root: str) -> DataFrame:
+    """Estimated unique visitors per day; days can be united further by ``hll_union_agg`` over ``sketch``."""
+    return _fold_sketches(read_live(spark, root, "sketches")).withColumn("uniques", F.hll_sketch_estimate("sketch"))
+
+
+def on_time(batch: DataFrame, folder: BatchFolder, delay_seconds: int, closes: Column, ts: str = "ts") -> DataFrame:
+    """The rows of a batch whose time is still open; the others go to the part ``late``, so that every row is counted once.
+
+    The watermark is the newest ``ts`` of all batches before, less the delay; it is kept in
+    the part ``newest``. ``closes`` is when a row's window ends. Rows without a time are on time.
+    """
+    at = F.unix_micros(F.col(ts).cast("timestamp"))
+    before = folder.previous("newest")
+    before = before.first()[0] if before is not None else None
+    newest = batch.agg(F.max(at)).first()[0]
+    known = [x for x in (before, newest) if x is not None]
+    folder.write(batch.sparkSession.createDataFrame([(max(known, default=None),)], "us BIGINT"), "newest")
+    late = F.lit(False)
+    if before is not None:
+        late = F.coalesce(F.unix_micros(closes.cast("timestamp")) <= before - delay_seconds * 1_000_000, F.lit(False))
+    folder.write(batch.where(late), "late")
+    return batch.where(~late)
+
+
+def closed_days_stream(events: DataFrame, root: str, delay_seconds: int, trigger: dict | None = None):
+    """Daily totals that do not change once the watermark has passed their day; later rows are kept aside and counted.
+
+    ``stored_totals`` has the days, ``late_rows`` what came too late: together they hold every row.
+    """
+
+    def step(batch: DataFrame, _, folder: BatchFolder) -> None:
+        day_end = F.date_trunc("day", F.col("ts")) + F.expr("INTERVAL 1 DAY")
+        rows = on_time(batch, folder, delay_seconds, day_end)
+        folder.add(_visitors(rows), "visitors", "day", _fold_visitors)
+
+    return run_batches(events, step, root, trigger=trigger)
+
+
+def late_rows(spark: SparkSession, root: str) -> DataFrame:
+    return read_part(spark, root, "late")
 
 
 def closed_day_totals(events: DataFrame, delay: str = "1 hour") -> DataFrame:
@@ -193,3 +293,55 @@ def first_uses(attestations: DataFrame, delay: str = "5 minutes") -> DataFrame:
 def first_activations(events: DataFrame, delay: str = "1 day") -> DataFrame:
     """First activation per email on a stream."""
     return events.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["email"])
+
+
+def revoked_stream(
+    requests: DataFrame, revocations: DataFrame, root: str, hours: int = accounts.REVOKED_HOURS, late_seconds: int = 3600, trigger: dict | None = None
+):
+    """Drop requests whose key was revoked less than ``hours`` before, both sides being streams.
+
+    A batch meets the revocations that came before or with it; those are the state, each
+    for ``hours`` and ``late_seconds``, and then forgotten. A request ``late_seconds`` or
+    more behind the newest time of all batches before might have lost its revocation: it is not
+    passed on but set aside (``late_rows``). ``passed_requests`` has the others.
+    """
+    request, revocation = (f"STRUCT<{', '.join(f'`{f.name}`: {f.dataType.simpleString()}' for f in df.schema)}>" for df in (requests, revocations))
+    both = requests.select(F.struct("*").alias("request"), F.lit(None).cast(revocation).alias("revocation")).unionByName(
+        revocations.select(F.lit(None).cast(request).alias("request"), F.struct("*").alias("revocation"))
+    )
+
+    def step(batch: DataFrame, state: DataFrame | None, folder: BatchFolder) -> None:
+        asked = batch.where("request IS NOT NULL").select("request.*")
+        known = batch.where("revocation IS NOT NULL").select("revocation.key_hash", "revocation.revoked_at")
+        known = (known if state is None else known.unionByName(state)).distinct()
+        in_time = on_time(asked, folder, late_seconds, F.col("ts"))
+        folder.write(accounts.drop_revoked(in_time, known, hours), "passed")
+        newest = F.lit(folder.previous("newest", folder.batch_id).first()[0])
+        ends = F.unix_micros(F.col("revoked_at").cast("timestamp")) + (hours * 3600 + late_seconds) * 1_000_000
+        folder.write(known.where(newest.isNull() | (ends > newest)), "revocations")
+
+    return run_batches(both, step, root, state="revocations", trigger=trigger)
+
+
+def passed_requests(spark: SparkSession, root: str) -> DataFrame:
+    return read_part(spark, root, "passed")
+
+
+def suspicious_stream(
+    failures: DataFrame, source: str = "source", ts: str = "ts", threshold: int = limits.SUSPICIOUS_FAILURES,
+    seconds: int = limits.SUSPICIOUS_SECONDS, delay: str = "1 hour",
+) -> DataFrame:
+    """Failure runs of ``limits.suspicious_sources`` as session windows of a stream, in append mode.
+
+    A run is given out when the watermark has passed its end; a failure that comes late,
+    but within ``delay``, still joins the runs on both its sides.
+    """
+    # Windows that touch are one session; a failure exactly ``seconds`` later opens a new run.
+    gap = f"{seconds * 1_000_000 - 1} microseconds"
+    runs = failures.withWatermark(ts, delay).groupBy(source, F.session_window(ts, gap).alias("w")).agg(
+        F.min(ts).alias("first_failure"), F.max(ts).alias("last_failure"), F.count("*").alias("failures")
+    )
+    return runs.select(
+        source, "first_failure", "last_failure", "failures",
+        F.greatest(F.col("failures") - (threshold - 1), F.lit(0)).cast("bigint").alias("flagged"), (F.col("failures") >= threshold).alias("suspicious"),
+    )

@@ -63,6 +63,24 @@ def test_flow_from_beacon_files_to_report(spark, tmp_path):
     assert [(r.key, r.cnt) for r in top] == [("NL", 6)]
 
 
+def test_every_line_has_a_lane(spark):
+    good = '{"event_id":1,"ts":"2024-01-01T00:00:00Z","ip":"1.1.1.1","p":{"a":1}}'
+    lines = {
+        good: None, "  " + good + " ": None, "": "empty", " \t": "empty", good[:-5]: "broken", good + good: "broken", good + "," + good: "broken",
+        good + " x": "broken", "{'ts':'2024-01-01T00:00:00Z'}": "broken", '{"ts":NaN}': "broken", "GET /": "broken", "[" + good + "]": "no_object",
+        "17": "no_object", '"text"': "no_object", "null": "no_object", '{"ts":"yesterday"}': "bad_field", '{"ts":["x"]}': "bad_field", "{}": "incomplete",
+        '{"ts":null,"e":"x"}': "incomplete", '{"other":1}': "incomplete", good[:-1] + ',"u":"' + "x" * 200 + '"}': "too_long",
+    }
+    df = spark.createDataFrame([(i, x) for i, x in enumerate([*lines, None])], "n int, value string")
+    judged = io.judge_lines(df, schemas.BEACON, max_bytes=200).orderBy("n").collect()
+    assert [r.reason for r in judged] == [*lines.values(), "empty"]
+    assert all((r.rec is not None) == (r.reason is None) for r in judged)
+    lanes = io.split_lines(df, schemas.BEACON, max_bytes=200)
+    counts = {r.reason: r.lines for r in io.rejected_counts(lanes.rejected).collect()}
+    assert lanes.good.count() + sum(counts.values()) == len(lines) + 1 and counts["broken"] == 7
+    assert lanes.good.columns[0] == "event_id" and lanes.good.first().p == '{"a":1}'
+
+
 def test_messages_and_json_lists(spark):
     messages = spark.createDataFrame([('{"ts":"2024-01-01T00:00:00Z","ip":"1.1.1.1"}',), ("nonsense",)], "value string")
     assert io.parse_beacon_messages(messages).count() == 1

@@ -129,12 +129,119 @@ def test_carried_counter_never_gets_older(spark):
     assert (row.second, row.accepted, row["last"], row.used) == (50, 1, 100, 2)
 
 
-def test_superseded_versions_can_go(spark, tmp_path):
-    from kveil.streaming.batches import drop_superseded
+def test_folded_fragments_can_go(spark, tmp_path):
+    from kveil.streaming import batches
 
     log = timeline(spark).select("event_id", F.col("b").alias("customer_id"), "ts", F.lit("strip").alias("action"))
-    root = str(tmp_path / "out")
-    jobs.usage_stream(feed(spark, log, str(tmp_path / "in"), 3, "event_id"), root).awaitTermination()
-    want = sorted(jobs.stored_usage(spark, root).collect())
-    assert drop_superseded(spark, root, "usage", "month") == 2
-    assert sorted(jobs.stored_usage(spark, root).collect()) == want
+    log = log.withColumn("ts", F.when(F.col("event_id") % 5 != 0, F.col("ts")))
+    root, steps = str(tmp_path / "out"), 2 * batches.FAN + 3
+    jobs.usage_stream(feed(spark, log, str(tmp_path / "in"), steps, "event_id"), root).awaitTermination()
+    want = sorted(usage.monthly_usage(log).collect(), key=str)
+    assert sorted(jobs.stored_usage(spark, root).collect(), key=str) == want
+    live = batches.manifest(spark, root)["usage"]["live"]
+    # Two keys, one of them null; each was folded twice.
+    assert len({folder for folder, _, _ in live}) == 2 and max(level for _, _, level in live) == 1 and len(live) < 2 * batches.FAN
+    files = len(batches.read_live(spark, root, "usage").inputFiles())
+    assert files == len(live)  # readers open live files only
+    assert batches.drop_superseded(spark, root, "usage") > 0 and batches.drop_superseded(spark, root, "usage") == 0
+    assert sorted(jobs.stored_usage(spark, root).collect(), key=str) == want
+
+
+def test_a_batch_without_manifest_did_not_happen(spark, tmp_path):
+    from kveil.streaming import batches
+
+    root, fold = str(tmp_path / "out"), lambda r: r.groupBy("day").agg(F.sum("n").alias("n"))
+    def rows(n):
+        return spark.createDataFrame([("x", n), (None, n)], "day string, n long")
+
+    for batch, commit in ((0, True), (1, False)):
+        folder = batches.BatchFolder(spark, root, batch)
+        folder.add(rows(1), "a", "day", fold)
+        if commit:
+            folder.add(rows(1), "b", "day", fold)
+            folder.commit()
+    # The second batch stopped between its parts: both read as after the first.
+    assert [fold(batches.read_live(spark, root, p)).agg(F.sum("n")).first()[0] for p in "ab"] == [2, 2]
+    for _ in range(2):  # replayed, even twice, it counts once
+        folder = batches.BatchFolder(spark, root, 1)
+        for part in "ab":
+            folder.add(rows(5), part, "day", fold)
+        folder.commit()
+    assert [sorted(fold(batches.read_live(spark, root, p)).collect(), key=str) for p in "ab"] == [[("x", 6), (None, 6)]] * 2
+
+
+def test_sketches_unite(spark, tmp_path):
+    df = timeline(spark, 4000).withColumn("visitor", F.concat(F.lit("v"), F.col("event_id")))
+    jobs.sketch_stream(feed(spark, df, str(tmp_path / "in"), 3, "event_id"), str(tmp_path / "out")).awaitTermination()
+    stored = jobs.stored_uniques(spark, str(tmp_path / "out"))
+    for r in stored.join(rollup.daily_totals(df).withColumnRenamed("uniques", "exact"), "day").collect():
+        assert abs(r["uniques"] - r["exact"]) <= 1 + 0.035 * r["exact"] and len(r["sketch"]) <= 2 ** jobs.SKETCH_LG_K + 64
+    whole = stored.agg(F.hll_sketch_estimate(F.hll_union_agg("sketch"))).first()[0]
+    assert abs(whole - 4000) <= 0.035 * 4000
+
+
+def test_late_rows_are_counted(spark, tmp_path):
+    df = timeline(spark, 6000)
+    days = [F.col("event_id") < 4500, (F.col("event_id") >= 4500) | (F.col("event_id") == 7)]
+    stream = feed(spark, df, str(tmp_path / "in"), 2, lambda i: days[i])
+    jobs.closed_days_stream(stream, str(tmp_path / "out"), 3600).awaitTermination()
+    assert [r.event_id for r in jobs.late_rows(spark, str(tmp_path / "out")).collect()] == [7]
+    assert sorted(jobs.stored_totals(spark, str(tmp_path / "out")).collect()) == sorted(rollup.daily_totals(df).collect())
+
+
+def test_revocations_are_forgotten(spark, tmp_path):
+    from kveil.functions.anonymize import short_hash
+
+    start = 1_704_067_200
+
+    def batch(rows):
+        return spark.createDataFrame(rows, "kind string, id long, api_key string, s long").withColumn("ts", F.timestamp_seconds(F.col("s") + start)).drop("s")
+
+    hour = 3600
+    batches_ = [
+        [("revoke", 0, "a", 10), ("ask", 1, "a", 5), ("ask", 2, "a", 20), ("ask", 3, "b", 30)],
+        [("ask", 4, "a", 23 * hour), ("ask", 5, "a", 24 * hour + 10), ("revoke", 0, "b", 23 * hour)],
+        [("ask", 6, "b", 40 * hour), ("ask", 7, "a", 2 * hour)],
+        [("ask", 8, "b", 60 * hour)],
+    ]
+    path, root = str(tmp_path / "in"), str(tmp_path / "out")
+    for rows in batches_:
+        batch(rows).coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(batch(batches_[0]).schema).option("maxFilesPerTrigger", 1).parquet(path)
+    asked = stream.where("kind = 'ask'").select("id", "api_key", "ts")
+    revoked = stream.where("kind = 'revoke'").select(short_hash(F.col("api_key")).alias("key_hash"), F.col("ts").alias("revoked_at"))
+    # Both sides read the same files; a trigger takes one file of each.
+    jobs.revoked_stream(asked, revoked, root).awaitTermination()
+    assert sorted(r.id for r in jobs.passed_requests(spark, root).collect()) == [1, 3, 5, 8]
+    assert [r.id for r in jobs.late_rows(spark, root).collect()] == [7]  # its revocation may be forgotten: not passed
+    assert [spark.read.parquet(f"{root}/revocations/batch={i}").count() for i in range(4)] == [1, 2, 1, 0]
+
+
+def test_a_late_failure_joins_two_runs(spark, tmp_path):
+    def failures(rows):
+        return spark.createDataFrame(rows, "source string, s long").select("source", F.timestamp_seconds(F.col("s") + 1_704_067_200).alias("ts"))
+
+    path = str(tmp_path / "in")
+    for rows in ([("x", 0), ("x", 100), ("y", 0), ("y", 60)], [("x", 50), ("z", 500)], [("z", 10_000)]):
+        failures(rows).coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(failures([("x", 0)]).schema).option("maxFilesPerTrigger", 1).parquet(path)
+    out = jobs.suspicious_stream(stream, threshold=3, seconds=60, delay="10 minutes")
+    q = out.writeStream.format("memory").queryName("runs").outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination()
+    got = {(r.source, r.failures, r.suspicious) for r in spark.table("runs").collect()}
+    # Exactly 60 seconds apart are two runs.
+    assert got == {("x", 3, True), ("y", 1, False), ("z", 1, False)}
+    assert spark.table("runs").where("source = 'y'").count() == 2
+
+
+def test_keyed_gate_equals_history(spark, tmp_path):
+    from kveil.streaming import keyed
+
+    df = timeline(spark).withColumn("visitor", F.when(F.col("event_id") % 11 != 0, F.col("visitor")))
+    stream = feed(spark, df, str(tmp_path / "in"), 3, by_time(df, 3))
+    out = keyed.keyed_gate(stream, ["b"], 4, ttl_seconds=1800)
+    out.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
+    end = df.agg(F.date_format(F.max("ts"), "yyyy-MM-dd HH:mm:ss")).first()[0]
+    want = kanon.release_in_order(df, ["b"], 4, ttl_seconds=1800, as_of=end).where("status <> 'held'")
+    rows = {(r.event_id, r.status) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert rows == {(r.event_id, r.status) for r in want.collect()} and {s for _, s in rows} == {"released", "dropped"}
