@@ -6,7 +6,7 @@ import hashlib
 import os
 from collections.abc import Callable, Iterable
 
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 DAY_MS = 86_400_000
@@ -98,11 +98,12 @@ class SaltBook:
     The salts are literals of the query, so a redaction rule keeps them out of plans in
     the UI and the event log; it is set here unless the session has a rule of its own.
     ``provider`` maps an epoch to its salt; give one when several jobs (or a restarted
-    stream) must agree on the tokens of an open day.
+    stream) must agree on the tokens of an open day. A row of an epoch without a salt has a
+    null token, and fails the query if the book is ``strict``; ``uncovered`` counts such rows.
     """
 
-    def __init__(self, provider: Callable[[int], bytes] | None = None, rotation_ms: int = DAY_MS):
-        self.rotation_ms = rotation_ms
+    def __init__(self, provider: Callable[[int], bytes] | None = None, rotation_ms: int = DAY_MS, strict: bool = False):
+        self.rotation_ms, self.strict = rotation_ms, strict
         self._provider = provider or (lambda epoch: os.urandom(32))
         self._salts: dict[int, bytes] = {}
 
@@ -129,8 +130,14 @@ class SaltBook:
         """Drop the salts of finished epochs: their tokens can not be rebuilt any more."""
         self._salts = {e: s for e, s in self._salts.items() if e >= epoch}
 
+    def uncovered(self, rows: DataFrame, ts: str = "ts") -> DataFrame:
+        """Rows per epoch that no salt covers: their tokens would be null, and nobody would count them."""
+        epoch = salt_epoch(F.col(ts), self.rotation_ms)
+        held = F.lit(self._fixed is not None) | epoch.isin(list(self._salts))
+        return rows.where(~F.coalesce(held, F.lit(False))).groupBy(epoch.alias("epoch")).agg(F.count("*").alias("rows"))
+
     def pads(self, ts: Column | None) -> tuple[Column, Column]:
-        """Inner and outer HMAC key blocks for each row; null where no salt is held."""
+        """Inner and outer HMAC key blocks for each row; null where no salt is held, unless that is an error."""
         session = SparkSession.getActiveSession()
         if session is not None and not session.conf.get(REDACTION, None):
             session.conf.set(REDACTION, SALT_LITERAL)
@@ -143,7 +150,12 @@ class SaltBook:
             for epoch, salt in sorted(self._salts.items())
             for cell in (F.lit(epoch), F.struct(F.lit(_pad(salt, 0x36)).alias("i"), F.lit(_pad(salt, 0x5C)).alias("o")))
         ]
-        pads = F.try_element_at(F.create_map(*cells), salt_epoch(ts, self.rotation_ms))
+        epoch = salt_epoch(ts, self.rotation_ms)
+        pads = F.try_element_at(F.create_map(*cells), epoch)
+        if not self.strict:
+            return pads["i"], pads["o"]
+        missing = F.raise_error(F.concat(F.lit("no salt is held for epoch "), epoch.cast("string")))
+        pads = F.when(epoch.isNotNull(), F.coalesce(pads, missing))
         return pads["i"], pads["o"]
 
 

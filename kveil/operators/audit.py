@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from kveil.functions.fields import DOMAIN_FORMAT, bare_domain
 from kveil.functions.web import attested, audit_match, is_relay_host, url_host, verdict
+from kveil.operators.substring import contained
 
 
 def page_leakage(requests: DataFrame, relay_hosts: list[str], page: str = "page_host") -> DataFrame:
@@ -41,7 +42,7 @@ def enrolled_domains(domains: DataFrame, projects: DataFrame, customers: DataFra
     """Domains (column ``domain``) that an enabled customer lists.
 
     ``exact`` compares normalised names. ``contains`` also accepts a domain that is part
-    of a listed one; it has no equality to join on and needs a small domain list.
+    of a listed one; the listed names are found by the rarest piece of the domain.
     """
     clean = bare_domain(F.col("domain"))
     asked = domains.withColumn("_d", F.substring(clean, 1, 255)).where(F.col("_d").rlike(DOMAIN_FORMAT))
@@ -50,8 +51,9 @@ def enrolled_domains(domains: DataFrame, projects: DataFrame, customers: DataFra
         projects.join(active, "customer_id_ref", "left_semi")
         .select(F.explode("allowed_domains").alias("_l")).select(bare_domain(F.col("_l")).alias("_l")).distinct()
     )
-    on = F.col("_d") == F.col("_l") if match == "exact" else F.contains(F.col("_l"), F.col("_d"))
-    return asked.join(listed, on, "left_semi").drop("_d")
+    if match == "contains":
+        listed = contained(listed, asked.select("_d"), "_l", "_d").select(F.col("_d").alias("_l")).distinct()
+    return asked.join(listed, F.col("_d") == F.col("_l"), "left_semi").drop("_d")
 
 
 def fresh_attestations(

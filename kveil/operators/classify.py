@@ -6,10 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kveil.functions import web
+from kveil.operators.substring import contained
 from kveil.sources.rulebase import (
     DEFAULT_TEMPLATE, TEMPLATE_ROWS, Rule, load_rules, template_overrides,
 )
 
+LIST_RULES = 256
+
 
 def _text(value: str) -> str:
     """SQL string literal."""
@@ -60,6 +63,26 @@ def template_action(template: Column | str, tracker: Column, rules: list[Rule] |
     return F.coalesce(_lookup(overrides, F.concat_ws("|", known, tracker)), _lookup(defaults, tracker))
 
 
+def _own_rules(requests: DataFrame, custom_rules: DataFrame) -> tuple[DataFrame, Column]:
+    """The requests with what is needed to name the customer's first rule that matches, and that rule."""
+    rules = custom_rules.where(F.coalesce(F.col("domain"), F.lit("")) != "").select(
+        "customer_id", F.struct(F.col("ord").cast("int").alias("ord"), "domain", "action").alias("_rule")
+    )
+    many = rules.groupBy("customer_id").agg(F.count("*").alias("_n"))
+    long_ = many.where(F.col("_n") > LIST_RULES).select("customer_id")
+    lists = rules.join(long_, "customer_id", "left_anti").groupBy("customer_id").agg(F.sort_array(F.collect_list("_rule")).alias("_own"))
+    out = requests.join(lists, "customer_id", "left")
+    listed = F.try_element_at(F.filter(F.col("_own"), lambda r: F.contains(F.col("_low"), F.lower(r["domain"]))), F.lit(1))
+    if long_.isEmpty():
+        return out, listed
+    rest = rules.join(long_, "customer_id", "left_semi").withColumn("_part", F.lower(F.col("_rule.domain")))
+    asked = requests.select("customer_id", "_low").join(long_, "customer_id", "left_semi")
+    pairs = contained(asked, rest, "_low", "_part", ("customer_id",), rank_by_texts=False)
+    first = pairs.join(rest, ["customer_id", "_part"]).groupBy("customer_id", "_low").agg(F.min("_rule").alias("_found"))
+    found = out.join(first, ["customer_id", "_low"], "left").select(*requests.columns, "_own", "_found")
+    return found, F.coalesce(listed, F.col("_found"))
+
+
 def resolve_trackers(
     requests: DataFrame, url: str = "url", template: Column | str = DEFAULT_TEMPLATE,
     custom_rules: DataFrame | None = None, match: str = "contains", rules: list[Rule] | None = None,
@@ -67,8 +90,9 @@ def resolve_trackers(
     """Add ``tracker, name, category, action, custom, cookies, strip_fields`` to each request.
 
     The built-in rules are part of the projection: no join and no shuffle. Custom rules
-    (``customer_id, ord, domain, action``) come first and are joined by customer, each
-    customer's list (a setting that a person keeps) as one ordered array.
+    (``customer_id, ord, domain, action``) come first. A customer with at most
+    ``LIST_RULES`` of them brings them along as one ordered array; longer lists are met by
+    the rarest piece of each rule, so no row carries them.
     """
     rules = rules or load_rules()
     # Lower-casing is a step of its own, so that it runs once per row and not per pattern.
@@ -78,15 +102,7 @@ def resolve_trackers(
     if custom_rules is None:
         own = F.lit(None).cast("struct<ord:int,domain:string,action:string>")
     else:
-        lists = (
-            custom_rules.where(F.coalesce(F.col("domain"), F.lit("")) != "")
-            .groupBy("customer_id")
-            .agg(F.sort_array(F.collect_list(F.struct(F.col("ord").cast("int").alias("ord"), "domain", "action"))).alias("_own"))
-        )
-        out = out.join(lists, "customer_id", "left")
-        own = F.try_element_at(
-            F.filter(F.col("_own"), lambda r: F.contains(F.col("_low"), F.lower(r["domain"]))), F.lit(1)
-        )
+        out, own = _own_rules(out, custom_rules)
     built_in = F.col("_built_in")
     mine = F.col("_mine")
     return (
@@ -98,7 +114,7 @@ def resolve_trackers(
         .withColumn("custom", mine.isNotNull())
         .withColumn("cookies", F.when(mine.isNull(), _lists({r.key: r.cookies for r in rules}, built_in)))
         .withColumn("strip_fields", F.when(mine.isNull(), _lists({r.key: r.strip_fields for r in rules}, built_in)))
-        .drop("_mine", "_built_in", "_own", "_low", "_host")
+        .drop("_mine", "_built_in", "_own", "_found", "_low", "_host")
     )
 
 

@@ -24,9 +24,17 @@ def words(values) -> str:
     return ", ".join(f"'{v}'" for v in values)
 
 
-def token(message: str) -> str:
-    inner = f"from_hex(sha256(from_hex('{_PAD_IN}') || encode({message})))"
-    return f"substr(sha256(from_hex('{_PAD_OUT}') || {inner}), 1, 16)"
+def _pads(salt: bytes) -> tuple[str, str]:
+    return tuple(bytes(b ^ x for b in salt.ljust(64, b"\0")).hex() for x in (0x36, 0x5C))
+
+
+def token(message: str, salts: dict[str, bytes] | None = None, epoch: str = "") -> str:
+    """Keyed token under the test salt, or under the salt of ``epoch`` (an expression) in ``salts`` by its text."""
+    pad_in, pad_out = f"'{_PAD_IN}'", f"'{_PAD_OUT}'"
+    if salts:
+        pad_in, pad_out = (f"CASE {epoch} {' '.join(f"WHEN {e} THEN '{_pads(s)[k]}'" for e, s in salts.items())} END" for k in (0, 1))
+    inner = f"from_hex(sha256(from_hex({pad_in}) || encode({message})))"
+    return f"substr(sha256(from_hex({pad_out}) || {inner}), 1, 16)"
 
 
 def ip24(ip: str) -> str:

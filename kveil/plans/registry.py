@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,10 +17,12 @@ from kveil.plans.inputs import NOW, Inputs, duckdb_views
 from kveil.session import shared_dir
 from kveil.sources import io
 from kveil.sources.rulebase import (
-    AUDIT_HOSTS, COOKIE_PREFIXES, INTERCEPT_PATTERNS, ROUTE_PATTERNS, ROUTE_TRACKER, SCRIPT_PATTERNS, load_rules,
+    AUDIT_HOSTS, CATEGORIES, COOKIE_PREFIXES, INTERCEPT_PATTERNS, ROUTE_PATTERNS, ROUTE_TRACKER, SCRIPT_PATTERNS, categories_df, load_rules,
     rules_df, template_overrides, templates_df,
 )
 from kveil.streaming import jobs, keyed
+from kveil.streaming.batches import read_part
+from kveil.streaming.salts import SaltVault, event_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -67,6 +70,38 @@ def visitor_tokens(t):
     )
 
 
+_DAY_SALTS = {str(19723 + d): hashlib.sha256(f"salt of day {d}".encode()).digest() for d in range(-1, 32)}
+
+
+@query("daily_tokens", "visits", f"""SELECT event_id, {sql.token(f"{sql.ip24('ip')} || '|' || {sql.ua_class('ua')} || '|' || {sql.host('origin')}",
+       _DAY_SALTS, 'epoch_ms(ts) // 86400000')} AS visitor FROM visits""")
+def daily_tokens(t):
+    """Tokens under a salt of their own for each day."""
+    salts = an.SaltBook(lambda epoch: _DAY_SALTS[str(epoch)]).cover(map(int, _DAY_SALTS))
+    return t.visits.select("event_id", an.visitor_token(c("ip"), c("ua"), web.origin_host(c("origin")), salts, c("ts")).alias("visitor"))
+
+
+_V6 = """SELECT event_id, CASE event_id % 5 WHEN 0 THEN concat('2001:db8:', hex(user_id), '::', hex(event_id)) WHEN 1 THEN concat('fe80::', hex(user_id))
+  WHEN 2 THEN concat('::ffff:', ip) WHEN 3 THEN concat('2a02:', hex(user_id), ':1:2:3:4:5:', hex(event_id)) ELSE concat(' ', ip, ' ') END AS address FROM {visits}"""
+
+
+@query("coarse_v6", "visits", f"""
+SELECT event_id, CASE event_id % 5 WHEN 0 THEN array_to_string(string_split(address, ':')[1:3], ':') || '::/48' WHEN 1 THEN 'fe80:0:0::/48'
+  WHEN 2 THEN {sql.ip24("replace(address, '::ffff:', '')")} WHEN 3 THEN array_to_string(string_split(address, ':')[1:3], ':') || '::/48'
+  ELSE {sql.ip24('trim(address)')} END AS coarse FROM ({_V6.format(visits='visits')})""")
+def coarse_v6(t):
+    return t.sql(_V6).select("event_id", an.coarsen_ip(c("address")).alias("coarse"))
+
+
+@query("origin_fallback", "visits", f"""
+SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'shop' || user_id || '.example' WHEN event_id % 3 = 1 THEN '' ELSE {sql.host('origin')} END AS domain FROM visits""")
+def origin_fallback(t):
+    """Beacons without a usable origin name their domain themselves, or have none."""
+    site = F.when(c("event_id") % 3 == 0, F.concat(F.lit("shop"), c("user_id"), F.lit(".example")))
+    rows = t.visits.withColumns({"origin": F.when(c("event_id") % 3 == 2, c("origin")).otherwise("null"), "d": site})
+    return events.build_events(rows, SALTS).select("event_id", "domain")
+
+
 @query("coarse_population", "visits", f"""
 SELECT {sql.ip24('ip')} AS ip24, {sql.ua_class('ua')} AS ua_class, count(*) AS events, count(DISTINCT user_id) AS users
 FROM visits GROUP BY 1, 2""")
@@ -346,6 +381,46 @@ def resolve_trackers_by_host(t):
     return out.select("request_id", "tracker", "action")
 
 
+def _lists_cte() -> str:
+    def values(items) -> str:
+        return "[" + ", ".join(f"'{x}'" for x in items) + "]::VARCHAR[]"
+
+    return "lists(tracker, cookies, strip_fields) AS (VALUES " + ", ".join(f"('{r.key}', {values(r.cookies)}, {values(r.strip_fields)})" for r in _RULES) + ")"
+
+
+@query("resolve_lists", "requests", """
+SELECT r.request_id, array_to_string(l.cookies, ',') AS cookies, array_to_string(l.strip_fields, ',') AS strip_fields
+FROM requests r LEFT JOIN hits h USING (request_id) LEFT JOIN lists l USING (tracker)""", ctes=_HIT_CTE + ", " + _lists_cte())
+def resolve_lists(t):
+    """Cookies and fields that the rule of each request lists."""
+    found = classify.resolve_trackers(t.requests)
+    return found.select("request_id", *[F.array_join(x, ",").alias(x) for x in ("cookies", "strip_fields")])
+
+
+_CATEGORY_CTE = "labels_of(category, label) AS (VALUES " + ", ".join(f"('{x[0]}', '{x[1]}')" for x in CATEGORIES) + ")"
+
+
+@query("category_labels", "requests", """
+SELECT h.category, l.label, count(*) AS requests FROM hits h LEFT JOIN labels_of l USING (category) GROUP BY ALL""", ctes=_HIT_CTE + ", " + _CATEGORY_CTE)
+def category_labels(t):
+    found = classify.resolve_trackers(t.requests).where("tracker IS NOT NULL")
+    return found.join(categories_df(t.spark).select("category", "label"), "category", "left").groupBy("category", "label").agg(F.count("*").alias("requests"))
+
+
+_NAMED_CTE = "named(tracker, name, vendor, category) AS (VALUES " + ", ".join(
+    "(" + ", ".join("'" + x.replace("'", "''") + "'" for x in (r.key, r.name, r.vendor, r.category)) + ")" for r in _RULES) + ")"
+
+
+@query("catalogue_requests", "requests", """
+SELECT n.tracker, count(h.request_id) AS requests FROM named n LEFT JOIN hits h USING (tracker)
+WHERE n.category = 'analytics' AND (contains(lower(n.name), 'google') OR contains(lower(n.vendor), 'google')) GROUP BY 1""", ctes=_HIT_CTE + ", " + _NAMED_CTE)
+def catalogue_requests(t):
+    """Requests of the trackers that a search in the catalogue finds."""
+    listed = classify.search_catalogue(rules_df(t.spark), "analytics", "Google").select(c("tracker").alias("_t"))
+    found = classify.resolve_trackers(t.requests).select("request_id", c("tracker").alias("_f"))
+    return listed.join(found, c("_t") == c("_f"), "left").groupBy(c("_t").alias("tracker")).agg(F.count("request_id").alias("requests"))
+
+
 _CUSTOM = """SELECT concat('c', c_custkey) AS customer_id, CAST(c_nationkey AS INT) AS ord,
   CASE c_mktsegment WHEN 'HOUSEHOLD' THEN 'Target.com' WHEN 'MACHINERY' THEN 'hotjar.com' ELSE 'example.com' END AS domain,
   CASE c_nationkey % 3 WHEN 0 THEN 'allow' WHEN 1 THEN 'strip' ELSE 'block' END AS action FROM {customer}"""
@@ -365,6 +440,22 @@ def resolve_custom(t):
     return out.select("request_id", "tracker", "action", "custom")
 
 
+# Five customers with thousands of rules each, some of which match.
+_MANY = """SELECT concat('c', o_orderkey % 5) AS customer_id, CAST(o_orderkey AS INT) AS ord,
+  CASE WHEN o_orderkey % 50 = 7 THEN concat('UID=u', o_custkey % 40, '&') WHEN o_orderkey % 50 = 9 THEN 'js' ELSE concat('rule', o_orderkey, '.example') END AS domain,
+  CASE o_orderkey % 3 WHEN 0 THEN 'allow' WHEN 1 THEN 'strip' ELSE 'block' END AS action FROM {orders}"""
+
+
+@query("resolve_custom_many", "requests", f"""
+SELECT r.request_id, m.domain AS own_rule, m.action AS own_action FROM requests r JOIN (
+  SELECT r.request_id, arg_min(k.domain, k.ord) AS domain, arg_min(k.action, k.ord) AS action
+  FROM (SELECT * FROM requests WHERE customer_id IN ('c0', 'c1', 'c2', 'c3', 'c4')) r JOIN ({_MANY.replace('{orders}', 'orders')}) k
+  ON k.customer_id = r.customer_id AND contains(lower(r.url), lower(k.domain)) GROUP BY 1) m USING (request_id)""")
+def resolve_custom_many(t):
+    out = classify.resolve_trackers(t.requests, custom_rules=t.sql(_MANY)).where("custom")
+    return out.select("request_id", c("tracker").alias("own_rule"), c("action").alias("own_action"))
+
+
 _CHOICES = """SELECT concat('c', c_custkey) AS customer_id, CASE c_mktsegment WHEN 'HOUSEHOLD' THEN 'ultra-streng' WHEN 'MACHINERY' THEN 'basis-analytics'
   WHEN 'BUILDING' THEN 'alles-allow' WHEN 'FURNITURE' THEN 'marketing-light' ELSE 'custom' END AS template FROM {customer}"""
 _MANUAL = """SELECT concat('c', c_custkey) AS customer_id, CASE WHEN c_acctbal > 5000 THEN 'ga4' ELSE 'hotjar' END AS tracker,
@@ -708,6 +799,17 @@ def enrolled_domains(t):
     return audit.enrolled_domains(domains, _projects(t), t.customers)
 
 
+_ASKED = """SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'a.nl' WHEN 1 THEN regexp_replace(origin, '^https?://', '') WHEN 2 THEN concat(user_id % 70, '.example.org')
+  ELSE concat('www.', user_id % 9, '.example.net') END AS domain FROM {visits}"""
+
+
+@query("enrolled_contains", "visits projects customers", f"""
+SELECT event_id, domain FROM ({_ASKED.format(visits='visits')}) v
+WHERE EXISTS (SELECT 1 FROM (SELECT DISTINCT listed FROM ({_LISTED_SQL})) l WHERE contains(l.listed, regexp_replace(v.domain, '^www\\.', '')))""")
+def enrolled_contains(t):
+    return audit.enrolled_domains(t.sql(_ASKED), _projects(t), t.customers, "contains")
+
+
 @query("attestation_fresh", "attestations", f"""
 SELECT event_id, domain, nonce FROM (SELECT *, row_number() OVER (PARTITION BY nonce ORDER BY ts, domain) AS use FROM attestations)
 WHERE use = 1 AND epoch_ms(TIMESTAMP '{NOW}') - epoch_ms(ts) <= ttl_ms AND lower(domain) = lower(inspected) AND public_key = 'pinned'""")
@@ -1147,6 +1249,36 @@ def stream_limit_renewing(t):
     return jobs.allowed_hits(t.spark, root).select("hit_id")
 
 
+@query("stream_closed_days", "visits", _TOTALS_SQL.replace("FROM clean", "FROM clean WHERE day + INTERVAL 1 DAY <= (SELECT max(ts) FROM clean) - INTERVAL 1 HOUR"),
+       ctes=sql.CLEAN_EVENTS)
+def stream_closed_days(t):
+    """Days that the watermark has passed, each given out once."""
+    rows = clean_events(t).select("event_id", "ts", "visitor", "event")
+    root = _stream(t, rows, "closed-days", lambda s, out: _to_files(jobs.closed_day_totals(s), out))
+    return t.spark.read.parquet(f"{root}/rows").withColumn("day", c("day").cast("string"))
+
+
+@query("stream_first_uses", "attestations", "SELECT nonce, count(*) FILTER (false) + 1 AS uses FROM attestations GROUP BY 1")
+def stream_first_uses(t):
+    """Every nonce counts once, however often it is used."""
+    rows = t.attestations.select("nonce", "ts")
+    root = _stream(t, rows, "first-uses", lambda s, out: _to_files(jobs.first_uses(s, "400 days"), out))
+    return t.spark.read.parquet(f"{root}/rows").groupBy("nonce").agg(F.count("*").alias("uses"))
+
+
+@query("stream_events", "visits", f"""
+SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS events, count(DISTINCT {sql.visitor()}) AS visitors, 0 AS shared_tokens FROM visits GROUP BY 1""")
+def stream_events(t):
+    """Clean events with a stored salt per open day: one token per visitor and day over all batches, none on two days."""
+    vault = SaltVault(t.spark, shared_dir(t.spark, "salts"))
+    root = _stream(t, t.visits.drop("section"), "events", lambda s, out: event_stream(s, out, vault, 3600))
+    rows = read_part(t.spark, root, "events").withColumn("day", F.to_date("ts").cast("string"))
+    days = rows.groupBy("day").agg(F.count("*").alias("events"), F.count_distinct("visitor").alias("visitors"))
+    twice = rows.groupBy("visitor").agg(F.count_distinct("day").alias("n"), F.min("day").alias("day")).where("n > 1")
+    shared = twice.groupBy("day").agg(F.count("*").alias("shared_tokens"))
+    return days.join(shared, "day", "left").fillna(0, ["shared_tokens"])
+
+
 # ---------------------------------------------------------------- logs as files
 
 # One line per visit. Some are cut, foreign, doubled, lists, of a wrong type or blank.
@@ -1204,6 +1336,41 @@ def requests_read(t):
     )
 
 
+@query("page_requests_read", "visits", """
+SELECT page_host, count(*) AS requests, count(DISTINCT url) AS urls FROM (SELECT regexp_replace(origin, '^https?://', '') AS page_host, r AS url FROM visits WHERE r <> '')
+WHERE page_host <> '' GROUP BY 1""")
+def page_requests_read(t):
+    """Page observations as JSON lines; those without a page or URL are set aside."""
+    folder = shared_dir(t.spark, "page-requests")
+    seen = t.visits.select(F.regexp_replace("origin", "^https?://", "").alias("page_host"), "ts", F.nullif(c("r"), F.lit("")).alias("url"))
+    seen.write.json(folder)
+    return io.read_page_requests(t.spark, folder).where("page_host <> ''").groupBy("page_host").agg(
+        F.count("*").alias("requests"), F.count_distinct("url").alias("urls")
+    )
+
+
+@query("accounts_read", "customers", "SELECT plan, count(*) FILTER (enabled) AS enabled, count(*) AS accounts FROM customers WHERE plan <> 'test' GROUP BY 1")
+def accounts_read(t):
+    """The account scan from files, with the condition pushed into it."""
+    folder = shared_dir(t.spark, "accounts")
+    t.customers.write.parquet(folder)
+    rows = io.read_dimension(t.spark, "customers", folder).where("plan <> 'test'")
+    return rows.groupBy("plan").agg(F.count_if(c("enabled")).alias("enabled"), F.count("*").alias("accounts"))
+
+
+@query("list_caps", "", f"""
+SELECT doc_id, least(150, 120 + doc_id % 60) AS n_domains, 'd' || least(150, 120 + doc_id % 60) || '-' || doc_id || '.nl' AS last_domain,
+  regexp_replace(substr(trim(text, ' ' || chr(9) || chr(10) || chr(13)), 1, 500), '<[^>]*>', '', 'g') AS cut_text
+FROM documents""")
+def list_caps(t):
+    """Lists and texts that are longer than their caps."""
+    listed = F.transform(F.sequence(F.lit(1), (F.lit(120) + c("doc_id") % 60).cast("int")), lambda i: F.concat(F.lit("https://www.D"), i, F.lit("-"), c("doc_id"), F.lit(".nl/x")))
+    kept = fields.clean_domains(F.array_join(listed, ","))
+    return t.documents.select("doc_id", kept.alias("kept"), fields.clean_text(c("text")).alias("cut_text")).select(
+        "doc_id", F.size("kept").cast("long").alias("n_domains"), F.element_at("kept", -1).alias("last_domain"), "cut_text"
+    )
+
+
 @query("clean_requests_written", "requests", f"""
 SELECT request_id, {_strip_sql('piwik_pro')} AS clean_url FROM (SELECT *, {_ROUTE_SQL} AS route FROM requests) WHERE route = 'piwik'""")
 def clean_requests_written(t):
@@ -1234,6 +1401,35 @@ def feed_flow(t):
     return reports.feed(t.requests, projects, "2024-01")[0]
 
 
+@query("feed_flow_breakdown", "requests projects", f"""
+SELECT p.feed_hash, coalesce(tracker, 'unknown') AS tracker, {', '.join(f"count(*) FILTER (counted = '{k}') AS {k}" for k in usage.COUNTERS[1:])}
+FROM (SELECT customer_id, tracker, {_COUNTED_SQL} AS counted FROM resolved WHERE url <> '') u JOIN projects p ON u.customer_id = 'c' || p.customer_id_ref
+GROUP BY 1, 2""", ctes=_FLOW_CTE)
+def feed_flow_breakdown(t):
+    projects = t.projects.withColumn("customer_id_ref", F.concat(F.lit("c"), c("customer_id_ref")))
+    return reports.feed(t.requests, projects, "2024-01")[1]
+
+
+@query("vendor_lanes", "requests customers projects revocations", f"""
+SELECT lane, count(*) AS requests, count(clean_url) AS forwarded, sum(CASE WHEN lane = 'generic' AND clean_url IS NOT NULL THEN length({sql.join_query("split_part(split_part(url, '#', 1), '?', 1)", _GENERIC_KEPT)}
+    || regexp_extract(url, '(#.*)$', 1)) ELSE 0 END)::BIGINT AS generic_chars,
+  count(*) FILTER (clean_url IS NOT NULL AND lane = 'ga4' AND len(list_filter({sql.params('url')}, lambda p: split_part(p, '=', 1) IN ('cid', 'uid'))) > 0) AS cid_replaced
+FROM (SELECT request_id, url, lane, CASE WHEN disposition = 'forwarded' THEN url END AS clean_url FROM (
+  SELECT r.*, CASE WHEN route <> 'generic' THEN route WHEN tracker = 'ga4' THEN 'ga4' WHEN tracker = 'meta_pixel' THEN 'meta' ELSE 'generic' END AS lane,
+    CASE WHEN url = '' THEN 'dropped' WHEN route <> 'generic' THEN 'forwarded' WHEN action = 'block' THEN 'blocked'
+      WHEN action IN ('allow', 'strip') THEN 'forwarded' ELSE 'processed' END AS disposition
+  FROM resolved r)) GROUP BY 1""", ctes=_FLOW_CTE)
+def vendor_lanes(t):
+    """All five lanes of the composed flow: what leaves, and that no identifier does."""
+    clean = events.clean_requests(classify.resolve_trackers(t.requests), SALTS)
+    raw_id = F.regexp_extract("url", r"[?&]cid=([^&#]*)", 1)
+    gone = (c("lane") == "ga4") & (raw_id != "") & ~F.contains(c("clean_url"), F.concat(F.lit("cid="), raw_id)) & ~F.contains(c("clean_url"), F.lit("uid="))
+    return clean.groupBy("lane").agg(
+        F.count("*").alias("requests"), F.count("clean_url").alias("forwarded"),
+        F.coalesce(F.sum(F.when(c("lane") == "generic", F.length("clean_url"))), F.lit(0)).alias("generic_chars"), F.count_if(gone).alias("cid_replaced"),
+    )
+
+
 @query("vendor_flow", "requests customers projects revocations", f"""
 SELECT request_id, account, tracker, CASE WHEN route <> 'generic' THEN route WHEN tracker = 'ga4' THEN 'ga4' WHEN tracker = 'meta_pixel' THEN 'meta' ELSE 'generic' END AS lane,
   CASE WHEN url = '' THEN 'dropped' WHEN route <> 'generic' THEN 'forwarded' WHEN action = 'block' THEN 'blocked'

@@ -64,7 +64,7 @@ class BatchFolder:
     def commit(self) -> None:
         """Make the fragments of this batch live, all parts at once."""
         if self.parts:
-            _write_text(self.spark, f"{self.root}/manifest/{self.batch_id}.json", json.dumps({**self._before(), **self.parts}))
+            write_text(self.spark, f"{self.root}/manifest/{self.batch_id}.json", json.dumps({**self._before(), **self.parts}))
 
     def previous(self, part: str, batch_id: int | None = None) -> DataFrame | None:
         """What the batch before (or the given one) wrote; None before the first."""
@@ -124,7 +124,13 @@ def _folders(spark: SparkSession, path: str, start: str = "") -> list[str]:
     return sorted(n for n in names if n.startswith(start))
 
 
-def _write_text(spark: SparkSession, path: str, text: str) -> None:
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, where = _file_system(spark, path)
+    return fs.exists(where)
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """Write a small file beside its place, then put it there."""
     fs, where = _file_system(spark, path)
     aside = where.suffix(".tmp")
     out = fs.create(aside, True)
@@ -136,7 +142,7 @@ def _write_text(spark: SparkSession, path: str, text: str) -> None:
         raise OSError(f"could not write {path}")
 
 
-def _read_text(spark: SparkSession, path: str) -> str:
+def read_text(spark: SparkSession, path: str) -> str:
     fs, where = _file_system(spark, path)
     stream = fs.open(where)
     try:
@@ -149,7 +155,7 @@ def manifest(spark: SparkSession, root: str, before: int | None = None) -> dict:
     """The parts with their live fragments after the newest batch (or the newest one below ``before``)."""
     numbers = [int(n[:-5]) for n in _folders(spark, f"{root.rstrip('/')}/manifest") if n.endswith(".json")]
     numbers = [n for n in numbers if before is None or n < before]
-    return json.loads(_read_text(spark, f"{root.rstrip('/')}/manifest/{max(numbers)}.json")) if numbers else {}
+    return json.loads(read_text(spark, f"{root.rstrip('/')}/manifest/{max(numbers)}.json")) if numbers else {}
 
 
 def _fragments(spark: SparkSession, root: str, part: str, schema: str, entries: list) -> DataFrame:

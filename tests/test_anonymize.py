@@ -1,6 +1,8 @@
 import hashlib
 import hmac
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from kveil.functions import anonymize as an
@@ -77,3 +79,14 @@ def test_salts_stay_out_of_plans(spark, capsys):
     pads = [an._pad(salt, b).hex() for b in (0x36, 0x5C)]
     assert "sha2" in shown and not any(p[:40] in shown for p in pads)
     assert len(an.SaltBook.fixed(salt).fingerprint(1)) == 8
+
+
+def test_a_day_without_salt_is_not_silent(spark):
+    rows = spark.createDataFrame([(1, 19723), (2, 19725)], "i int, d int").select("i", F.timestamp_seconds(F.col("d") * 86400).alias("ts"))
+    token = an.visitor_token(F.lit("1.2.3.4"), F.lit("x"), F.lit("a.nl"), an.SaltBook(strict=True).cover([19723]), F.col("ts"))
+    assert [tuple(r) for r in an.SaltBook().cover([19723]).uncovered(rows).collect()] == [(19725, 1)]
+    assert rows.where("i = 1").select(token.alias("t")).first().t is not None
+    with pytest.raises(Exception, match="no salt is held for epoch 19725"):
+        rows.select(token.alias("t")).collect()
+    untimed = rows.select(F.lit(None).cast("timestamp").alias("ts")).select(token.alias("t"))
+    assert {r.t for r in untimed.collect()} == {None}

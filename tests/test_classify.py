@@ -145,3 +145,35 @@ def test_original_url(spark):
     df = spark.createDataFrame(rows, "u string, h map<string,string>")
     out = [r[0] for r in df.select(events.original_url(F.col("u"), F.col("h"))).collect()]
     assert out == ["https://x.nl/a?b=1", "https://y.nl", ""]
+
+
+def test_contained_equals_all_pairs(spark):
+    import random
+
+    from kveil.operators.substring import contained
+
+    rnd = random.Random(4)
+    word = lambda low, high: "".join(rnd.choice("ab.") for _ in range(rnd.randint(low, high)))
+    texts = [(rnd.choice("xy"), word(0, 12)) for _ in range(60)] + [("x", None), (None, "abab")]
+    parts = [(rnd.choice("xy"), word(0, 6)) for _ in range(60)] + [("x", None), ("y", "")]
+    a, b = spark.createDataFrame(texts, "s string, text string"), spark.createDataFrame(parts, "s string, part string")
+    want = {(s, t, p) for s, t in texts for z, p in parts if s == z and t is not None and p and p in t}
+    for by_texts in (True, False):
+        got = [tuple(r) for r in contained(a, b, scope=("s",), rank_by_texts=by_texts).select("s", "text", "part").collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+    wide = {(t, p) for _, t in texts for _, p in parts if t is not None and p and p in t}
+    assert {tuple(r) for r in contained(a, b).select("text", "part").collect()} == wide
+
+
+def test_long_rule_lists_match_like_short_ones(spark, monkeypatch):
+    rules = spark.createDataFrame([("c", i, f"r{i}.nl" if i != 7 else "SHOP", "block") for i in range(20)] + [("d", 1, "shop", "allow")],
+                                  "customer_id string, ord int, domain string, action string")
+    asked = spark.createDataFrame([(1, "c", "https://shop.r19.nl/r3.nl"), (2, "c", "https://shop.nl"), (3, "d", "https://shop.nl"), (4, "c", "https://x"), (5, None, "https://shop.nl")],
+                                  "request_id int, customer_id string, url string")
+    out = {}
+    for limit in (5, 256):
+        monkeypatch.setattr(classify, "LIST_RULES", limit)
+        found = classify.resolve_trackers(asked, custom_rules=rules)
+        out[limit] = sorted((r.request_id, r.tracker, r.action, r.custom) for r in found.collect())
+        assert found.columns[:3] == asked.columns or limit == 256
+    assert out[5] == out[256] and out[5][0][1] == "r3.nl" and out[5][1][1] == "SHOP"

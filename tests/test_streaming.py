@@ -245,3 +245,26 @@ def test_keyed_gate_equals_history(spark, tmp_path):
     want = kanon.release_in_order(df, ["b"], 4, ttl_seconds=1800, as_of=end).where("status <> 'held'")
     rows = {(r.event_id, r.status) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert rows == {(r.event_id, r.status) for r in want.collect()} and {s for _, s in rows} == {"released", "dropped"}
+
+
+def test_a_restarted_stream_keeps_the_salts_of_open_days(spark, tmp_path):
+    from kveil.streaming.batches import read_part
+    from kveil.streaming.salts import SaltVault, event_stream
+
+    hour, start = 3600, 1_704_067_200
+    visits = spark.createDataFrame(
+        [(i, start + s, "10.0.0.9", "Firefox", "https://a.nl", "pageview", "/", "", "NL", "{}") for i, s in ((1, 0), (2, 5 * hour), (3, 20 * hour), (4, 30 * hour), (5, 23 * hour), (6, 31 * hour))],
+        "event_id long, s long, ip string, ua string, origin string, e string, u string, r string, country string, p string",
+    ).select("*", F.timestamp_seconds("s").alias("ts"), F.lit(None).cast("string").alias("d")).drop("s")
+    path, root, secret = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "secret" / "salts.json")
+    held = []
+    for ids in ([1], [2, 3], [4], [5, 6]):
+        visits.where(F.col("event_id").isin(ids)).coalesce(1).write.mode("append").parquet(path)
+        vault = SaltVault(spark, secret)  # as after a restart
+        event_stream(spark.readStream.schema(visits.schema).parquet(path), root, vault, hour).awaitTermination()
+        held.append(sorted(vault.epochs()))
+    tokens = {r.event_id: r.visitor for r in read_part(spark, root, "events").collect()}
+    assert tokens[1] == tokens[2] == tokens[3] and tokens[4] == tokens[6] != tokens[1]
+    # The first day was over for the watermark when visit 5 came: refused, with no token at all.
+    assert 5 not in tokens and [r.event_id for r in jobs.late_rows(spark, root).collect()] == [5]
+    assert held == [[19723], [19723], [19723, 19724], [19724]]
