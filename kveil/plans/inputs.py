@@ -49,7 +49,7 @@ SELECT v.event_id AS request_id, v.ts, concat('c', v.user_id) AS customer_id,
   CASE WHEN v.event_id % 2 = 0 THEN 'POST' ELSE 'GET' END AS method,
   CASE v.event_id % 13
     WHEN 0 THEN concat('https://www.google-analytics.com/g/collect?v=2&tid=G-', v.user_id, '&cid=', v.user_id, '.2&en=page_view&dl=', v.origin, '&uid=u', v.user_id)
-    WHEN 1 THEN concat('https://logius.piwik.pro/ppms.php?idsite=5&rec=1&_id=a', v.event_id, 'b&uid=u', v.user_id, '&cip=', v.ip, '&token_auth=S&e_c=dl&url=', v.origin)
+    WHEN 1 THEN concat('https://stad.piwik.pro/t/web?url=', v.origin, '&e_c=form&uid=u', v.user_id, '&rec=1&token_auth=K', v.event_id % 9, '&cip=', v.ip, '&_id=f', v.event_id, '&idsite=8')
     WHEN 2 THEN concat('https://t.sc.omtrdc.net/b/ss/r/1?vid=V', v.user_id, '&aid=', v.event_id, '&c_ip=', v.ip, '&email=u', v.user_id, '@example.nl&eVar5=x&pe=o&page=p', v.event_id % 7)
     WHEN 3 THEN concat('https://dpm.demdex.net/id?d_mid=', v.event_id)
     WHEN 4 THEN concat('https://www.facebook.com/tr?id=', v.user_id, '&ev=PageView&fbp=f', v.event_id, '&em=u', v.user_id, '@example.nl')

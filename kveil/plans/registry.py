@@ -14,12 +14,13 @@ from kveil.operators import accounts, audit, classify, events, kanon, limits, re
 from kveil.plans import oracle as sql
 from kveil.plans import reports
 from kveil.plans.inputs import NOW, Inputs, duckdb_views
-from kveil.session import shared_dir
+from kveil.session import reliable_checkpoint, shared_dir
 from kveil.sources import io
 from kveil.sources.rulebase import (
     AUDIT_HOSTS, CATEGORIES, COOKIE_PREFIXES, INTERCEPT_PATTERNS, ROUTE_PATTERNS, ROUTE_TRACKER, SCRIPT_PATTERNS, categories_df, load_rules,
     rules_df, template_overrides, templates_df,
 )
+from kveil.sources.tables import KeyedTable
 from kveil.streaming import jobs, keyed
 from kveil.streaming.batches import read_part
 from kveil.streaming.salts import SaltVault, event_stream
@@ -1027,14 +1028,28 @@ def trial_expiry(t):
     return retention.expire_trials(t.customers, "1998-06-01 00:00:00").select("id", "enabled")
 
 
-@query("erased_users", "visits users customers", f"""
+_ERASED_SQL = f"""
 SELECT id, CASE WHEN id IN (SELECT user_id FROM subjects WHERE user_id IS NOT NULL) THEN 'deleted_' || substr(md5(CAST(id AS VARCHAR)), 1, 16) || '@deleted' ELSE email END AS email,
-  {sql_time(f"CASE WHEN id IN (SELECT user_id FROM subjects WHERE user_id IS NOT NULL) THEN TIMESTAMP '{NOW}' ELSE deleted_at END")} AS deleted_at FROM users""", ctes=_ERASE_CTE)
+  {sql_time(f"CASE WHEN id IN (SELECT user_id FROM subjects WHERE user_id IS NOT NULL) THEN TIMESTAMP '{NOW}' ELSE deleted_at END")} AS deleted_at FROM users"""
+
+
+@query("erased_users", "visits users customers", _ERASED_SQL, ctes=_ERASE_CTE)
 def erased_users(t):
     users, _, _ = retention.erase_subjects(_subjects(t), t.users, t.customers, NOW, F.substring(F.md5(c("id").cast("string")), 1, 16))
     return users.select("id", "email", text_time(c("deleted_at")).alias("deleted_at"))
 
 
+@query("erased_in_files", "visits users customers", _ERASED_SQL, ctes=_ERASE_CTE)
+def erased_in_files(t):
+    """The user table as files, of which only those with a subject are written anew."""
+    table = KeyedTable(t.spark, shared_dir(t.spark, "users"), "id")
+    table.write(t.users)
+    subjects = reliable_checkpoint(_subjects(t).select("user_id"))
+    random = F.substring(F.md5(c("id").cast("string")), 1, 16)
+    table.change(subjects, lambda rows: retention.erase_subjects(subjects, rows, t.customers, NOW, random)[0])
+    return table.read().select("id", "email", text_time(c("deleted_at")).alias("deleted_at"))
+
+
 @query("erased_customers", "visits users customers", """
 SELECT id, enabled AND user_id NOT IN (SELECT user_id FROM subjects WHERE user_id IS NOT NULL) AS enabled FROM customers""", ctes=_ERASE_CTE)
 def erased_customers(t):

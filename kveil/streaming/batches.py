@@ -23,6 +23,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from kveil.sources.storage import file_system, folders, read_text, write_text
+
 # So many fragments of one key and level become one fragment of the next level.
 FAN = 8
 
@@ -55,7 +57,7 @@ class BatchFolder:
         rows.hint("rebalance", F.col(key)).write.mode("overwrite").partitionBy(key).parquet(self.path(part))
         raised = {folder: level + 1 for folder, _, level in due}
         kept = [e for e in live if tuple(e) not in set(map(tuple, due))]
-        new = [[name, self.batch_id, raised.get(name, 0)] for name in _folders(self.spark, self.path(part), f"{key}=")]
+        new = [[name, self.batch_id, raised.get(name, 0)] for name in folders(self.spark, self.path(part), f"{key}=")]
         self.parts[part] = {"key": key, "schema": delta.schema.json(), "live": kept + new}
 
     def _before(self) -> dict:
@@ -113,47 +115,9 @@ def _due(live: list) -> list:
     return [e for entries in out.values() for e in entries]
 
 
-def _file_system(spark: SparkSession, path: str):
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
-
-
-def _folders(spark: SparkSession, path: str, start: str = "") -> list[str]:
-    fs, where = _file_system(spark, path)
-    names = [s.getPath().getName() for s in fs.listStatus(where)] if fs.exists(where) else []
-    return sorted(n for n in names if n.startswith(start))
-
-
-def exists(spark: SparkSession, path: str) -> bool:
-    fs, where = _file_system(spark, path)
-    return fs.exists(where)
-
-
-def write_text(spark: SparkSession, path: str, text: str) -> None:
-    """Write a small file beside its place, then put it there."""
-    fs, where = _file_system(spark, path)
-    aside = where.suffix(".tmp")
-    out = fs.create(aside, True)
-    out.write(bytearray(text.encode()))
-    out.close()
-    if fs.exists(where):
-        fs.delete(where, False)
-    if not fs.rename(aside, where):
-        raise OSError(f"could not write {path}")
-
-
-def read_text(spark: SparkSession, path: str) -> str:
-    fs, where = _file_system(spark, path)
-    stream = fs.open(where)
-    try:
-        return spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
-    finally:
-        stream.close()
-
-
 def manifest(spark: SparkSession, root: str, before: int | None = None) -> dict:
     """The parts with their live fragments after the newest batch (or the newest one below ``before``)."""
-    numbers = [int(n[:-5]) for n in _folders(spark, f"{root.rstrip('/')}/manifest") if n.endswith(".json")]
+    numbers = [int(n[:-5]) for n in folders(spark, f"{root.rstrip('/')}/manifest") if n.endswith(".json")]
     numbers = [n for n in numbers if before is None or n < before]
     return json.loads(read_text(spark, f"{root.rstrip('/')}/manifest/{max(numbers)}.json")) if numbers else {}
 
@@ -179,9 +143,9 @@ def drop_superseded(spark: SparkSession, root: str, part: str) -> int:
     """Delete the fragments that are live no more; call it between runs."""
     found = manifest(spark, root)[part]
     live, gone, base = {(e[1], e[0]) for e in found["live"]}, 0, f"{root.rstrip('/')}/{part}"
-    for batch in _folders(spark, base, "batch="):
-        for folder in _folders(spark, f"{base}/{batch}", found["key"] + "="):
+    for batch in folders(spark, base, "batch="):
+        for folder in folders(spark, f"{base}/{batch}", found["key"] + "="):
             if (int(batch.removeprefix("batch=")), folder) not in live:
-                fs, where = _file_system(spark, f"{base}/{batch}/{folder}")
+                fs, where = file_system(spark, f"{base}/{batch}/{folder}")
                 gone += fs.delete(where, True)
     return gone

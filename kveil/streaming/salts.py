@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from kveil.functions.anonymize import SaltBook, salt_epoch
 from kveil.operators import events
-from kveil.streaming.batches import BatchFolder, exists, read_text, run_batches, write_text
+from kveil.sources.storage import exists, read_text, write_text
+from kveil.streaming.batches import BatchFolder, run_batches
 from kveil.streaming.jobs import on_time
 
 

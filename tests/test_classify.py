@@ -6,7 +6,7 @@ from kveil.sources import rulebase as rb
 
 URLS = {
     "https://www.google-analytics.com/g/collect?cid=1.2": ("ga4", "strip"),
-    "https://logius.piwik.pro/ppms.php": ("piwik_pro", "strip"),
+    "https://stad.piwik.pro/t/web": ("piwik_pro", "strip"),
     "https://t.sc.omtrdc.net/b/ss/r/1": ("adobe_analytics", "strip"),
     "https://dpm.demdex.net/id": ("adobe_analytics", "strip"),
     "https://www.facebook.com/tr?id=1": ("meta_pixel", "block"),
@@ -98,7 +98,7 @@ def test_page_resources_without_quotes(spark):
 
 
 def test_resolver_lists(spark):
-    rows = spark.createDataFrame([(1, "https://logius.piwik.pro/x"), (2, "https://static.hotjar.com/a"), (3, "https://none.example")], "i int, url string")
+    rows = spark.createDataFrame([(1, "https://stad.piwik.pro/x"), (2, "https://static.hotjar.com/a"), (3, "https://none.example")], "i int, url string")
     got = {r.i: r for r in classify.resolve_trackers(rows).collect()}
     rules = {r.key: r for r in classify.load_rules()}
     assert got[1].strip_fields == list(rules["piwik_pro"].strip_fields) and got[1].cookies == list(rules["piwik_pro"].cookies)
