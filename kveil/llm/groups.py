@@ -9,6 +9,9 @@ exchange of the documents is reused), and both sides can be recomputed at any ti
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import sys
 from collections.abc import Callable
 
 import numpy as np
@@ -21,25 +24,69 @@ from kveil.llm import words
 BLOB = "grp int, slice int, body binary, extra binary"
 NO_ID = np.iinfo(np.int64).max
 
-
+# A task holds one group's text and its working arrays. Small inputs still fill the session's partitions.
+GROUP_BYTES, LEAST_BYTES = 12 << 20, 1 << 20
 # Slices are smaller than groups, since a slice holds what all groups ask.
 SLICES_PER_GROUP = 2
 
 
-def group_count(df: DataFrame) -> int:
-    """As many groups as the session has shuffle partitions."""
-    return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+def group_count(docs: DataFrame, text: str = "text") -> int:
+    """Groups of about ``GROUP_BYTES`` of text, whatever the session's settings; one pass over the text column."""
+    size = docs.agg(F.coalesce(F.sum(F.octet_length(F.col(text).cast("string"))), F.lit(0))).first()[0]
+    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(1, -(-size // GROUP_BYTES), min(partitions, -(-size // LEAST_BYTES)))
 
 
-def slice_count(df: DataFrame) -> int:
-    return SLICES_PER_GROUP * group_count(df)
+def slice_count(groups: int) -> int:
+    return SLICES_PER_GROUP * groups
 
 
-def grouped(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *extra: str) -> DataFrame:
-    """doc_id, text, tkey (a hash of the text) and grp."""
+def grouped(docs: DataFrame, count: int, doc_id: str = "doc_id", text: str = "text", *extra: str) -> DataFrame:
+    """doc_id, text, tkey (a hash of the text) and grp, one of ``count``."""
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), *extra)
     keyed = rows.withColumn("tkey", F.xxhash64("text"))
-    return keyed.withColumn("grp", F.pmod(F.xxhash64("doc_id", "tkey"), F.lit(group_count(docs))).cast("int"))
+    return keyed.withColumn("grp", F.pmod(F.xxhash64("doc_id", "tkey"), F.lit(count)).cast("int"))
+
+
+@functools.cache
+def _trim():
+    """The C library's call that gives free memory back, where it has one."""
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (AttributeError, OSError):
+        return lambda _: None
+
+
+def lean(run: Callable) -> Callable:
+    """A group function that leaves little behind in its worker, which lives on through later stages.
+
+    What other operators keep between tasks goes before, freed memory goes back after.
+    """
+
+    def call(*tables: pa.Table) -> pa.Table:
+        tokens = sys.modules.get("kveil.llm.tokens")
+        if tokens is not None:
+            tokens.forget()
+        try:
+            return run(*tables)
+        finally:
+            release()
+
+    # Spark counts the parameters of a group function.
+    if run.__code__.co_argcount == 1:
+        return lambda table: call(table)
+    return lambda table, other: call(table, other)
+
+
+def release() -> None:
+    """Give freed memory of this worker back to the machine."""
+    pa.default_memory_pool().release_unused()
+    _trim()(0)
+
+
+def views(column: pa.ChunkedArray, kind: str) -> list[np.ndarray]:
+    """The binary values of a column as arrays, without copies."""
+    return [np.frombuffer(b.as_buffer(), kind) for b in column]
 
 
 def in_order(table: pa.Table) -> pa.Table:
@@ -81,8 +128,8 @@ def blobs(grp: int, order: np.ndarray, border: np.ndarray, pack: Callable, extra
 def answers(table: pa.Table, order: np.ndarray, border: np.ndarray, kind: str, width: int = 1) -> np.ndarray:
     """Answers of all slices put back to the order of the keys, ``width`` values each."""
     out = np.zeros((len(order), width), kind)
-    for s, body in zip(table["slice"].to_pylist(), table["body"].to_pylist()):
-        out[order[border[s] : border[s + 1]]] = np.frombuffer(body, kind).reshape(-1, width)
+    for s, body in zip(table["slice"].to_pylist(), views(table["body"], kind)):
+        out[order[border[s] : border[s + 1]]] = body.reshape(-1, width)
     return out if width > 1 else out[:, 0]
 
 

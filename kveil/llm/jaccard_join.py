@@ -83,8 +83,8 @@ def _ask(n: int, count: int):
 
 def _frequencies(table: pa.Table) -> pa.Table:
     """Answer every n-gram with log2 of its document frequency (0: one document)."""
-    bodies = [groups.unpack48(b) for b in table["body"].to_pylist()]
-    times = np.concatenate([np.frombuffer(e, np.uint8) for e in table["extra"].to_pylist()])
+    bodies = [groups.unpack48(b) for b in groups.views(table["body"], np.uint8)]
+    times = np.concatenate(groups.views(table["extra"], np.uint8))
     keys, inverse = np.unique(np.concatenate(bodies), return_inverse=True)
     total = np.bincount(inverse, weights=times, minlength=len(keys))
     level = np.ceil(np.log2(total)).astype(np.uint8)[inverse]
@@ -251,10 +251,11 @@ def link_sets(sets: DataFrame, percent: int) -> DataFrame:
 
 def join(docs: DataFrame, n: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, tkey (a hash of the text), n_shingles, set_id and component_id of every row."""
-    dealt, count = groups.grouped(docs, doc_id, text), groups.slice_count(docs)
-    asked = dealt.groupBy("grp").applyInArrow(_ask(n, count), groups.BLOB)
-    reply = asked.groupBy("slice").applyInArrow(_frequencies, groups.BLOB)
-    kept_sets = dealt.groupBy("grp").cogroup(reply.groupBy("grp")).applyInArrow(_prefixes(n, percent, count), PREFIX)
+    parts = groups.group_count(docs, text)
+    dealt, count = groups.grouped(docs, parts, doc_id, text), groups.slice_count(parts)
+    asked = dealt.groupBy("grp").applyInArrow(groups.lean(_ask(n, count)), groups.BLOB)
+    reply = asked.groupBy("slice").applyInArrow(groups.lean(_frequencies), groups.BLOB)
+    kept_sets = dealt.groupBy("grp").cogroup(reply.groupBy("grp")).applyInArrow(groups.lean(_prefixes(n, percent, count)), PREFIX)
     kept_sets = reliable_checkpoint(kept_sets)
     shared = kept_sets.where("prefix is not null").select("set_id", F.explode("prefix").alias("gram")).distinct()
     lead = shared.groupBy("gram").agg(F.min("set_id").alias("b"))

@@ -38,7 +38,7 @@ START, END = np.uint64(0x51A7C0DE51A7C0DE), np.uint64(0xE11DC0DEE11DC0DE)
 STEP = 5000.0  # quantisation: codes per unit of log10, 16 bits
 BLOB = groups.BLOB
 COUNTS = ["n1", "n2", "n3", "n4"]
-MODEL = "slice int, tokens long, contexts long, levels binary"
+MODEL = "slice int, slices int, tokens long, contexts long, levels binary"
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
@@ -90,7 +90,7 @@ class Bigrams:
         return groups.blobs(grp, order, border, body, extra)
 
 
-def _parse(body: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _parse(body: pa.Buffer) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Contexts, their successor counts, and the 48-bit successors."""
     m = int.from_bytes(body[:8], "little")
     context = np.frombuffer(body, "<u8", m, 8)
@@ -195,11 +195,11 @@ def _ask_counts(count: int):
 def _bigrams(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Contexts, successors and counts in the blobs of a slice."""
     context, successor = [], []
-    for body in table["body"].to_pylist():
-        c, size, s = _parse(body)
+    for body in table["body"]:
+        c, size, s = _parse(body.as_buffer())
         context.append(np.repeat(c, size))
         successor.append(s)
-    times = np.concatenate([np.frombuffer(e, "<u4") for e in table["extra"].to_pylist()])
+    times = np.concatenate(groups.views(table["extra"], "<u4"))
     return np.concatenate(context), np.concatenate(successor), times
 
 
@@ -209,28 +209,36 @@ def _count(table: pa.Table) -> pa.Table:
 
 def _build(table: pa.Table, of_counts: pa.Table) -> pa.Table:
     if not len(table):
-        return pa.table({"slice": pa.array([], pa.int32()), **{c: pa.array([], pa.int64()) for c in ("tokens", "contexts")}, "levels": pa.array([], pa.binary())})
+        return pa.table({
+            **{c: pa.array([], pa.int32()) for c in ("slice", "slices")}, **{c: pa.array([], pa.int64()) for c in ("tokens", "contexts")},
+            "levels": pa.array([], pa.binary()),
+        })
     context, successor, times = _bigrams(table)
     levels = build_levels(context, successor, times, [of_counts[c][0].as_py() for c in COUNTS])
     heads = len(levels["heads.low"])
     return pa.table(
-        [pa.array([table["slice"][0].as_py()], pa.int32()), pa.array([int(times.sum())]), pa.array([heads]), pa.array([elias_fano.dump(levels)], pa.binary())],
-        names=["slice", "tokens", "contexts", "levels"],
+        [
+            *(pa.array([t[0].as_py()], pa.int32()) for t in (table["slice"], of_counts["slices"])), pa.array([int(times.sum())]), pa.array([heads]),
+            pa.array([elias_fano.dump(levels)], pa.binary()),
+        ],
+        names=["slice", "slices", "tokens", "contexts", "levels"],
     )
 
 
-def _dealt(docs: DataFrame) -> DataFrame:
-    return groups.grouped(docs.select("doc_id", "text", held_out(F.col("doc_id").cast("long")).alias("held_out")), "doc_id", "text", "held_out")
+def _dealt(docs: DataFrame, count: int) -> DataFrame:
+    return groups.grouped(docs.select("doc_id", "text", held_out(F.col("doc_id").cast("long")).alias("held_out")), count, "doc_id", "text", "held_out")
 
 
 def fit(docs: DataFrame, folder: str) -> DataFrame:
     """Learn from the rows that are not held out; the model is a table of one trie per slice."""
-    count = groups.slice_count(docs)
-    asked = _dealt(docs).groupBy("grp").applyInArrow(_ask_counts(count), BLOB)
+    parts = groups.group_count(docs)
+    count = groups.slice_count(parts)
+    asked = _dealt(docs, parts).groupBy("grp").applyInArrow(groups.lean(_ask_counts(count)), BLOB)
     # Both passes over the blobs of a slice read the same exchange.
-    of_counts = asked.groupBy("slice").applyInArrow(_count, ", ".join(f"{c} long" for c in COUNTS)).agg(*[F.sum(c).alias(c) for c in COUNTS])
-    for_slices = docs.sparkSession.range(count).select(F.col("id").cast("int").alias("slice")).crossJoin(F.broadcast(of_counts))
-    asked.groupBy("slice").cogroup(for_slices.groupBy("slice")).applyInArrow(_build, MODEL).write.mode("errorifexists").parquet(folder)
+    of_counts = asked.groupBy("slice").applyInArrow(groups.lean(_count), ", ".join(f"{c} long" for c in COUNTS)).agg(*[F.sum(c).alias(c) for c in COUNTS])
+    numbers = docs.sparkSession.range(count).select(F.col("id").cast("int").alias("slice"), F.lit(count).alias("slices"))
+    for_slices = numbers.crossJoin(F.broadcast(of_counts))
+    asked.groupBy("slice").cogroup(for_slices.groupBy("slice")).applyInArrow(groups.lean(_build), MODEL).write.mode("errorifexists").parquet(folder)
     return read(docs.sparkSession, folder)
 
 
@@ -249,7 +257,7 @@ def _answer(table: pa.Table, model: pa.Table) -> pa.Table:
     """Per context its count and back-off code (body), per successor its code (extra)."""
     empty = build_levels(*(np.zeros(0, np.uint64),) * 2, np.zeros(0, np.uint32))
     trie = Trie(elias_fano.load(model["levels"][0].as_py()) if len(model) else empty)
-    asked = [_parse(b) for b in table["body"].to_pylist()]
+    asked = [_parse(b.as_buffer()) for b in table["body"]]
     total, backoff, code = trie.query(*(np.concatenate([x[k] for x in asked]) for k in range(3))) if asked else ((), (), ())
     body, extra, m, n = [], [], 0, 0
     for context, _, successor in asked:
@@ -268,11 +276,11 @@ def _score(count: int, tokens: int, vocabulary: int):
         first = np.cumsum(size) - size
         total, backoff = np.zeros(len(grams.known), np.int64), np.full(len(grams.known), 65535, np.uint16)
         code = np.zeros(len(grams.h), np.uint16)
-        for s, body, extra in zip(*(reply[c].to_pylist() for c in ("slice", "body", "extra"))):
+        for s, body, extra in zip(reply["slice"].to_pylist(), reply["body"], groups.views(reply["extra"], "<u2")):
             mine = order[border[s] : border[s + 1]]
-            total[context[mine]] = np.frombuffer(body, "<i8", len(mine))
-            backoff[context[mine]] = np.frombuffer(body, "<u2", len(mine), 8 * len(mine))
-            code[words.ranges(first[mine], size[mine])] = np.frombuffer(extra, "<u2")
+            total[context[mine]] = np.frombuffer(body.as_buffer(), "<i8", len(mine))
+            backoff[context[mine]] = np.frombuffer(body.as_buffer(), "<u2", len(mine), 8 * len(mine))
+            code[words.ranges(first[mine], size[mine])] = extra
         # A text has one start and one end, so ends are counted by the start's count.
         times = total.copy()
         times[grams.known == END] = total[grams.known == START]
@@ -293,11 +301,11 @@ def _score(count: int, tokens: int, vocabulary: int):
 
 
 def score(docs: DataFrame, model: DataFrame) -> DataFrame:
-    """Base and model log10 probability of every text, with a model fitted under the same number of slices."""
-    count = groups.slice_count(docs)
-    sums = model.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("contexts"), F.lit(0))).first()
-    dealt = _dealt(docs)
-    asked = dealt.groupBy("grp").applyInArrow(_ask_scores(count), BLOB)
-    reply = asked.groupBy("slice").cogroup(model.select("slice", "levels").groupBy("slice")).applyInArrow(_answer, BLOB)
+    """Base and model log10 probability of every text; questions go to as many slices as the model was built with."""
+    sums = model.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("contexts"), F.lit(0)), F.coalesce(F.max("slices"), F.lit(1))).first()
+    count = sums[2]
+    dealt = _dealt(docs, groups.group_count(docs))
+    asked = dealt.groupBy("grp").applyInArrow(groups.lean(_ask_scores(count)), BLOB)
+    reply = asked.groupBy("slice").cogroup(model.select("slice", "levels").groupBy("slice")).applyInArrow(groups.lean(_answer), BLOB)
     # Contexts are all words and the start; words and the end are the vocabulary.
-    return dealt.groupBy("grp").cogroup(reply.groupBy("grp")).applyInArrow(_score(count, *sums), SCORES)
+    return dealt.groupBy("grp").cogroup(reply.groupBy("grp")).applyInArrow(groups.lean(_score(count, *sums[:2])), SCORES)

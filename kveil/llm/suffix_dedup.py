@@ -106,6 +106,17 @@ def _parts(table: pa.Table, length: int):
         yield i, Runs(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], length)
 
 
+def _runs(table: pa.Table, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Key, first byte, size and document of every run of a group, in order of position."""
+    found = [(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32))]
+    offsets = groups.texts(table)[1]
+    for i, r in _parts(table, length):
+        if len(r.key):
+            size = (r.last - r.first + length).astype(np.int32)
+            found.append((r.key, r.first + offsets[i], size, (r.doc + i).astype(np.int32)))
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
 def _ask_anchors(length: int, count: int):
     def run(table: pa.Table) -> pa.Table:
         parts = [runs.key for _, runs in _parts(groups.in_order(table), length)]
@@ -114,14 +125,14 @@ def _ask_anchors(length: int, count: int):
         again = (times > 1).astype(np.uint8)
         return groups.blobs(table["grp"][0].as_py(), order, border, lambda p: keys[p].astype("<u8").tobytes(), lambda p: np.packbits(again[p]).tobytes())
 
-    return run
+    return groups.lean(run)
 
 
 def _recurring(table: pa.Table) -> pa.Table:
     """Bit per anchor: it occurs again with the same left or right context."""
-    bodies = [np.frombuffer(b, "<u8") for b in table["body"].to_pylist()]
+    bodies = groups.views(table["body"], "<u8")
     key = np.concatenate(bodies)
-    found = np.concatenate([np.unpackbits(np.frombuffer(e, np.uint8), count=len(b)) for e, b in zip(table["extra"].to_pylist(), bodies)]).astype(bool)
+    found = np.concatenate([np.unpackbits(e, count=len(b)) for e, b in zip(groups.views(table["extra"], np.uint8), bodies)]).astype(bool)
     for part in (key >> SIDE, (key >> SIDES << SIDE) | (key & np.uint64(0xFFF))):
         order = np.argsort(part)
         same = part[order][1:] == part[order][:-1]
@@ -132,53 +143,65 @@ def _recurring(table: pa.Table) -> pa.Table:
     return pa.table([table["grp"], table["slice"], pa.array(parts, pa.binary()), pa.array([None] * len(parts), pa.binary())], names=["grp", "slice", "body", "extra"])
 
 
+def _gram_hashes(data: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """A hash of the bytes of every run; runs stand in order of position and are short."""
+    out = np.empty(len(first), np.uint64)
+    a = 0
+    while a < len(first):
+        b = max(a + 1, int(np.searchsorted(first, first[a] + SLICE, "right")))
+        own, ends = first[a:b] - first[a], first[a:b] - first[a] + size[a:b]
+        sums = words.prefix_sums(data[first[a] : first[a] + ends.max()])
+        out[a:b] = words.range_hashes(sums, own, ends)
+        a = b
+    return out
+
+
+def _distinct(data: np.ndarray, first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Number of each run's text among the distinct ones, and one run of each; equal hashes are compared byte by byte."""
+    _, head, number = np.unique(_gram_hashes(data, first, size), return_index=True, return_inverse=True)
+    other = np.flatnonzero(head[number] != np.arange(len(first)))
+    wrong = []
+    ends = np.append(0, np.cumsum(size[other], dtype=np.int64))
+    a = 0
+    while a < len(other):
+        b = max(a + 1, int(np.searchsorted(ends, ends[a] + SLICE, "right")) - 1)
+        mine, like = other[a:b], head[number[other[a:b]]]
+        same = size[mine] == size[like]
+        mine, like = mine[same], like[same]
+        differ = data[words.ranges(first[mine], size[mine])] != data[words.ranges(first[like], size[like])]
+        wrong += [other[a:b][~same], np.unique(np.repeat(mine, size[mine])[differ])]
+        a = b
+    alone = np.concatenate(wrong) if wrong else other
+    number[alone] = len(head) + np.arange(len(alone))  # a text that only shares its hash goes by itself
+    return number.astype(np.int32), np.append(head, alone)
+
+
 class Asked:
-    """The recurring runs of a group: distinct run texts by slice, and where each run stands."""
+    """The recurring runs of a group: where each stands, which distinct text it is, and the slice of that."""
 
     def __init__(self, table: pa.Table, reply: pa.Table, length: int, count: int):
-        parts = [(i, r) for i, r in _parts(table, length) if len(r.key)]
-        key = np.concatenate([r.key for _, r in parts]) if parts else np.zeros(0, np.uint64)
+        key, first, size, doc = _runs(table, length)
         keys, inverse = np.unique(key, return_inverse=True)
         order, border = groups.slice_order(keys >> SIDES, count)
         flag = np.zeros(len(keys), bool)
-        for s, body in zip(reply["slice"].to_pylist(), reply["body"].to_pylist()):
+        for s, body in zip(reply["slice"].to_pylist(), groups.views(reply["body"], np.uint8)):
             mine = order[border[s] : border[s + 1]]
-            flag[mine] = np.unpackbits(np.frombuffer(body, np.uint8), count=len(mine)).astype(bool)
+            flag[mine] = np.unpackbits(body, count=len(mine)).astype(bool)
         chosen = flag[inverse]
-        offsets = groups.texts(table)[1]
-        docs, first, sizes, bodies, done = [], [], [], [], 0
-        for i, r in parts:
-            mine = chosen[done : done + len(r.key)]
-            done += len(r.key)
-            docs.append(r.doc[mine] + i)
-            first.append(r.first[mine] + offsets[i])
-            size = r.last[mine] - r.first[mine] + length
-            sizes.append(size)
-            bodies.append(r.data[words.ranges(r.first[mine], size)])
-        none = np.zeros(0, np.int64)
-        self.doc, self.first, size = (np.concatenate(x) if x else none for x in (docs, first, sizes))
-        bounds = np.append(0, np.cumsum(size)).astype(np.int64)
-        body = np.concatenate(bodies) if bodies else np.zeros(0, np.uint8)
-        coded = pa.Array.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(bounds), pa.py_buffer(body)]).dictionary_encode()
-        self.run = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        self.texts = coded.dictionary
+        del keys, inverse, order, flag
+        self.data = groups.texts(table)[0]
+        self.doc, self.first, self.size = doc[chosen], first[chosen], size[chosen]
+        self.run, self.head = _distinct(self.data, self.first, self.size)
         # The slice of a distinct run is the slice of its anchor.
-        self.number = np.zeros(len(self.texts), np.int64)
-        self.number[self.run] = ((key[chosen] >> SIDES) % np.uint64(count)).astype(np.int64)
-        self.windows = pa_lengths(self.texts) - length + 1
-        self.order = np.argsort(self.number, kind="stable")
-        self.border = np.append(0, np.cumsum(np.bincount(self.number, minlength=count)))
-
-
-def pa_lengths(array: pa.Array) -> np.ndarray:
-    if not len(array):
-        return np.zeros(0, np.int64)
-    return np.diff(np.frombuffer(array.buffers()[1], np.int64)[array.offset : array.offset + len(array) + 1])
-
+        number = ((key[chosen] >> SIDES) % np.uint64(count)).astype(np.int32)[self.head]
+        self.windows = self.size[self.head].astype(np.int64) - length + 1
+        self.order = np.argsort(number, kind="stable")
+        self.border = np.append(0, np.cumsum(np.bincount(number, minlength=count)))
 
-def _bytes(array: pa.Array) -> np.ndarray:
-    bounds = np.frombuffer(array.buffers()[1], np.int64)
-    return np.frombuffer(array.buffers()[2], np.uint8)[bounds[array.offset] : bounds[array.offset + len(array)]]
+    def bytes_of(self, runs: np.ndarray) -> bytes:
+        """The texts of distinct runs, one after the other."""
+        head = self.head[runs]
+        return self.data[words.ranges(self.first[head], self.size[head])].tobytes()
 
 
 def _ids(table: pa.Table) -> np.ndarray:
@@ -189,19 +212,15 @@ def _ask_runs(length: int, count: int):
     def run(table: pa.Table, reply: pa.Table) -> pa.Table:
         table = groups.in_order(table)
         asked = Asked(table, reply, length, count)
-        lowest = np.full(len(asked.texts), groups.NO_ID)
+        lowest = np.full(len(asked.head), groups.NO_ID)
         np.minimum.at(lowest, asked.run, _ids(table)[asked.doc])
-        sizes = pa_lengths(asked.texts)
-
-        def body(p: np.ndarray) -> bytes:
-            return _bytes(asked.texts.take(pa.array(p))).tobytes()
 
         def extra(p: np.ndarray) -> bytes:
-            return sizes[p].astype("<i8").tobytes() + lowest[p].astype("<i8").tobytes()
+            return asked.size[asked.head[p]].astype("<i8").tobytes() + lowest[p].astype("<i8").tobytes()
 
-        return groups.blobs(table["grp"][0].as_py(), asked.order, asked.border, body, extra)
+        return groups.blobs(table["grp"][0].as_py(), asked.order, asked.border, asked.bytes_of, extra)
 
-    return run
+    return groups.lean(run)
 
 
 def suffix_buckets(data: np.ndarray, offsets: np.ndarray, length: int) -> np.ndarray:
@@ -241,13 +260,12 @@ def suffix_buckets(data: np.ndarray, offsets: np.ndarray, length: int) -> np.nda
 
 def _lowest(length: int):
     def run(table: pa.Table) -> pa.Table:
-        bodies, extras = table["body"].to_pylist(), table["extra"].to_pylist()
-        numbers = [np.frombuffer(e, "<i8").reshape(2, -1) for e in extras]
+        numbers = [e.reshape(2, -1) for e in groups.views(table["extra"], "<i8")]
         sizes, owner = np.concatenate([x[0] for x in numbers]), np.concatenate([x[1] for x in numbers])
         bounds = np.append(0, np.cumsum(sizes)).astype(np.int64)
-        coded = pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(bounds), pa.py_buffer(b"".join(bodies))]).dictionary_encode()
-        del bodies, extras
+        coded = pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(bounds), pa.py_buffer(b"".join(groups.views(table["body"], np.uint8)))]).dictionary_encode()
         run_of, texts = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary
+        del coded
         lowest = np.full(len(texts), groups.NO_ID)
         np.minimum.at(lowest, run_of, owner)
         # Equal windows share their anchor's gram, so runs of one gram are sorted together, chunk by chunk.
@@ -281,7 +299,7 @@ def _lowest(length: int):
             parts.append(answer[words.ranges(at[:-1][mine], windows[mine])].astype("<i8").tobytes())
         return pa.table([table["grp"], table["slice"], pa.array(parts, pa.binary()), pa.array([None] * len(parts), pa.binary())], names=["grp", "slice", "body", "extra"])
 
-    return run
+    return groups.lean(run)
 
 
 def _anchor_grams(data: np.ndarray, offsets: np.ndarray, length: int) -> np.ndarray:
@@ -315,9 +333,9 @@ def _remove(length: int, count: int, with_text: bool, carry: list[str]):
         data, offsets = groups.texts(table)
         at = np.append(0, np.cumsum(asked.windows))
         lowest = np.empty(at[-1], np.int64)
-        for s, body in zip(reply["slice"].to_pylist(), reply["body"].to_pylist()):
+        for s, body in zip(reply["slice"].to_pylist(), groups.views(reply["body"], "<i8")):
             mine = asked.order[asked.border[s] : asked.border[s + 1]]
-            lowest[words.ranges(at[:-1][mine], asked.windows[mine])] = np.frombuffer(body, "<i8")
+            lowest[words.ranges(at[:-1][mine], asked.windows[mine])] = body
         ids = _ids(table)
         sums, digests, kept = [np.zeros((2, 0), np.int64)], [], []
         for i, j in words.slices(offsets, SLICE):
@@ -356,10 +374,11 @@ def dedup(
     """
     if length < Q + 16:
         raise ValueError(f"length must be at least {Q + 16}")
-    dealt, count = groups.grouped(docs, doc_id, text, *carry), groups.slice_count(docs)
+    parts = groups.group_count(docs, text)
+    dealt, count = groups.grouped(docs, parts, doc_id, text, *carry), groups.slice_count(parts)
     own = dealt.groupBy("grp")
     asked = own.applyInArrow(_ask_anchors(length, count), groups.BLOB)
-    anchors = asked.groupBy("slice").applyInArrow(_recurring, groups.BLOB)
+    anchors = asked.groupBy("slice").applyInArrow(groups.lean(_recurring), groups.BLOB)
     runs = own.cogroup(anchors.groupBy("grp")).applyInArrow(_ask_runs(length, count), groups.BLOB)
     lowest = runs.groupBy("slice").applyInArrow(_lowest(length), groups.BLOB)
     both = anchors.withColumn("kind", F.lit(0)).unionByName(lowest.withColumn("kind", F.lit(1)))
@@ -370,7 +389,7 @@ def dedup(
         return remove(table, reply.filter(pa.array(kind == 0)), reply.filter(pa.array(kind == 1)))
 
     extra = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
-    return own.cogroup(both.groupBy("grp")).applyInArrow(last, RESULT + (", kept string" if with_text else "") + extra)
+    return own.cogroup(both.groupBy("grp")).applyInArrow(groups.lean(last), RESULT + (", kept string" if with_text else "") + extra)
 
 
 def keep_first(docs: DataFrame, length: int = LENGTH) -> DataFrame:

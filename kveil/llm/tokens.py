@@ -184,3 +184,9 @@ def encoder(path: str, leading_space: bool) -> Encoder:
     """One encoder per worker process, so that its memo lives through all batches."""
     return Encoder(path, leading_space)
 
+
+
+def forget() -> None:
+    """Drop what a worker process keeps between tasks."""
+    encoder.cache_clear()
+    _load.cache_clear()

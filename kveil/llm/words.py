@@ -86,6 +86,20 @@ def slices(offsets: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[tuple[int,
         start = stop
 
 
+def prefix_sums(data: np.ndarray) -> np.ndarray:
+    """Sums of the coded bytes before every place, for ``range_hashes``."""
+    sums = np.zeros(len(data) + 1, np.uint64)
+    with np.errstate(over="ignore"):
+        np.cumsum(_BYTE[data] * powers(len(data))[0][: len(data)], out=sums[1:])
+    return sums
+
+
+def range_hashes(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of the bytes in every range; equal bytes have equal hashes in any batch."""
+    with np.errstate(over="ignore"):
+        return mix((sums[end] - sums[start]) * powers(len(sums))[1][start])
+
+
 class Words:
     """The words of a run of texts: ``start``/``end`` in ``data``; text ``i`` owns words ``ptr[i]:ptr[i + 1]``."""
 
@@ -107,11 +121,7 @@ class Words:
 
     def hashes(self) -> np.ndarray:
         """A 64-bit hash per word; equal words have equal hashes in any batch."""
-        up, down = powers(len(self.data))
-        with np.errstate(over="ignore"):
-            sums = np.zeros(len(self.data) + 1, np.uint64)
-            np.cumsum(_BYTE[self.data] * up[: len(self.data)], out=sums[1:])
-            return mix((sums[self.end] - sums[self.start]) * down[self.start])
+        return range_hashes(prefix_sums(self.data), self.start, self.end)
 
     def array(self) -> pa.Array:
         """The words as an Arrow array."""
