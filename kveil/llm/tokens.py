@@ -6,12 +6,17 @@ apostrophes, and Latin-1 letters), between letters and other characters. Pieces
 hold anything else stay whole up to the next white space and go through the library as
 they are. ``leading_space`` tells whether a space belongs to the following piece (byte
 level BPE) or is dropped (word BPE).
+
+These cuts hold for two kinds of tokenizer files (``KNOWN``). A file with another
+normaliser, splitter or kind of added token is noticed when it is loaded, and its texts
+go through the library whole.
 """
 
 from __future__ import annotations
 
 import array
 import functools
+import json
 import os
 import re
 from typing import NamedTuple
@@ -20,6 +25,19 @@ import numpy as np
 import pyarrow as pa
 
 MEMO_ENTRIES = 120_000
+# The normaliser and splitter that the cuts follow, with and without leading spaces.
+KNOWN = {
+    True: (None, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}),
+    False: (
+        {"type": "Sequence", "normalizers": [
+            {"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"},
+        ]},
+        {"type": "Sequence", "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ]},
+    ),
+}
 BATCH_BYTES = 1 << 22
 
 _SPACE = np.zeros(256, bool)
@@ -46,6 +64,16 @@ def _load(path: str):
     return tokenizer
 
 
+def is_known(tokenizer, leading_space: bool) -> bool:
+    """Whether the cuts made here are those of the tokenizer file."""
+    def parts(component):
+        return None if component is None else json.loads(component.__getstate__())
+
+    special = all(t.special for t in tokenizer.get_added_tokens_decoder().values())
+    plain_model = type(tokenizer.model).__name__ == "BPE" and not tokenizer.model.dropout and not tokenizer.model.byte_fallback
+    return special and plain_model and (parts(tokenizer.normalizer), parts(tokenizer.pre_tokenizer)) == KNOWN[leading_space]
+
+
 def _complex_words(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Words that stay whole, and those of them that may begin or end in a white space beyond ASCII."""
     lead = data == 0xC3
@@ -110,6 +138,7 @@ class Encoder:
 
     def __init__(self, path: str, leading_space: bool):
         self.tokenizer, self.leading_space = _load(path), leading_space
+        self.known = is_known(self.tokenizer, leading_space)
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
 
@@ -119,6 +148,9 @@ class Encoder:
             self.young, self.old = {}, self.young
         merge, others = self.tokenizer.model.tokenize, []
         for piece in pieces:
+            if not self.known:
+                others.append(piece)
+                continue
             blank = piece[:1] == b" "
             if (piece[1:] if blank else piece).isalpha():  # ASCII letters
                 spelled = piece.decode("ascii")
@@ -146,12 +178,13 @@ class Encoder:
 
     def encode(self, data: np.ndarray, offsets: np.ndarray, end_id: int | None = None) -> Encoded:
         """Ids of the texts in ``data``; ``end_id`` closes each text."""
-        begin, stop = _cuts(data, offsets, self.leading_space)
+        # Without known cuts every text is one piece.
+        begin, stop = _cuts(data, offsets, self.leading_space) if self.known else (offsets[:-1], offsets[1:])
         sizes = stop - begin
-        piece_ptr = np.searchsorted(begin, offsets)
+        piece_ptr = np.searchsorted(begin, offsets) if self.known else np.arange(len(offsets))
         bounds = np.zeros(len(begin) + 1, np.int64)
         np.cumsum(sizes, out=bounds[1:])
-        if self.leading_space:
+        if self.leading_space or not self.known:
             body = data
         else:
             body = data[np.arange(bounds[-1]) + np.repeat(begin - bounds[:-1], sizes)]

@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
 from kveil.llm import packing, token_files, tokens, wordpiece_counts, words
 from kveil.session import shared_dir
@@ -33,6 +33,25 @@ def test_same_ids(name, space, texts):
     assert [got.ids[a:b].tolist() for a, b in zip(got.ptr[:-1], got.ptr[1:])] == want
 
 
+def test_another_tokenizer_file_is_noticed(tmp_path):
+    """Cut rules of another file are not assumed: its texts go through the library whole."""
+    texts = ["Some Words  here, don't", "", "x", "Ünïcode 日本 12345", None, "x"]
+    for name, space in KINDS:
+        tokenizer = Tokenizer.from_file(public_tokenizers.path(name))
+        assert tokens.is_known(tokenizer, space) and not tokens.is_known(tokenizer, not space)
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    tokenizer.normalizer = normalizers.Lowercase()
+    tokenizer.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Digits(True), pre_tokenizers.ByteLevel(add_prefix_space=True)])
+    path = str(tmp_path / "other.json")
+    tokenizer.save(path)
+    got = tokens.Encoder(path, True).encode(*words.flat(pa.array(texts, pa.string())), end_id=0)
+    want = [e.ids + [0] for e in tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+    assert [got.ids[a:b].tolist() for a, b in zip(got.ptr[:-1], got.ptr[1:])] == want
+    added = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    added.add_tokens(["Words"])
+    assert not tokens.is_known(added, True)
+
+
 def test_memo_is_bounded(monkeypatch, rows):
     monkeypatch.setattr(tokens, "MEMO_ENTRIES", 50)
     coder = tokens.Encoder(public_tokenizers.path("word_bpe_49k.json"), False)
