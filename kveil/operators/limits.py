@@ -2,8 +2,9 @@
 
 A source may send a third of all hits. Fixed windows use a ranked limit, which Spark
 also applies before the shuffle (up to ``spark.sql.optimizer.windowGroupLimitThreshold``,
-1000 by default: raise it for larger limits); renewing limits and sessions first reduce
-each source to one row per time unit.
+1000 by default); larger limits are first cut in ``SHARES`` shares of each key, so that no
+task holds more than the shares times the limit of one key. Renewing limits and sessions
+first reduce each source to one row per time unit.
 """
 
 from __future__ import annotations
@@ -28,14 +29,22 @@ POLICIES = [
     ("recover", 5, 900, "renewing"),
 ]
 SUSPICIOUS_FAILURES, SUSPICIOUS_SECONDS = 5, 3600
+SHARES = 32
 
 
 def fixed_window_allowed(hits: DataFrame, limit: int, seconds: int, key: str = "key", ts: str = "ts", tie: str = "hit_id") -> DataFrame:
     """The hits that a fixed window lets through: the first ``limit`` per key and window."""
     window = F.floor(F.unix_timestamp(F.col(ts).cast("timestamp")) / seconds)
-    w = Window.partitionBy(key, "_window").orderBy(ts, tie)
-    ranked = hits.withColumn("_window", window).withColumn("_rank", F.row_number().over(w))
-    return ranked.where(F.col("_rank") <= limit).drop("_rank", "_window")
+    timed = hits.withColumn("_window", window)
+    if limit > int(hits.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold")):
+        # Whatever is not among the first hits of its share is not among those of the key.
+        timed = _first(timed.withColumn("_share", F.pmod(F.xxhash64(tie), F.lit(SHARES))), limit, [key, "_window", "_share"], ts, tie).drop("_share")
+    return _first(timed, limit, [key, "_window"], ts, tie).drop("_window")
+
+
+def _first(hits: DataFrame, limit: int, keys: list[str], ts: str, tie: str) -> DataFrame:
+    ranked = hits.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(ts, tie)))
+    return ranked.where(F.col("_rank") <= limit).drop("_rank")
 
 
 def _mark(hits: DataFrame, allowed: DataFrame, tie: str) -> DataFrame:

@@ -96,6 +96,17 @@ def test_fixed_window(spark):
     assert allowed(out) == [True] * 5 + [False] * 2 + [True]
 
 
+def test_large_limits_are_cut_in_shares(spark):
+    rows = hits(spark, [i % 700 for i in range(2000)])
+    want = allowed(limits.fixed_window_limit(rows, 40, 100))
+    before = spark.conf.get("spark.sql.optimizer.windowGroupLimitThreshold")
+    spark.conf.set("spark.sql.optimizer.windowGroupLimitThreshold", "10")
+    try:
+        assert allowed(limits.fixed_window_limit(rows, 40, 100)) == want and sum(want) == 7 * 40
+    finally:
+        spark.conf.set("spark.sql.optimizer.windowGroupLimitThreshold", before)
+
+
 def test_renewing_window(spark):
     out = limits.renewing_limit(hits(spark, [0, 3000, 6000, 9000, 9599, 9601]), 3, 3600)
     assert allowed(out) == [True, True, True, False, False, True]
