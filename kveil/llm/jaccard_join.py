@@ -12,8 +12,10 @@
    accumulates overlap counts, and drops pairs as soon as the columns left cannot lift
    them to their bound. It returns a spanning forest of the links.
 
-Blocks are first linked within, then one set per component across blocks, and only
-clusters that are still not one component run the remaining block pairs.
+Blocks are first linked within, then one set per component across blocks, then the
+rest of clusters that are still not one component. Across blocks a set meets only the
+blocks that hold one of its prefix n-grams in another component: sets that are merely
+chained into one cluster by their neighbours never meet.
 
 A text with fewer words than n is one n-gram of all its words; null and wordless texts
 have no n-gram and link with nothing. Equal texts link. Null ids take part, but never
@@ -208,23 +210,27 @@ def _blocked(sets: DataFrame) -> DataFrame:
     return joined.withColumn("block", F.when(F.col("big"), cut).otherwise(whole))
 
 
-def _pairs(blocked: DataFrame, diagonal: bool) -> DataFrame:
-    """Each set once per pair of blocks that it takes part in: own class and the two beside it."""
-    def of(c):
-        many = F.coalesce(F.try_element_at("blocks", c), F.lit(0))
-        return F.transform(F.filter(F.sequence(F.lit(0), many), lambda p: p < many), lambda p: F.struct(c.alias("c"), p.alias("p")))
+def _pairs(blocked: DataFrame, grams: DataFrame, diagonal: bool) -> DataFrame:
+    """Each set once per pair of blocks that it takes part in: its own and one that shares a prefix n-gram with it.
 
-    mine, c = F.col("block"), F.col("size_class")
-    others = F.flatten(F.array(of(c - 1), of(c), of(c + 1)))
+    ``grams``: set_id, gram. Blocks beside each other are of one size class or of
+    neighbours. An n-gram whose sets are all of one component asks for nothing.
+    """
+    held = grams.join(blocked.select("set_id", "cluster", "size_class", "block", "label"), "set_id")
+    mixed = held.groupBy("gram").agg((F.min("label") != F.max("label")).alias("_mixed")).where("_mixed").select("gram")
+    held = held.join(mixed, "gram")
+    there = held.select("gram", F.col("size_class").alias("_class"), F.col("block").alias("_other")).distinct()
+    meets = F.abs(F.col("_class") - F.col("size_class")) <= 1
     if not diagonal:
-        others = F.filter(others, lambda o: o != mine)
-    return blocked.withColumn("_other", F.explode(others)).select(
-        "cluster", F.least("block", "_other").alias("low"), F.greatest("block", "_other").alias("high"), "set_id", "label", "body"
-    )
+        meets = meets & (F.col("_other") != F.col("block"))
+    met = held.join(there, "gram").where(meets).select(
+        "set_id", "cluster", F.least("block", "_other").alias("low"), F.greatest("block", "_other").alias("high")
+    ).distinct()
+    return met.join(blocked.select("set_id", "label", "body"), "set_id")
 
 
-def link_sets(sets: DataFrame, percent: int) -> DataFrame:
-    """``node`` and ``root`` of sets (set_id, n, size_class, cluster, body) that link with another set."""
+def link_sets(sets: DataFrame, grams: DataFrame, percent: int) -> DataFrame:
+    """``node`` and ``root`` of sets (set_id, n, size_class, cluster, body) that link with another set; ``grams`` are their prefixes."""
     blocked = reliable_checkpoint(_blocked(sets.withColumn("label", F.col("set_id"))))
     links = reliable_checkpoint(_product(blocked, ["cluster", "block"], percent))
     found = components(links)
@@ -240,12 +246,12 @@ def link_sets(sets: DataFrame, percent: int) -> DataFrame:
     found = reliable_checkpoint(found)
     first = labelled(big, found).groupBy("cluster", "block", "label").agg(F.min("set_id").alias("set_id"))
     heads = big.drop("big", "block", "blocks").join(first.select("set_id"), "set_id", "left_semi")
-    across = _product(_pairs(_blocked(heads), diagonal=True), ["cluster", "low", "high"], percent)
+    across = _product(_pairs(reliable_checkpoint(_blocked(heads)), grams, diagonal=True), ["cluster", "low", "high"], percent)
     links = reliable_checkpoint(links.union(across))
     found = reliable_checkpoint(components(links))
     now = labelled(big, found)
     split = now.groupBy("cluster").agg((F.min("label") != F.max("label")).alias("_split")).where("_split").select("cluster")
-    rest = _product(_pairs(now.join(split, "cluster"), diagonal=False), ["cluster", "low", "high"], percent)
+    rest = _product(_pairs(now.join(split, "cluster"), grams, diagonal=False), ["cluster", "low", "high"], percent)
     return components(links.union(rest))
 
 
@@ -264,7 +270,7 @@ def join(docs: DataFrame, n: int = 5, percent: int = 80, doc_id: str = "doc_id",
     sets = kept_sets.where("body is not null").groupBy("set_id").agg(
         F.first("n").alias("n"), F.first("size_class").alias("size_class"), F.first("body").alias("body")
     )
-    found = link_sets(sets.join(cluster, "set_id"), percent).select(F.col("node").alias("set_id"), "root")
+    found = link_sets(sets.join(cluster, "set_id"), shared, percent).select(F.col("node").alias("set_id"), "root")
     lowest = kept_sets.where("n > 0").groupBy("set_id").agg(F.min("doc_id").alias("_low")).join(found, "set_id", "left")
     root = F.coalesce("root", "set_id")
     named = lowest.groupBy(root.alias("_root")).agg(F.min("_low").alias("component_id"))
