@@ -2,9 +2,10 @@
 
 ``build`` turns the documents into segments of whole documents; a segment stores, per
 term, the sorted list of the positions of its tokens. ``search`` sends the test windows
-to all segments, in blocks of bounded size; a segment takes the postings of the rarest
-term of each window, shifts them by the term's offset, and intersects them with the
-other lists, again from the rarest. ``near`` finds terms close together in any order.
+to all segments, in blocks of bounded size, equal windows once; a segment takes the
+postings of the rarest term of each window, shifts them by the term's offset, and
+intersects them with the other lists, again from the rarest, a bounded number of
+postings at a time. ``near`` finds terms close together in any order.
 
 Words follow ``words.LETTERS`` after lower-casing A-Z. Null or wordless texts have no
 words and are never hit; items without words match nothing; an item without an id still
@@ -27,6 +28,7 @@ from kveil.llm import rows, words
 
 WINDOW = 10
 BLOCK_BYTES = 4 << 20
+POSTINGS = 1 << 19  # shifted postings held at once
 SEGMENT = (
     "segment long, doc_ids array<long>, doc_words binary, terms binary, term_sizes binary, term_counts binary, postings binary"
 )
@@ -74,7 +76,7 @@ def build(docs: DataFrame, folder: str, doc_id: str = "doc_id", text: str = "tex
 
 
 class Segment:
-    """One segment in memory; ``term_at`` gives the term of a position, -1 in the gaps."""
+    """One segment in memory: per term the sorted list of its positions, and all lists as one sequence of (term, position)."""
 
     def __init__(self, row: dict):
         def numbers(name: str, kind: str) -> np.ndarray:
@@ -93,30 +95,42 @@ class Segment:
         has = self.first[:-1] > 0
         base[has] = sums[self.first[:-1][has] - 1]
         self.postings = sums - np.repeat(base, self.count)
-        self.term_at = np.full(int((self.doc_words + 1).sum()) + 1, -1, np.int32)
-        self.term_at[self.postings] = np.repeat(np.arange(len(self.count), dtype=np.int32), self.count)
+        self.length = int((self.doc_words + 1).sum()) + 1
+        # Term number and position in one number: a search finds a position in the list of any term.
+        self.entries = np.repeat(np.arange(len(self.count), dtype=np.int64) * self.length, self.count) + self.postings
+
+    def holds(self, term: np.ndarray, position: np.ndarray) -> np.ndarray:
+        """Whether each position stands in the list of its term."""
+        wanted = term * self.length + position
+        at = np.searchsorted(self.entries, wanted)
+        return (at < len(self.entries)) & (self.entries[np.minimum(at, len(self.entries) - 1)] == wanted)
 
     def codes(self, terms: pa.Array) -> np.ndarray:
         """Numbers of ``terms`` here, -1 where absent."""
         return pc.fill_null(pc.index_in(terms, value_set=self.terms), -1).to_numpy(zero_copy_only=False)
 
-    def phrases(self, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Window number and start position of every occurrence of rows of ``windows`` (term numbers, -1: absent)."""
+    def phrases(self, windows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Window number and start position of every occurrence of rows of ``windows`` (term numbers, -1: absent), in bounded lots."""
+        windows = windows.astype(np.int64)
         lists = np.where(windows >= 0, self.count[windows] if len(self.count) else 0, 0)
         alive = np.flatnonzero((lists > 0).all(axis=1))
         if not len(alive):
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+            return
         order = np.argsort(lists[alive], axis=1, kind="stable")
         rarest = windows[alive, order[:, 0]]
-        which = np.repeat(np.arange(len(alive)), self.count[rarest])
-        start = self.postings[words.ranges(self.first[rarest], self.count[rarest])] - order[which, 0]
-        inside = (start >= 0) & (start + windows.shape[1] <= len(self.term_at))
-        which, start = which[inside], start[inside]
-        for j in range(1, windows.shape[1]):
-            offset = order[which, j]
-            match = self.term_at[start + offset] == windows[alive[which], offset]
-            which, start = which[match], start[match]
-        return alive[which], start
+        ends = np.append(0, np.cumsum(self.count[rarest]))
+        for begin in range(0, int(ends[-1]), POSTINGS):
+            lot = np.arange(begin, min(begin + POSTINGS, int(ends[-1])))
+            which = np.searchsorted(ends, lot, "right") - 1
+            start = self.postings[self.first[rarest[which]] + lot - ends[which]] - order[which, 0]
+            inside = (start >= 0) & (start + windows.shape[1] <= self.length)
+            which, start = which[inside], start[inside]
+            for j in range(1, windows.shape[1]):
+                offset = order[which, j]
+                match = self.holds(windows[alive[which], offset], start + offset)
+                which, start = which[match], start[match]
+            if len(which):
+                yield alive[which], start
 
     def near(self, codes: np.ndarray, width: int) -> np.ndarray:
         """Start positions of spans of ``width`` words that hold every term of ``codes`` and begin with one of them."""
@@ -138,7 +152,10 @@ class Segment:
 
 
 class Queries:
-    """Windows of a block of items, by length, over the block's own terms."""
+    """The distinct windows of a block of items, by length, over the block's own terms.
+
+    Window ``k`` of a length belongs to ``owners[ptr[k]:ptr[k + 1]]``, numbers of items.
+    """
 
     def __init__(self, item_ids: list[int | None], texts: list[str | None], window: int):
         data, offsets = words.flat(pa.array(texts, pa.string()))
@@ -146,12 +163,14 @@ class Queries:
         codes, terms = part.codes()
         self.terms, self.item_ids, self.window = terms, item_ids, window
         count = np.diff(part.ptr)
-        self.by_length: list[tuple[np.ndarray, np.ndarray]] = []
+        self.by_length: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for length in sorted({*np.minimum(count, window).tolist()} - {0}):
             items = np.flatnonzero(np.minimum(count, window) == length)
             many = count[items] - length + 1
             at = words.ranges(part.ptr[items], many)
-            self.by_length.append((codes[at[:, None] + np.arange(length)], np.repeat(items, many)))
+            windows, number = np.unique(codes[at[:, None] + np.arange(length)], axis=0, return_inverse=True)
+            pair = np.unique(np.stack([number.reshape(-1), np.repeat(items, many)], axis=1), axis=0)
+            self.by_length.append((windows, np.searchsorted(pair[:, 0], np.arange(len(windows) + 1)), pair[:, 1]))
 
 
 def _search(block):
@@ -166,16 +185,20 @@ def _search(block):
 
 def _found(segment: Segment, row: dict, queries: Queries) -> pa.RecordBatch:
     known = segment.codes(queries.terms)
-    edge = np.zeros(len(segment.term_at) + 1, np.int32)
+    edge = np.zeros(segment.length + 1, np.int32)
     pairs = [np.zeros((0, 2), np.int64)]
-    for windows, owner in queries.by_length:
-        which, start = segment.phrases(known[windows])
-        np.add.at(edge, start, 1)
-        np.add.at(edge, start + windows.shape[1], -1)
-        doc = np.searchsorted(segment.doc_start, start, "right") - 1
-        pairs.append(np.unique(np.stack([doc, owner[which]], axis=1), axis=0))
+    for windows, ptr, owners in queries.by_length:
+        seen = [np.zeros((0, 2), np.int64)]
+        for which, start in segment.phrases(known[windows]):
+            np.add.at(edge, start, 1)
+            np.add.at(edge, start + windows.shape[1], -1)
+            doc = np.searchsorted(segment.doc_start, start, "right") - 1
+            seen.append(np.unique(np.stack([doc, which], axis=1), axis=0))
+        doc, which = np.unique(np.concatenate(seen), axis=0).T
+        many = ptr[which + 1] - ptr[which]
+        pairs.append(np.unique(np.stack([np.repeat(doc, many), owners[words.ranges(ptr[which], many)]], axis=1), axis=0))
+    # Windows are whole within a document, so no hit covers the gap behind it.
     hit = np.cumsum(edge) > 0
-    hit[:-1] &= segment.term_at >= 0
     turn = np.diff(np.concatenate([[0], hit.astype(np.int8), [0]]))
     begin, end = np.flatnonzero(turn == 1), np.flatnonzero(turn == -1)
     doc = np.searchsorted(segment.doc_start, begin, "right") - 1
@@ -264,29 +287,45 @@ def keep_clean(docs: DataFrame, items: DataFrame, folder: str, window: int = WIN
     return rows.without(docs, hit, key)
 
 
-def near(index: DataFrame, phrases: list[str], width: int) -> DataFrame:
+def near(index: DataFrame, phrases: list[str], width: int, numbers: list[int] | None = None) -> DataFrame:
     """doc_id, phrase number and start word of spans of ``width`` words that hold all words of a phrase in any order.
 
-    ``phrases`` is a short list given by the caller.
+    ``phrases`` is a short list given by the caller, ``numbers`` its numbers (by default its places).
     """
-    queries = [Queries([i], [p], 1 << 30) for i, p in enumerate(phrases)]
+    numbers = list(range(len(phrases))) if numbers is None else numbers
+    queries = [(i, Queries([i], [p], 1 << 30)) for i, p in zip(numbers, phrases)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 segment = Segment(row)
-                for number, query in enumerate(queries):
+                for number, query in queries:
                     start = segment.near(segment.codes(query.terms), width)
                     doc = np.searchsorted(segment.doc_start, start, "right") - 1
                     yield pa.RecordBatch.from_arrays(
                         [
-                            pa.array([row["doc_ids"][d] for d in doc.tolist()], pa.int64()), pa.array([number] * len(start), pa.int32()),
+                            pa.array([row["doc_ids"][d] for d in doc.tolist()], pa.int64()), pa.array([number] * len(start), pa.int64()),
                             pa.array(start - segment.doc_start[doc] if len(doc) else start),
                         ],
                         names=["doc_id", "phrase", "start"],
                     )
 
-    return index.mapInArrow(run, "doc_id long, phrase int, start long")
+    return index.mapInArrow(run, "doc_id long, phrase long, start long")
+
+
+def near_items(index: DataFrame, items: DataFrame, first_words: int, width: int, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """doc_id, item_id and start word of spans of ``width`` words that hold the first ``first_words`` words of an item in any order.
+
+    A span begins with one of them. Items without words or ids match nothing.
+    """
+    out = index.sparkSession.createDataFrame([], "doc_id long, item_id long, start long")
+    for ids, texts in _blocks(items.where(F.col("item_id").isNotNull()), "item_id", "text", block_bytes):
+        data, offsets = words.flat(pa.array(texts, pa.string()))
+        part = words.split(data, offsets, words.LETTERS, lower=True)
+        every = [w.decode() for w in part.array().to_pylist()]
+        heads = [" ".join(every[a : min(b, a + first_words)]) for a, b in zip(part.ptr[:-1], part.ptr[1:])]
+        out = out.unionByName(near(index, heads, width, ids).withColumnRenamed("phrase", "item_id"))
+    return out
 
 
 def oracle_sql(window: int = WINDOW) -> str:
@@ -305,3 +344,16 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, c
   sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN h USING (r) LEFT JOIN f USING (r)
 """
+
+
+def near_sql(first_words: int, width: int) -> str:
+    """``near_items`` over documents and benchmark in DuckDB SQL."""
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    split = f"regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{lower}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+    return f"""
+WITH i AS (SELECT item_id, list_distinct({split}[1:{first_words}]) AS q FROM benchmark),
+d AS (SELECT row_number() OVER () AS r, doc_id, {split} AS w FROM documents),
+spot AS (SELECT r, doc_id, unnest(w) AS x, unnest(range(len(w))) AS k FROM d),
+m AS (SELECT item_id, len(q) AS n, r, doc_id, k, x FROM (SELECT *, unnest(q) AS x FROM i) JOIN spot USING (x))
+SELECT a.doc_id, a.item_id, a.k AS start FROM m a JOIN m b ON b.r = a.r AND b.item_id = a.item_id AND b.k BETWEEN a.k AND a.k + {width - 1}
+GROUP BY a.r, a.doc_id, a.item_id, a.k, a.n HAVING count(DISTINCT b.x) = a.n"""

@@ -39,6 +39,15 @@ def op3_inverted_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inverted_index.summarise(inverted_index.search(index, _table(spark, sf_dir, "benchmark")))
 
 
+# Proximity: the first words of an item, in any order, within a span of words.
+_NEAR_WORDS, _NEAR_WIDTH = 4, 8
+
+
+def index_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = inverted_index.build(_table(spark, sf_dir, "documents"), shared_dir(spark, "inverted-index"))
+    return inverted_index.near_items(index, _table(spark, sf_dir, "benchmark"), _NEAR_WORDS, _NEAR_WIDTH)
+
+
 def op4_wordpiece_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = wordpiece_counts.read_ranks(_vocabulary("byte_bpe_50k.tiktoken"))
     return wordpiece_counts.token_counts(_table(spark, sf_dir, "documents"), pieces)
@@ -121,6 +130,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_packing": op2_packing,
     "op3_inverted_index": op3_inverted_index,
+    "index_near": index_near,
     "op4_wordpiece_counts": op4_wordpiece_counts,
     "op5_quality_rules": op5_quality_rules,
     "op6_sharding": op6_sharding,
@@ -134,6 +144,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 ORACLES: dict[str, str] = {
     "op3_inverted_index": inverted_index.oracle_sql(),
+    "index_near": inverted_index.near_sql(_NEAR_WORDS, _NEAR_WIDTH),
     "op5_quality_rules": quality_rules.oracle_sql(),
     "op6_sharding": sharding.oracle_sql(),
     "op9_jaccard_join": jaccard_join.oracle_sql(3, 90),

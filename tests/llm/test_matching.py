@@ -103,6 +103,47 @@ def test_index(spark, docs, rows, empty):
     assert inverted_index.search(bare, table).count() == 0
 
 
+def test_index_in_small_lots(spark, docs, monkeypatch):
+    """Results do not depend on how many postings are held at once; a quoted line that repeats is one window for all its items."""
+    line = "the same line of ten words stands here again and again"
+    items = [(i, f"{line} {line}") for i in range(20)] + [(30, "other words " + line)]
+    table = spark.createDataFrame(items, "item_id long, text string")
+    texts = spark.createDataFrame([(1, f"{line}\n" * 300), (2, "nothing of that"), (3, line)], "doc_id long, text string")
+    got = []
+    for lot in (7, 1 << 19):
+        monkeypatch.setattr(inverted_index, "POSTINGS", lot)
+        index = inverted_index.Segment(inverted_index.build(texts.coalesce(1), shared_dir(spark, "t")).first().asDict())
+        queries = inverted_index.Queries([i for i, _ in items], [t for _, t in items], 10)
+        windows, ptr, owners = queries.by_length[0]
+        assert len(windows) == len(set(map(tuple, windows.tolist()))) and ptr[-1] == len(owners) < 20 * 12 + 12
+        lots = [len(w) for w, _ in index.phrases(index.codes(queries.terms)[windows])]
+        assert max(lots) <= lot
+        found = inverted_index._found(index, {"segment": 0, "doc_ids": [1, 2, 3]}, queries)
+        got.append(found.to_pylist())
+    assert got[0] == got[1] and [len(r["items"]) for r in got[0]] == [21, 0, 21]
+
+
+def test_chained_sets_do_not_meet(spark, monkeypatch):
+    """A chain of documents that share half their words with the next has no links: the work per set stays flat."""
+    monkeypatch.setattr(jaccard_join, "BLOCK_DOCS", 20)
+    seen, product = [], jaccard_join._product
+
+    def counted(keyed, keys, percent):
+        if "low" in keys:
+            seen.append(keyed.count())
+        return product(keyed, keys, percent)
+
+    monkeypatch.setattr(jaccard_join, "_product", counted)
+    share = []
+    for size in (100, 400):
+        seen.clear()
+        rows = [(i, " ".join(f"w{i * 10 + k}" for k in range(20))) for i in range(size)]
+        got = jaccard_join.join(spark.createDataFrame(rows, "doc_id long, text string"), 3, 60).collect()
+        assert all(r["component_id"] == r["doc_id"] for r in got)
+        share.append(sum(seen) / size)
+    assert share[1] < 1.2 * share[0] + 0.5, share
+
+
 def test_near(spark):
     rows = [(1, "a b c d e f a"), (2, "c x x x a"), (3, "f e a"), (4, None)]
     index = inverted_index.build(spark.createDataFrame(rows, "doc_id long, text string"), shared_dir(spark, "t"))
@@ -110,6 +151,19 @@ def test_near(spark):
     assert sorted(map(tuple, got)) == [(1, 0, 0), (1, 2, 5), (3, 2, 0)]
 
 
+def test_near_items(spark, docs, rows):
+    items = [(1, dict(rows)[3]), (2, "same line here now"), (3, None), (None, "same line"), (4, "absentword here")]
+    index = inverted_index.build(docs, shared_dir(spark, "t"))
+    got = inverted_index.near_items(index, spark.createDataFrame(items, "item_id long, text string"), 3, 6, block_bytes=30).collect()
+    want = []
+    for item, text in items:
+        asked = set(LETTERS.findall(lower(text))[:3])
+        for i, t in rows if item is not None and asked else []:
+            w = LETTERS.findall(lower(t))
+            want += [(i, item, k) for k in range(len(w)) if w[k] in asked and asked <= set(w[k : k + 6])]
+    assert sorted(map(str, want)) == sorted(str(tuple(r)) for r in got) and want
+
+
 def linked(rows, n, percent):
     sets = []
     for _, t in rows:
