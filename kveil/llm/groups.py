@@ -12,7 +12,7 @@ from __future__ import annotations
 import ctypes
 import functools
 import sys
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -79,11 +79,20 @@ def lean(run: Callable) -> Callable:
 
 
 def release() -> None:
-    """Give freed memory of this worker back to the machine."""
+    """Drop tables that are quick to make again and give freed memory of this worker back to the machine."""
+    words.forget()
     pa.default_memory_pool().release_unused()
     _trim()(0)
 
 
+def released(batches: Iterator) -> Iterator:
+    """The batches of a task; its worker's memory goes back after the last."""
+    try:
+        yield from batches
+    finally:
+        release()
+
+
 def views(column: pa.ChunkedArray, kind: str) -> list[np.ndarray]:
     """The binary values of a column as arrays, without copies."""
     return [np.frombuffer(b.as_buffer(), kind) for b in column]

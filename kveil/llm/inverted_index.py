@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kveil.llm import rows, words
+from kveil.llm import groups, rows, words
 
 WINDOW = 10
 BLOCK_BYTES = 4 << 20
@@ -71,7 +71,7 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def build(docs: DataFrame, folder: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Write the index of all texts to ``folder`` and return its segments."""
     texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    texts.mapInArrow(_segments, SEGMENT).write.mode("errorifexists").option("compression", "zstd").parquet(folder)
+    texts.mapInArrow(lambda batches: groups.released(_segments(batches)), SEGMENT).write.mode("errorifexists").option("compression", "zstd").parquet(folder)
     return docs.sparkSession.read.schema(SEGMENT).parquet(folder)
 
 
@@ -176,9 +176,8 @@ class Queries:
 def _search(block):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         queries = block.value
-        for batch in batches:
-            for row in batch.to_pylist():
-                yield _found(Segment(row), row, queries)
+        found = (_found(Segment(row), row, queries) for batch in batches for row in batch.to_pylist())
+        yield from groups.released(found)
 
     return run
 

@@ -59,17 +59,25 @@ class Bigrams:
         count = np.concatenate(counts) if counts else np.zeros(0, np.int64)
         n = len(count)
         self.ptr = np.append(0, np.cumsum(count + 1))
+        # Words are numbered once; before and after are the same numbers, shifted by the start or the end.
+        distinct, number = np.unique(word, return_inverse=True)
+        self.known = np.unique(np.append(distinct, [START, END])) if n else distinct
+        number = np.searchsorted(self.known, distinct)[number]
+        del word, parts
+        w = np.full(self.ptr[-1], np.searchsorted(self.known, END), np.int64)
         inside = np.ones(self.ptr[-1], bool)
         inside[self.ptr[1:] - 1] = False
-        after = np.full(self.ptr[-1], END)
-        after[inside] = word
-        inside = np.ones(self.ptr[-1], bool)
+        w[inside] = number
+        pair = np.full(self.ptr[-1], np.searchsorted(self.known, START), np.int64)
+        inside[:] = True
         inside[self.ptr[:-1]] = False
-        before = np.full(self.ptr[-1], START)
-        before[inside] = word
-        self.known, number = np.unique(np.concatenate([before, after]), return_inverse=True)
-        h, w = number[: len(before)].astype(np.int64), number[len(before) :].astype(np.int64)
-        pair, self.of_token, self.times = np.unique(h * len(self.known) + w, return_inverse=True, return_counts=True)
+        pair[inside] = number
+        del number, inside
+        pair *= len(self.known)
+        pair += w
+        del w
+        pair, of_token, self.times = np.unique(pair, return_inverse=True, return_counts=True)
+        self.of_token = of_token.astype(np.int32)
         self.h, self.w = (pair // max(1, len(self.known)), pair % max(1, len(self.known))) if len(pair) else (pair, pair)
         self.docs = n
 

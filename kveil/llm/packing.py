@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kveil.llm import tokens, words
+from kveil.llm import groups, tokens, words
 from kveil.session import reliable_checkpoint
 
 CAPACITY = 1024
@@ -60,13 +60,19 @@ def first_fit_decreasing(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray,
     return where, offset
 
 
-def _cut(path: str, end_id: int, leading_space: bool, capacity: int, with_ids: bool):
+def _cut(path: str, end_id: int, leading_space: bool, capacity: int, with_ids: bool, batch_bytes: int | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from groups.released(cut(batches))
+        if batch_bytes:
+            tokens.forget()
+            groups.release()
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = tokens.encoder(path, leading_space)
         for batch in batches:
             data, offsets = words.flat(batch.column(1))
             doc_ids = batch.column(0)
-            for i, j in words.slices(offsets, tokens.BATCH_BYTES):
+            for i, j in words.slices(offsets, batch_bytes or tokens.BATCH_BYTES):
                 got = coder.encode(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], end_id)
                 total = np.diff(got.ptr)
                 count = -(-total // capacity)
@@ -86,11 +92,15 @@ def _cut(path: str, end_id: int, leading_space: bool, capacity: int, with_ids: b
 
 def pieces(
     docs: DataFrame, tokenizer: str, end_id: int, leading_space: bool, capacity: int = CAPACITY, with_ids: bool = False,
-    doc_id: str = "doc_id", text: str = "text",
+    doc_id: str = "doc_id", text: str = "text", batch_bytes: int | None = None,
 ) -> DataFrame:
-    """Token pieces of at most ``capacity`` ids; ``with_ids`` keeps the ids themselves."""
+    """Token pieces of at most ``capacity`` ids; ``with_ids`` keeps the ids themselves.
+
+    With ``batch_bytes`` a worker encodes so much text at a time and keeps nothing between
+    tasks: slower, for jobs in which other stages need its memory.
+    """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return rows.mapInArrow(_cut(tokenizer, end_id, leading_space, capacity, with_ids), PIECE + (", ids array<int>" if with_ids else ""))
+    return rows.mapInArrow(_cut(tokenizer, end_id, leading_space, capacity, with_ids, batch_bytes), PIECE + (", ids array<int>" if with_ids else ""))
 
 
 def _pack(capacity: int):
@@ -114,8 +124,8 @@ def pack(cut: DataFrame, capacity: int = CAPACITY, group_pieces: int = GROUP_PIE
     """
     stored = reliable_checkpoint(cut).withColumn("_id", F.monotonically_increasing_id())
     full, rest = F.col("length") == capacity, F.col("length") < capacity
-    groups = max(1, -(-stored.where(rest).count() // group_pieces))
-    dealt = stored.where(rest).withColumn("_group", F.pmod(F.xxhash64("_id", F.lit(seed)), F.lit(groups)))
+    count = max(1, -(-stored.where(rest).count() // group_pieces))
+    dealt = stored.where(rest).withColumn("_group", F.pmod(F.xxhash64("_id", F.lit(seed)), F.lit(count)))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cut.schema) + ", sequence_id long, offset long"
     alone = stored.where(full).select(*cut.columns, (F.col("_id") * 2).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     return alone.unionByName(dealt.groupBy("_group").applyInArrow(_pack(capacity), schema))

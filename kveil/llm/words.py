@@ -58,6 +58,11 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0], _powers[1]
 
 
+def forget() -> None:
+    """Drop the powers."""
+    _powers[:] = []
+
+
 def flat(texts: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of all texts and n + 1 offsets from 0."""
     if isinstance(texts, pa.ChunkedArray):
