@@ -17,6 +17,7 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 NGRAM, PERCENT = 5, 80
 VOCABULARY, END_ID = "byte_bpe_50k.json", 0
+BATCH_BYTES = 1 << 21  # text encoded at once
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,7 +45,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces with their sequences."""
     import public_tokenizers
 
-    cut = packing.pieces(docs, public_tokenizers.path(VOCABULARY), END_ID, leading_space=True)
+    cut = packing.pieces(docs, public_tokenizers.path(VOCABULARY), END_ID, leading_space=True, batch_bytes=BATCH_BYTES)
     return packing.pack(cut)
 
 
