@@ -9,6 +9,10 @@ import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+# Keyed state with timers works on this store only.
+STATE_STORE = (
+    "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+)
 CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.python.sql.dataFrameDebugging.enabled": "false",  # call sites cost driver time on long expressions
@@ -19,9 +23,7 @@ CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
-    "spark.sql.streaming.stateStore.providerClass": (
-        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-    ),
+    STATE_STORE[0]: STATE_STORE[1],
 }
 
 

@@ -8,20 +8,38 @@ when no further event of the bucket arrives.
 
 from __future__ import annotations
 
+import contextlib
+import sys
 from collections.abc import Iterator
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from kveil.operators import kanon
+from kveil.operators.kanon import DROPPED, RELEASED, Gate
+from kveil.session import STATE_STORE
+
+
+@contextlib.contextmanager
+def _by_value():
+    """Pickle the processor with its code: the worker that Spark starts beside the driver gets no shipped packages."""
+    mine = [m for m in (sys.modules[__name__], kanon) if m.__name__ not in cloudpickle.list_registry_pickle_by_value()]
+    for module in mine:
+        cloudpickle.register_pickle_by_value(module)
+    try:
+        yield
+    finally:
+        for module in mine:
+            cloudpickle.unregister_pickle_by_value(module)
 
 
 class GateProcessor(StatefulProcessor):
     """One bucket: rows (us, id, visitor) in, (id, status) out once the status is final."""
 
     def __init__(self, k: int, ttl_us: int, sweep_us: int, id_type: str):
-        self.gate, self.id_type = kanon.Gate(k, ttl_us, sweep_us, None), id_type
+        self.gate, self.id_type = Gate(k, ttl_us, sweep_us, None), id_type
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -44,8 +62,8 @@ class GateProcessor(StatefulProcessor):
         new: list = []
         for us, i, visitor in sorted((r["us"], r["id"], r["visitor"]) for r in rows):
             if first_us is not None and us // self.gate.sweep >= self.gate.deadline(first_us):
-                yield from self._end(first_us, kanon.DROPPED)
-                yield from (Row(id=x, status=kanon.DROPPED) for x in new)
+                yield from self._end(first_us, DROPPED)
+                yield from (Row(id=x, status=DROPPED) for x in new)
                 first_us, visitors, new = None, set(), []
             if first_us is None:
                 first_us = us
@@ -53,8 +71,8 @@ class GateProcessor(StatefulProcessor):
             if visitor is not None:
                 visitors.add(visitor)
             if len(visitors) >= self.gate.k:
-                yield from self._end(first_us, kanon.RELEASED)
-                yield from (Row(id=x, status=kanon.RELEASED) for x in new)
+                yield from self._end(first_us, RELEASED)
+                yield from (Row(id=x, status=RELEASED) for x in new)
                 first_us, visitors, new = None, set(), []
         if first_us is not None:
             if held is None or held[0] != first_us:
@@ -67,7 +85,7 @@ class GateProcessor(StatefulProcessor):
         held = self.open.get()
         # A timer of a run that has ended since does nothing.
         if held is not None and self._timer(held[0]) <= expiredTimerInfo.getExpiryTimeInMs():
-            yield from self._end(held[0], kanon.DROPPED)
+            yield from self._end(held[0], DROPPED)
 
     def close(self) -> None:
         pass
@@ -80,7 +98,8 @@ def keyed_gate(
     """``tie`` and final ``status`` (released or dropped) of the events of a stream.
 
     Events that are behind the watermark (``delay`` behind the newest event) are left out
-    by the state store; ``jobs.on_time`` sets them aside and counts them before.
+    by the state store; ``jobs.on_time`` sets them aside and counts them before. The
+    session gets the state store that keyed state needs, whatever it had.
     """
     kanon._check_k(k)
     sweep_seconds = sweep_seconds or max(1, min(ttl_seconds, kanon.SWEEP_SECONDS))
@@ -89,5 +108,7 @@ def keyed_gate(
         kanon._bucket(qi).alias("bucket"), F.col(ts), F.unix_micros(F.col(ts)).alias("us"), F.col(tie).alias("id"), F.col(visitor).alias("visitor")
     )
     processor = GateProcessor(k, ttl_seconds * 1_000_000, sweep_seconds * 1_000_000, id_type)
-    out = rows.groupBy("bucket").transformWithState(processor, f"id {id_type}, status STRING", "Append", "EventTime")
+    rows.sparkSession.conf.set(*STATE_STORE)
+    with _by_value():
+        out = rows.groupBy("bucket").transformWithState(processor, f"id {id_type}, status STRING", "Append", "EventTime")
     return out.withColumnRenamed("id", tie)

@@ -1,4 +1,7 @@
 import datetime
+import os
+import subprocess
+import sys
 
 from pyspark.sql import functions as F
 
@@ -268,3 +271,30 @@ def test_a_restarted_stream_keeps_the_salts_of_open_days(spark, tmp_path):
     # The first day was over for the watermark when visit 5 came: refused, with no token at all.
     assert 5 not in tokens and [r.event_id for r in jobs.late_rows(spark, root).collect()] == [5]
     assert held == [[19723], [19723], [19723, 19724], [19724]]
+
+
+_PLAIN_GATE = """
+import sys
+sys.path.insert(0, sys.argv[1])
+from pyspark.sql import SparkSession, functions as F
+from kveil.session import ship_package
+from kveil.streaming import keyed
+
+root = sys.argv[2]
+spark = SparkSession.builder.master("local[2]").config(map={"spark.sql.shuffle.partitions": "2", "spark.ui.enabled": "false"}).getOrCreate()
+ship_package(spark)
+rows = [(i, "x" if i < 4 else "y", f"v{i % 2}") for i in range(6)]
+df = spark.createDataFrame(rows, "event_id long, b string, visitor string").withColumn("ts", F.timestamp_seconds(F.col("event_id") + 1_704_067_200))
+df.write.parquet(f"{root}/in")
+out = keyed.keyed_gate(spark.readStream.schema(df.schema).parquet(f"{root}/in"), ["b"], 2, ttl_seconds=1800)
+out.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/c").trigger(availableNow=True).start().awaitTermination()
+assert sorted(map(tuple, spark.read.parquet(f"{root}/out").collect())) == [(i, "released") for i in range(6)]
+"""
+
+
+def test_keyed_gate_runs_in_a_session_of_others(tmp_path):
+    """A session with Spark's defaults, started outside the repository and without it on the workers' path."""
+    repo = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = {k: v for k, v in os.environ.items() if k not in ("PYTHONPATH", "PYSPARK_GATEWAY_PORT", "PYSPARK_GATEWAY_SECRET")}
+    done = subprocess.run([sys.executable, "-c", _PLAIN_GATE, repo, str(tmp_path / "gate")], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert done.returncode == 0, done.stderr[-2000:]
