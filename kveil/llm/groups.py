@@ -117,7 +117,7 @@ def unpack48(body: bytes) -> np.ndarray:
 
 def slice_order(keys: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray]:
     """Order of sorted ``keys`` by slice, and the border of every slice in it."""
-    number = (keys % np.uint64(count)).astype(np.int64)
+    number = (keys % np.uint64(count)).astype(np.uint16 if count <= 1 << 16 else np.int64)  # short numbers sort by radix
     return np.argsort(number, kind="stable"), np.append(0, np.cumsum(np.bincount(number, minlength=count)))
 
 

@@ -6,7 +6,7 @@
 2. Text around such anchors (a run: all windows of one anchor) goes to the anchor's
    slice, equal runs of a group once, with their smallest document.
 3. The slice sorts the suffixes of its distinct runs by bucket-pointer refinement:
-   buckets of the first eight bytes, refined by the bucket identifiers of later offsets;
+   buckets of the first five bytes, refined by the bucket identifiers of later offsets;
    updated identifiers stand for twice the depth and are used again. Windows in one
    bucket are equal strings; the answer is the smallest document of each.
 4. The group removes the windows whose string starts in a smaller document.
@@ -30,8 +30,9 @@ from kveil.llm import groups, words
 
 LENGTH = 50
 Q = 20
-SLICE = 1 << 20
+SLICE = 1 << 18  # arrays of eight bytes a place stay in the cache
 CHUNK = 1 << 20
+HEAD = 5  # bytes of the first buckets; with a place in a chunk they fit one number
 # A key is 40 bits of the anchor's hash and 12 bits of either context.
 HALF, SIDE, SIDES = np.uint64(32), np.uint64(12), np.uint64(24)
 RESULT = "doc_id long, tkey long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -223,39 +224,48 @@ def _ask_runs(length: int, count: int):
     return groups.lean(run)
 
 
+def _ranks(key: np.ndarray, at: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The positions ``at`` in order of ``key``, and the rank of each one's key among the distinct ones.
+
+    Key and position are sorted as one number, without an index, where ``bits`` of key leave room for the position.
+    """
+    low = int(at[-1]).bit_length() if len(at) else 0
+    if bits + low <= 64:
+        both = np.sort((key << np.uint64(low)) | at.astype(np.uint64))
+        at = (both & np.uint64((1 << low) - 1)).astype(np.int64)
+        both >>= np.uint64(low)
+    else:
+        order = np.argsort(key, kind="stable")
+        at, both = at[order], key[order]
+    turn = np.zeros(len(both), np.int64)
+    turn[1:] = both[1:] != both[:-1]
+    return at, np.cumsum(turn)
+
+
 def suffix_buckets(data: np.ndarray, offsets: np.ndarray, length: int) -> np.ndarray:
     """Bucket numbers by the first ``length`` bytes of every suffix that has as many, in suffix order; -1 for others.
 
     ``offsets`` bound the strings in ``data``. Bucket numbers of depth d give those of
     depth up to 2d: a bucket is refined by sorting its suffixes on the bucket of the
-    suffix that starts later by the offset. Buckets of one suffix are final.
+    suffix that starts later by the offset.
     """
     left = np.repeat(offsets[1:], np.diff(offsets)) - np.arange(len(data))
     padded = np.concatenate([data, np.zeros(8, np.uint8)])
-    head = np.ndarray((len(data),), ">u8", padded, 0, (1,)).astype(np.uint64)
-    short = left < 8
-    head[short] = 0
-    _, bucket = np.unique(head, return_inverse=True)
-    bucket = bucket.astype(np.int64)
-    bucket[short] = -1
-    depth = 8
-    while depth < length:
+    depth, open_ = HEAD, np.flatnonzero(left >= HEAD)
+    head = np.ndarray((len(data),), ">u8", padded, 0, (1,))[open_].astype(np.uint64) >> np.uint64(64 - 8 * HEAD)
+    bits = 8 * HEAD
+    while True:
+        at, number = _ranks(head, open_, bits)
+        bucket = np.full(len(data), -1, np.int64)
+        bucket[at] = number
+        if depth >= length or not len(at):
+            return bucket
         offset = min(depth, length - depth)
-        open_ = np.flatnonzero(left >= depth + offset)
-        count = np.bincount(bucket[bucket >= 0], minlength=1)
-        new = np.full(len(data), -1, np.int64)
-        single = count[bucket[open_]] == 1
-        rest = open_[~single]
+        open_ = open_[left[open_] >= depth + offset]
+        half = max(1, int(number[-1]).bit_length())
         # Later bucket as the low half of the sort key: sorting orders each bucket by it.
-        pair = (bucket[rest] << 32) | bucket[rest + offset]
-        if len(open_):
-            pairs = np.full(len(open_), 0, np.int64)
-            pairs[~single] = pair
-            pairs[single] = bucket[open_[single]] << 32
-            _, number = np.unique(pairs, return_inverse=True)
-            new[open_] = number
-        bucket, depth = new, depth + offset
-    return bucket
+        head = (bucket[open_] << half | bucket[open_ + offset]).astype(np.uint64)
+        bits, depth = 2 * half, depth + offset
 
 
 def _lowest(length: int):
@@ -321,8 +331,8 @@ def _gone(asked: Asked, lowest: np.ndarray, at: np.ndarray, ids: np.ndarray, spa
     hit = lowest[words.ranges(at[:-1][run], many)] < np.repeat(ids[asked.doc[a:b]], many)
     window = words.ranges(asked.first[a:b], many)[hit] - span[0]
     edge = np.zeros(span[1] - span[0] + 1, np.int32)
-    np.add.at(edge, window, 1)
-    np.add.at(edge, window + length, -1)
+    edge[window] += 1  # no window stands in two runs
+    edge[window + length] -= 1
     return np.cumsum(edge[:-1], dtype=np.int32) > 0
 
 

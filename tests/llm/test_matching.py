@@ -230,3 +230,14 @@ def test_elias_fano():
         assert elias_fano.decode(arrays, 0, n).tolist() == values.tolist()
         for a, b in ((0, n // 2), (n // 3, n), (n // 2, n // 2)):
             assert elias_fano.decode(coded, a, b).tolist() == values[a:b].tolist()
+
+
+def test_packed_and_plain_ranks_agree():
+    rng = np.random.default_rng(3)
+    key, at = rng.integers(0, 50, 300).astype(np.uint64), np.sort(rng.choice(10_000, 300, replace=False))
+    packed, plain = suffix_dedup._ranks(key, at, 40), suffix_dedup._ranks(key, at, 64)
+    assert [x.tolist() for x in packed] == [x.tolist() for x in plain]
+    values = dict(zip(at.tolist(), key.tolist()))
+    order = [values[i] for i in packed[0].tolist()]
+    assert order == sorted(order) and packed[1].tolist() == np.unique(key, return_inverse=True)[1][np.argsort(key, kind="stable")].tolist()
+    assert suffix_dedup._ranks(key[:0], at[:0], 40)[0].tolist() == []
