@@ -77,7 +77,7 @@ def _own_rules(requests: DataFrame, custom_rules: DataFrame) -> tuple[DataFrame,
         return out, listed
     rest = rules.join(long_, "customer_id", "left_semi").withColumn("_part", F.lower(F.col("_rule.domain")))
     asked = requests.select("customer_id", "_low").join(long_, "customer_id", "left_semi")
-    pairs = contained(asked, rest, "_low", "_part", ("customer_id",), rank_by_texts=False)
+    pairs = contained(asked, rest, "_low", "_part", ("customer_id",))
     first = pairs.join(rest, ["customer_id", "_part"]).groupBy("customer_id", "_low").agg(F.min("_rule").alias("_found"))
     found = out.join(first, ["customer_id", "_low"], "left").select(*requests.columns, "_own", "_found")
     return found, F.coalesce(listed, F.col("_found"))
@@ -98,7 +98,6 @@ def resolve_trackers(
     # Lower-casing is a step of its own, so that it runs once per row and not per pattern.
     host = F.coalesce(web.url_host(F.col(url), with_port=False), F.lit("")) if match == "host_suffix" else F.lit(None)
     out = requests.withColumns({"_low": F.lower(F.col(url)), "_host": host})
-    out = out.withColumn("_built_in", tracker_of("_low", "_host", rules, match))
     if custom_rules is None:
         own = F.lit(None).cast("struct<ord:int,domain:string,action:string>")
     else:
@@ -107,6 +106,7 @@ def resolve_trackers(
     mine = F.col("_mine")
     return (
         out.withColumn("_mine", own)
+        .withColumn("_built_in", tracker_of("_low", "_host", rules, match))
         .withColumn("tracker", F.coalesce(mine["domain"], built_in))
         .withColumn("name", F.when(mine.isNull(), _lookup({r.key: r.name for r in rules}, built_in)))
         .withColumn("category", F.when(mine.isNull(), _lookup({r.key: r.category for r in rules}, built_in)))

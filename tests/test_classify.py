@@ -165,6 +165,19 @@ def test_contained_equals_all_pairs(spark):
     assert {tuple(r) for r in contained(a, b).select("text", "part").collect()} == wide
 
 
+def test_a_part_is_looked_up_by_few_grams(spark, monkeypatch):
+    from kveil.operators import substring
+
+    rows = spark.createDataFrame([("rule123.example",), ("abcd",), ("abcde",), ("aaaaaaaa",), ("ab",)], "p string")
+    got = [r[0] for r in rows.select(substring.cover(F.col("p"), F.least(F.length("p"), F.lit(4)))).collect()]
+    assert got == [["rule", "123.", "exam", "mple"], ["abcd"], ["abcd", "bcde"], ["aaaa"], ["ab"]]
+    texts = spark.createDataFrame([("xabcdex",), ("rule123.example/aaaaaaaa",), ("",)], "text string")
+    want = {("xabcdex", "abcd"), ("xabcdex", "abcde"), ("xabcdex", "ab"), ("rule123.example/aaaaaaaa", "rule123.example"), ("rule123.example/aaaaaaaa", "aaaaaaaa")}
+    for most in (0, 1000):  # counts shuffled, counts sent as a whole
+        monkeypatch.setattr(substring, "BROADCAST_GRAMS", most)
+        assert {tuple(r) for r in substring.contained(texts, rows, part="p").select("text", "p").collect()} == want
+
+
 def test_long_rule_lists_match_like_short_ones(spark, monkeypatch):
     rules = spark.createDataFrame([("c", i, f"r{i}.nl" if i != 7 else "SHOP", "block") for i in range(20)] + [("d", 1, "shop", "allow")],
                                   "customer_id string, ord int, domain string, action string")
