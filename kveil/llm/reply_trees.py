@@ -25,6 +25,7 @@ score rank by leaf id. Empty tables give no conversations; other columns are not
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections.abc import Iterator
 
@@ -40,6 +41,7 @@ from kveil.session import reliable_checkpoint
 OPEN, MIDDLE, CLOSE = "### ", ": ", "</turn>\n"
 TRAINED = "assistant"
 PART_CHARS = 1 << 22
+STEP_ROWS = 1 << 17
 BLOCK, FIRST = 4096, -(1 << 63)
 
 
@@ -89,14 +91,23 @@ def _keys(df: DataFrame, *others: Column | str) -> DataFrame:
     return df.select(F.col("tree_id").alias("_t"), F.col("message_id").alias("_m"), *others)
 
 
-def _links(links: DataFrame) -> DataFrame:
-    """One narrow row per message: its parent, if the tree has it, and its score."""
+def _stored(step: DataFrame, messages: int) -> DataFrame:
+    """Store the narrow rows of a step, one per message, in as many partitions as they need.
+
+    A union has the partitions of both sides: left as they are, each step would have more than the one before.
+    """
+    return reliable_checkpoint(step.coalesce(max(step.sparkSession.sparkContext.defaultParallelism, math.ceil(messages / STEP_ROWS))))
+
+
+def _links(links: DataFrame) -> tuple[DataFrame, int]:
+    """One narrow row per message: its parent, if the tree has it, and its score; and their number."""
     node = links.groupBy("tree_id", "message_id").agg(F.min("parent_id").alias("parent_id"), F.max("score").cast("double").alias("score"))
     proper = F.when(~F.col("parent_id").eqNullSafe(F.col("message_id")), F.col("parent_id"))
-    node = node.select("tree_id", "message_id", proper.alias("parent_id"), F.coalesce("score", F.lit(0.0)).alias("score"))
+    # Both sides of the join read what is stored; the links are worked out once.
+    node = reliable_checkpoint(node.select("tree_id", "message_id", proper.alias("parent_id"), F.coalesce("score", F.lit(0.0)).alias("score")))
     # A null parent meets nothing here, not even the message whose id is null.
     known = node.join(_keys(node), F.col("tree_id").eqNullSafe(F.col("_t")) & (F.col("parent_id") == F.col("_m")), "left")
-    return known.select("tree_id", "message_id", F.col("_m").alias("parent_id"), "score")
+    return known.select("tree_id", "message_id", F.col("_m").alias("parent_id"), "score"), node.count()
 
 
 def jumps(links: DataFrame) -> list[DataFrame]:
@@ -106,12 +117,12 @@ def jumps(links: DataFrame) -> list[DataFrame]:
     that ``far`` is the root. The last step has only rooted rows.
     """
     answers = F.col("parent_id").isNotNull()
-    first = _links(links).select(
+    known, messages = _links(links)
+    first = known.select(
         "tree_id", "message_id", F.coalesce("parent_id", "message_id").alias("far"), answers.cast("long").alias("distance"),
         F.when(answers, F.col("score")).otherwise(0.0).alias("total"), (~answers).alias("rooted"), "score",
     )
-    steps = [reliable_checkpoint(first)]
-    messages = steps[0].count()
+    steps = [_stored(first, messages)]
     while True:
         now = steps[-1]
         open_ = now.where(~F.col("rooted"))
@@ -124,7 +135,7 @@ def jumps(links: DataFrame) -> list[DataFrame]:
             "tree_id", "message_id", F.col("_far").alias("far"), (F.col("distance") + F.col("_distance")).alias("distance"),
             (F.col("total") + F.col("_total")).alias("total"), F.col("_rooted").alias("rooted"), "score",
         )
-        steps.append(reliable_checkpoint(now.where("rooted").unionByName(moved)))
+        steps.append(_stored(now.where("rooted").unionByName(moved), messages))
 
 
 def branches(links: DataFrame, top: int = 1) -> DataFrame:

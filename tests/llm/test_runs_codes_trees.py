@@ -271,6 +271,25 @@ def test_branches_against_walking(spark, top, part_chars):
     assert top != 2 or any(len(v[3]) > 1 for v in got.values())
 
 
+def test_steps_are_stored_in_few_partitions(spark, monkeypatch):
+    """Each step had the partitions of the one before and as many more, however few its rows."""
+    conf = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    old = {k: spark.conf.get(k) for k in conf}
+    table = spark.createDataFrame([(t, m, m - 1 if m else None, 1.0) for t in range(3) for m in range(20)], "tree_id long, message_id long, parent_id long, score double")
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        steps = reply_trees.jumps(table)
+        most = max(spark.sparkContext.defaultParallelism, 1)
+        assert len(steps) == 6 and all(s.rdd.getNumPartitions() <= most and s.count() == 60 for s in steps)
+        # More rows are still more partitions.
+        monkeypatch.setattr(reply_trees, "STEP_ROWS", 2)
+        assert all(s.rdd.getNumPartitions() == 30 for s in reply_trees.jumps(table))
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
 def test_read_back_joins_parts(spark):
     rows = [(tree, m, m - 1 if m else None, "assistant" if m % 2 else "user", f"text {m} of {tree}", 0.0) for tree in range(5) for m in range(40)]
     table = spark.createDataFrame(rows, "tree_id long, message_id long, parent_id long, role string, text string, score double")
